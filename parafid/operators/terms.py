@@ -100,7 +100,9 @@ BOOST_EXACT, BOOST_PHRASE = 10.0, 5.0
 
 def fold_analyzer(c: Column) -> Column:
     """Lower, fold accents to ASCII, split into alphanumeric tokens."""
-    folded = F.regexp_replace(F.translate(F.lower(c), _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")
+    low = F.lower(c)
+    folded = F.when(low.rlike(r"[^\x00-\x7f]"), F.regexp_replace(
+        F.translate(low, _FOLD_FROM, _FOLD_TO), r"\p{M}+", "")).otherwise(low)
     return F.filter(F.split(folded, r"[^\p{L}\p{N}_]+"), lambda t: t != "")
 
 

@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Hand a scan with fewer splits than cores to all cores; large scans stay as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+
+
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
@@ -30,12 +36,13 @@ _Y = _Y.format(unit_y=_UNIT.format(n="case when l_partkey%9=0 then l_linenumber+
 
 def notes(spark: SparkSession, d: str) -> DataFrame:
     """One (original, simplified) pair per order: pair_id, original, simplified."""
-    rows = table(spark, d, "lineitem").select(
+    scan = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity")
+    rows = spread(scan, "l_orderkey").select(
         F.col("l_orderkey").alias("pair_id"), F.col("l_linenumber").alias("n"), F.col("l_partkey").alias("p"),
         F.col("l_suppkey").alias("q"), ((F.col("l_linenumber") + F.col("l_partkey")) % 4 != 0).alias("keep"),
         F.expr(_X).alias("x"), F.expr(_Y).alias("y"))
     parts = F.array_sort(F.collect_list(F.struct("n", "p", "q", "x", "y", "keep")))
-    g = rows.groupBy("pair_id").agg(parts.alias("l"))
+    g = rows.groupBy("pair_id").agg(parts.alias("l"))  # a pair has a handful of lines
 
     def text(items, field):
         return F.concat(F.array_join(F.transform(items, lambda z: z[field]), ". "), F.lit("."))
@@ -75,7 +82,8 @@ REPORT_SIMPLIFIED = "||' '||".join([
 
 def reports(spark: SparkSession, d: str) -> DataFrame:
     """One sectioned report and rewrite per order: pair_id, original, simplified."""
-    return table(spark, d, "orders").select(F.col("o_orderkey").alias("pair_id"),
+    scan = table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    return spread(scan).select(F.col("o_orderkey").alias("pair_id"),
                                             F.expr(REPORT_ORIGINAL).alias("original"),
                                             F.expr(REPORT_SIMPLIFIED).alias("simplified"))
 
@@ -87,7 +95,7 @@ REPORTS_SQL = f"""reports as (select o_orderkey pair_id, {REPORT_ORIGINAL} as or
 # ----------------------------------------------------------------- dialogue pairs
 def dialogue(spark: SparkSession, d: str) -> DataFrame:
     """User turn -> next assistant turn."""
-    c = table(spark, d, "conversations")
+    c = spread(table(spark, d, "conversations"), "conv_id")
     nxt = c.filter("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"),
                                                 F.col("text").alias("simplified"))
     return c.filter("role = 'user'").join(nxt, ["conv_id", "turn"]).select(
