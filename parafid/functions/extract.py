@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .rx import any_of, collapse, count_all, expand, find_all, has, jrx, let, literal_words, spans, strip
+from .rx import any_of, collapse, contains_any, count_all, expand, find_all, has, jrx, let, literal_words, needles, spans, spans_of, strip
 from .text import norm_nospace, sanitize_keyword, words_bounded, words_ws
 
 NUMBER_TYPE = "array<struct<value:double,text:string,unit:string,context:string>>"
@@ -57,8 +59,12 @@ def extract_bp(c: Column) -> Column:
             F.regexp_extract(b["text"], pat, g).alias("text"),
             F.lit("mmhg").alias("unit"), ctx.alias("context")) for g in (1, 2)])
 
+    noise = rules.DATE_PATTERNS + rules.IGNORE_PATTERNS
+
     def readings(low: Column) -> Column:
-        covered = F.concat(*[spans(low, p, f) for p, f in rules.DATE_PATTERNS + rules.IGNORE_PATTERNS])
+        regexes = F.array(*[F.lit(jrx(p, f)) for p, f in noise])
+        covered = F.when(low.rlike(any_of(noise)), F.flatten(F.transform(regexes, lambda r: spans_of(low, r)))).otherwise(
+            F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)"))
         return let(covered, lambda bad: F.flatten(F.transform(
             F.filter(spans(low, rules.BLOOD_PRESSURE, "i"), lambda b: ~F.exists(
                 bad, lambda s: (s["start"] <= b["start"]) & (b["start"] < s["end"]))),
@@ -112,25 +118,24 @@ def extract_quality_group(c: Column, group: str) -> Column:
 
 def extract_measurement_keys(c: Column) -> Column:
     """White-space-free measurement keys for coverage."""
-    return _pattern_set(F.lower(c), rules.COVERAGE_MEASUREMENTS, norm_nospace)
+    return let(F.lower(c), lambda low: _pattern_set(low, rules.COVERAGE_MEASUREMENTS, norm_nospace))
 
 
 def count_medical_terms(c: Column) -> Column:
-    low = F.lower(c)
-    total = F.lit(0)
-    for p in rules.MEDICAL_TERM_PATTERNS:
-        total = total + count_all(low, p, "i")
-    return total
+    return let(F.lower(c), lambda low: reduce(
+        lambda a, b: a + b, [count_all(low, p, "i") for p in rules.MEDICAL_TERM_PATTERNS]))
 
 
 def extract_grounding_terms(c: Column, stop_words=None) -> Column:
     """Long words and disease-like phrases that are not on the stop/allow list."""
     stop = literal_words((stop_words or rules.STOP_WORDS) + rules.CONTEXT_ALLOWLIST)
-    low = F.lower(c)
-    words = F.array_except(find_all(low, r"\b[a-zA-Z]{5,}\b"), stop)
-    phrases = F.concat(*[find_all(low, p, group=1) for p in rules.GROUNDING_PHRASES])
-    kept = F.filter(phrases, lambda p: ~is_allowed_term(p, stop))
-    return F.array_distinct(F.concat(words, kept))
+
+    def build(low: Column) -> Column:
+        words = F.array_except(find_all(low, r"\b[a-zA-Z]{5,}\b"), stop)
+        phrases = F.concat(*[find_all(low, p, group=1) for p in rules.GROUNDING_PHRASES])
+        return F.array_distinct(F.concat(words, F.filter(phrases, lambda p: ~is_allowed_term(p, stop))))
+
+    return let(F.lower(c), build)
 
 
 def is_allowed_term(term: Column, stop: Column) -> Column:
@@ -158,32 +163,43 @@ def action_sentences(c: Column) -> Column:
     A sentence is a '.'-delimited segment; its first matching rule decides, and
     a repeated sentence is reported once.  Ordered by rule, then position.
     """
-    parts = F.split(c, r"\.", -1)
-    n = F.size(parts)
+    segments = F.split(c, r"\.", -1)
+    # literals decide per text which rules can match at all; regexes run only for those
+    possible = let(F.lower(c), lambda low: F.array(
+        *[contains_any(low, needles(p)) for p, _, _ in rules.ACTION_RULES]))
 
-    def rule_no(seg: Column) -> Column:
+    def rule_no(can: Column, seg: Column) -> Column:
         expr = None
         for i, (p, _, _) in enumerate(rules.ACTION_RULES):
-            cond = has(seg, p, "i")
+            cond = can[i] & has(seg, p, "i")
             expr = F.when(cond, i + 1) if expr is None else expr.when(cond, i + 1)
         return expr
 
-    found = F.filter(F.transform(parts, lambda seg, i: F.struct(
-        rule_no(seg).alias("rule"), i.alias("pos"),
-        strip(F.when(i < n - 1, F.concat(seg, F.lit("."))).otherwise(seg)).alias("sentence"),
-        strip(seg).alias("phrase"))), lambda s: s["rule"].isNotNull())
-    first = let(found, lambda all_: F.filter(all_, lambda s, i: F.array_position(
-        F.transform(all_, lambda z: z["sentence"]), s["sentence"]) == i + 1))
+    def find(x: Column) -> Column:
+        ruled = F.filter(F.transform(x["parts"], lambda seg, i: F.struct(
+            rule_no(x["can"], seg).alias("rule"), i.alias("pos"), seg.alias("seg"),
+            F.when(i < F.size(x["parts"]) - 1, ".").otherwise("").alias("dot"))), lambda s: s["rule"].isNotNull())
+        return F.transform(ruled, lambda s: F.struct(
+            s["rule"].alias("rule"), s["pos"].alias("pos"),
+            strip(F.concat(s["seg"], s["dot"])).alias("sentence"), strip(s["seg"]).alias("phrase")))
+
+    def run(can: Column) -> Column:
+        found = let(F.struct(segments.alias("parts"), can.alias("can")), find)
+        return F.when(F.array_contains(can, True), full(found)).otherwise(none)
+
+    def full(found: Column) -> Column:
+        first = let(found, lambda all_: F.filter(all_, lambda s, i: F.array_position(
+            F.transform(all_, lambda z: z["sentence"]), s["sentence"]) == i + 1))
+        return F.transform(F.array_sort(first), lambda s: F.struct(
+            s["rule"].alias("rule"), s["pos"].alias("pos"), F.element_at(cats, s["rule"]).alias("category"),
+            F.element_at(sevs, s["rule"]).alias("severity"), s["sentence"].alias("sentence"),
+            s["phrase"].alias("phrase")))
+
     cats = literal_words([r[1] for r in rules.ACTION_RULES])
     sevs = literal_words([r[2] for r in rules.ACTION_RULES])
-    cue = "|".join(f"(?:{jrx(p, 'i')})" for p, _, _ in rules.ACTION_RULES)
-    full = F.transform(F.array_sort(first), lambda s: F.struct(
-        s["rule"].alias("rule"), s["pos"].alias("pos"), F.element_at(cats, s["rule"]).alias("category"),
-        F.element_at(sevs, s["rule"]).alias("severity"), s["sentence"].alias("sentence"),
-        s["phrase"].alias("phrase")))
     none = F.expr("cast(array() as array<struct<rule:int,pos:int,category:string,severity:string,"
                   "sentence:string,phrase:string>>)")
-    return F.when(c.rlike(cue), full).otherwise(none)
+    return let(possible, run)
 
 
 def extract_evidence_spans(c: Column) -> Column:

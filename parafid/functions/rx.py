@@ -35,6 +35,89 @@ def expand(pattern: str) -> str:
     return "".join(out)
 
 
+def _alternatives(body: str) -> list[str] | None:
+    """Top-level alternatives of the group that starts ``body``, or None if unclosed."""
+    out, cur, depth, inside, i = [], "", 0, False, 0
+    while i < len(body):
+        ch = body[i]
+        if ch == "\\":
+            cur += body[i:i + 2]
+            i += 2
+            continue
+        if inside:
+            inside = ch != "]"
+        elif ch == "[":
+            inside = True
+        elif ch == "(":
+            depth += 1
+        elif ch == ")":
+            if depth == 0:
+                return [*out, cur]
+            depth -= 1
+        elif ch == "|" and depth == 0:
+            out.append(cur)
+            cur = ""
+            i += 1
+            continue
+        cur += ch
+        i += 1
+    return None
+
+
+def _first(pattern: str) -> str | None:
+    """Character-class body every match must start with, when it is evident."""
+    if not pattern:
+        return None
+    whole = _alternatives(pattern + ")")
+    if whole is None:
+        return None
+    if len(whole) > 1:
+        firsts = [_first(x) for x in whole]
+        return None if None in firsts else "".join(firsts)
+    p = pattern[2:] if pattern.startswith(r"\b") else pattern
+    if p.startswith(r"\d") and p[2:3] not in ("*", "?"):
+        return DIGIT
+    for opener in ("(?:", "("):
+        if p.startswith(opener) and not (opener == "(" and p.startswith("(?")):
+            rest = p[len(opener):]
+            parts = _alternatives(rest)
+            if parts is None or rest[sum(map(len, parts)) + len(parts):][:1] in ("*", "?", "{"):
+                return None
+            firsts = [_first(x) for x in parts]
+            return None if None in firsts else "".join(firsts)
+    if p.startswith("[") and not p.startswith("[^") and "\\" not in p[:p.find("]")]:
+        end = p.find("]")
+        return None if p[end + 1:end + 2] in ("*", "?") else p[1:end]
+    if p[:1].isalnum() or p[:1] in "#>":
+        return None if p[1:2] in ("*", "?", "{") or "|" in p.split("(")[0] else p[0]
+    return None
+
+
+def needles(pattern: str) -> list[str] | None:
+    """Lower-case literals of which every match contains at least one, if evident.
+
+    A byte search for them is far cheaper than the pattern itself.
+    """
+    p = pattern[2:] if pattern.startswith(r"\b") else pattern
+    parts = _alternatives(p[p.index("(") + 1:]) if p.startswith("(") and not p.startswith("(?") else [p]
+    out = []
+    for part in parts or []:
+        lit = ""
+        for i, ch in enumerate(part):
+            if not (ch.isalnum() or ch == " ") or part[i + 1:i + 2] in ("?", "*", "{"):
+                break
+            lit += ch
+        out.append(lit.lower())
+    return None if not out or "" in out else out
+
+
+def contains_any(low: Column, words: list[str]) -> Column:
+    cond = low.contains(words[0])
+    for w in words[1:]:
+        cond = cond | low.contains(w)
+    return cond
+
+
 def jrx(pattern: str, flags: str = "") -> str:
     """Java form: Unicode word boundaries always on; ``m`` uses plain newlines."""
     extra = "".join(f for f in flags if f in "ism") + ("d" if "m" in flags else "")
@@ -42,11 +125,18 @@ def jrx(pattern: str, flags: str = "") -> str:
 
 
 def any_of(patterns, flags: str = "") -> str:
-    """One alternation out of patterns, each keeping its own flags."""
-    parts = []
+    """One alternation out of patterns, each keeping its own flags.
+
+    Patterns that can only start with a digit share one look-ahead, so most
+    positions are dismissed by a single test.
+    """
+    digits, rest = [], []
     for p in patterns:
         text, fl = p if isinstance(p, tuple) else (p, flags)
-        parts.append(f"(?:{jrx(text, fl)})")
+        first = _first(text)
+        group = digits if first and not first.replace(DIGIT, "").strip("0123456789") else rest
+        group.append(f"(?:{jrx(text, fl)})")
+    parts = rest if not digits else [f"(?={DIGIT})(?:{'|'.join(digits)})", *rest]
     return "|".join(parts)
 
 
@@ -73,10 +163,15 @@ def spans(col: Column, pattern: str, flags: str = "") -> Column:
     Splitting on the pattern returns the gaps between exactly the matches that
     extract-all returns, so running lengths give exact offsets.
     """
+    return spans_of(col, F.lit(jrx(pattern, flags)))
+
+
+def spans_of(col: Column, regex: Column) -> Column:
+    """``spans`` for a regex given as a column (already in Java form)."""
     empty = F.expr("cast(array() as array<struct<start:int,end:int,text:string>>)")
 
     def fold(matches: Column) -> Column:
-        gaps = F.slice(F.split(col, jrx(pattern, flags), -1), F.lit(1), F.size(matches))
+        gaps = F.slice(F.split(col, regex, -1), F.lit(1), F.size(matches))
         zipped = F.zip_with(gaps, matches, lambda g, m: F.struct(
             F.length(g).alias("g"), F.length(m).alias("n"), m.alias("m")))
         return F.aggregate(
@@ -90,7 +185,7 @@ def spans(col: Column, pattern: str, flags: str = "") -> Column:
                     z["m"].alias("text")))).alias("out")),
             lambda acc: acc["out"])
 
-    return let(find_all(col, pattern, flags), lambda m: F.when(F.size(m) > 0, fold(m)).otherwise(empty))
+    return let(F.regexp_extract_all(col, regex, F.lit(0)), lambda m: F.when(F.size(m) > 0, fold(m)).otherwise(empty))
 
 
 def strip(col: Column) -> Column:
