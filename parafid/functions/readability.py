@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .extract import count_medical_terms, jargon_density
 from .rx import let
-from .sets import ratio
+from .sets import exact_round, ratio
 from .text import sentences_terminator, syllables, words_apostrophe, words_bounded
 
 
@@ -33,11 +33,11 @@ def readability(c: Column, cui_count: Column | None = None) -> Column:
         scale = F.when(n["s"] < 30, 30 / n["s"]).otherwise(F.lit(1.0))
         terms = cui_count if cui_count is not None else count_medical_terms(c)
         return let(terms, lambda t: F.struct(
-            F.round(F.when(both, _fkgl(n)).otherwise(F.lit(0.0)), 2).alias("fkgl"),
-            F.round(F.when(n["s"] > 0, 1.043 * F.sqrt(n["hard"] * scale) + 3.1291).otherwise(F.lit(0.0)), 2)
+            exact_round(F.when(both, _fkgl(n)).otherwise(F.lit(0.0)), 2).alias("fkgl"),
+            exact_round(F.when(n["s"] > 0, 1.043 * F.sqrt(n["hard"] * scale) + 3.1291).otherwise(F.lit(0.0)), 2)
             .alias("smog"),
-            F.round(ratio(n["w"], F.nullif(n["s"], F.lit(0)), 0.0), 2).alias("avg_sentence_length"),
-            F.round(ratio(t, F.nullif(n["w"], F.lit(0)), 0.0), 4).alias("jargon_density"),
+            exact_round(ratio(n["w"], F.nullif(n["s"], F.lit(0)), 0.0), 2).alias("avg_sentence_length"),
+            exact_round(ratio(t, F.nullif(n["w"], F.lit(0)), 0.0), 4).alias("jargon_density"),
             n["w"].alias("total_tokens"), t.alias("cui_count")))
     return let(_counts(words_apostrophe(c), sentences_terminator(c), True), build)
 
@@ -53,9 +53,9 @@ def simple_readability(c: Column) -> Column:
             3.0 + F.sqrt(n["hard"]))
         zero = F.lit(0.0)
         return F.struct(
-            F.when(ok, F.round(_fkgl(n), 1)).otherwise(zero).alias("fkgl"),
-            F.when(ok, F.round(smog, 1)).otherwise(zero).alias("smog"),
-            F.when(ok, F.round(n["w"] / n["s"], 1)).otherwise(zero).alias("avg_sentence_length"),
+            F.when(ok, exact_round(_fkgl(n), 1)).otherwise(zero).alias("fkgl"),
+            F.when(ok, exact_round(smog, 1)).otherwise(zero).alias("smog"),
+            F.when(ok, exact_round(n["w"] / n["s"], 1)).otherwise(zero).alias("avg_sentence_length"),
             jargon.alias("jargon_density"), n["w"].alias("word_count"), n["s"].alias("sentence_count"))
 
     return let(F.struct(words_bounded(c).alias("words"), sentences_terminator(c).alias("sents")), build)
@@ -66,11 +66,11 @@ def compare(o: Column, s: Column) -> Column:
     return F.struct(
         o["fkgl"].alias("original_fkgl"), o["smog"].alias("original_smog"),
         o["avg_sentence_length"].alias("original_avg_sentence_length"),
-        F.round(o["jargon_density"], 4).alias("original_jargon_density"),
+        exact_round(o["jargon_density"], 4).alias("original_jargon_density"),
         s["fkgl"].alias("simplified_fkgl"), s["smog"].alias("simplified_smog"),
         s["avg_sentence_length"].alias("simplified_avg_sentence_length"),
-        F.round(s["jargon_density"], 4).alias("simplified_jargon_density"),
-        F.round(s["fkgl"] - o["fkgl"], 1).alias("fkgl_delta"),
-        F.round(s["smog"] - o["smog"], 1).alias("smog_delta"),
-        F.round(s["avg_sentence_length"] - o["avg_sentence_length"], 1).alias("sentence_length_delta"),
-        F.round(o["jargon_density"] - s["jargon_density"], 4).alias("jargon_reduction"))
+        exact_round(s["jargon_density"], 4).alias("simplified_jargon_density"),
+        exact_round(s["fkgl"] - o["fkgl"], 1).alias("fkgl_delta"),
+        exact_round(s["smog"] - o["smog"], 1).alias("smog_delta"),
+        exact_round(s["avg_sentence_length"] - o["avg_sentence_length"], 1).alias("sentence_length_delta"),
+        exact_round(o["jargon_density"] - s["jargon_density"], 4).alias("jargon_reduction"))

@@ -14,6 +14,26 @@ def ratio(num: Column, den: Column, empty: float) -> Column:
     return F.coalesce(F.try_divide(num, den), F.lit(empty))
 
 
+def exact_round(x: Column, digits: int) -> Column:
+    """Round the double's exact binary value, ties to even.
+
+    The product x * 10^d is taken with its rounding error (split product), so a
+    value just below a decimal tie is not lifted over it.
+    """
+    k = float(10 ** digits)
+
+    def body(v: Column) -> Column:
+        p, c = v * k, v * 134217729.0
+        hi = c - (c - v)
+        err = (hi * k - p) + (v - hi) * k
+        low = F.floor(p).cast("double")
+        up = F.when(p - low != 0.5, (p - low > 0.5).cast("double")).when(
+            err != 0.0, (err > 0.0).cast("double")).otherwise(F.pmod(low, F.lit(2.0)))
+        return (low + up) / k
+
+    return let(x.cast("double"), body)
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """0 when either side is empty."""
     return F.when((F.size(a) > 0) & (F.size(b) > 0),

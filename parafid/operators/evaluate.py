@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, rules
 from ..functions.readability import compare, readability, simple_readability
 from ..functions.rx import let, literal_words
-from ..functions.sets import fuzzy_missing, ratio
+from ..functions.sets import exact_round, fuzzy_missing, ratio
 from ..functions.text import word_count_ws
 
 EVALUATORS = ("readability", "simplification", "concept", "coverage")
@@ -48,14 +48,14 @@ def simplification_quality(original: Column, simplified: Column, o_read: Column,
         gain = o_read["fkgl"] - s_read["fkgl"]
         bonus = F.when((sw > 0) & (gain > 0), F.least(F.lit(0.2), gain / 10)).otherwise(F.lit(0.0))
         return let(F.struct(critical.alias("c"), meas.alias("m"), concept.alias("r"), bonus.alias("b")), lambda v: F.struct(
-            F.round(v["r"], 4).alias("concept_recall"), F.round(v["c"], 4).alias("critical_concept_recall"),
-            F.round(v["m"], 4).alias("measurement_preservation"),
-            F.round(ow / F.greatest(F.size(o_cuis), F.lit(1)), 2).alias("original_words_per_concept"),
-            F.round(sw / F.greatest(F.size(s_cuis), F.lit(1)), 2).alias("simplified_words_per_concept"),
-            F.round(ratio(sw, F.nullif(ow, F.lit(0)), 1.0), 2).alias("expansion_ratio"),
+            exact_round(v["r"], 4).alias("concept_recall"), exact_round(v["c"], 4).alias("critical_concept_recall"),
+            exact_round(v["m"], 4).alias("measurement_preservation"),
+            exact_round(ow / F.greatest(F.size(o_cuis), F.lit(1)), 2).alias("original_words_per_concept"),
+            exact_round(sw / F.greatest(F.size(s_cuis), F.lit(1)), 2).alias("simplified_words_per_concept"),
+            exact_round(ratio(sw, F.nullif(ow, F.lit(0)), 1.0), 2).alias("expansion_ratio"),
             *[F.slice(m[g]["miss"], 1, 5).alias(f"missing_{name}") for g, name in (
                 ("diagnosis", "diagnoses"), ("medication", "medications"), ("measurement", "measurements"))],
-            F.round(0.4 * v["c"] + 0.3 * v["r"] + 0.1 * v["m"] + 0.2 * v["b"], 4).alias("simplification_score")))
+            exact_round(0.4 * v["c"] + 0.3 * v["r"] + 0.1 * v["m"] + 0.2 * v["b"], 4).alias("simplification_score")))
 
     return let(found, lambda x: let(lost(x), build))
 
@@ -88,10 +88,10 @@ def concept_overlap(orig: Column, simp: Column) -> Column:
 
     def finish(v: Column) -> Column:
         return F.struct(
-            F.round(v["p"], 4).alias("cui_precision"), F.round(v["r"], 4).alias("cui_recall"),
-            F.round(f1(v["p"], v["r"]), 4).alias("cui_f1"), v["no"].alias("original_cui_count"),
+            exact_round(v["p"], 4).alias("cui_precision"), exact_round(v["r"], 4).alias("cui_recall"),
+            exact_round(f1(v["p"], v["r"]), 4).alias("cui_f1"), v["no"].alias("original_cui_count"),
             v["ns"].alias("simplified_cui_count"), v["n"].alias("shared_cui_count"),
-            F.nullif(F.round(f1(v["wp"], v["wr"]), 4), F.lit(0.0)).alias("semantic_type_weighted_f1"))
+            F.nullif(exact_round(f1(v["wp"], v["wr"]), 4), F.lit(0.0)).alias("semantic_type_weighted_f1"))
 
     return let(F.struct(orig.alias("o"), simp.alias("s"),
                         F.array_intersect(cuis(orig), cuis(simp)).alias("sh")), build)
@@ -104,8 +104,8 @@ def coverage(original: Column, simplified: Column, o_cuis: Column, s_cuis: Colum
         extract.extract_measurement_keys(simplified).alias("sm"),
         F.size(F.array_intersect(o_cuis, s_cuis)).alias("cc"), F.size(o_cuis).alias("oc"))
     return let(parts, lambda x: let(F.size(F.array_intersect(x["om"], x["sm"])), lambda kept: F.struct(
-        F.round(ratio(x["cc"], F.nullif(x["oc"], F.lit(0)), 1.0), 4).alias("source_cui_recall"),
-        F.round(ratio(kept, F.nullif(F.size(x["om"]), F.lit(0)), 1.0), 4).alias("key_measurements_present"),
+        exact_round(ratio(x["cc"], F.nullif(x["oc"], F.lit(0)), 1.0), 4).alias("source_cui_recall"),
+        exact_round(ratio(kept, F.nullif(F.size(x["om"]), F.lit(0)), 1.0), 4).alias("key_measurements_present"),
         x["oc"].alias("total_source_cuis"), x["cc"].alias("covered_source_cuis"),
         F.size(x["om"]).alias("total_measurements"), kept.alias("preserved_measurements"))))
 
@@ -113,10 +113,10 @@ def coverage(original: Column, simplified: Column, o_cuis: Column, s_cuis: Colum
 def nli_distribution(matches: DataFrame, keys=("pair_id",)) -> DataFrame:
     """Label rates and mean confidences over the matched sentence pairs of each sample."""
     def rate(label: str) -> Column:
-        return F.round(F.avg((F.col("label") == label).cast("int")), 4)
+        return exact_round(F.avg((F.col("label") == label).cast("int")), 4)
 
     def conf(label: str) -> Column:
-        return F.round(F.coalesce(F.avg(F.when(F.col("label") == label, F.col("confidence"))), F.lit(0.0)), 4)
+        return exact_round(F.coalesce(F.avg(F.when(F.col("label") == label, F.col("confidence"))), F.lit(0.0)), 4)
 
     return matches.groupBy(*keys).agg(
         rate("entailment").alias("entailment_rate"), rate("neutral").alias("neutral_rate"),
@@ -180,7 +180,7 @@ def _missing_top(samples: DataFrame, group, field: str, out: str, k: int = 10) -
 def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *, missing: bool = False) -> DataFrame:
     """Dataset-level means, sums and pair-weighted rates in one aggregate."""
     def mean(c: str, digits: int) -> Column:
-        return F.round(F.avg(c), digits)
+        return exact_round(F.avg(c), digits)
 
     have = set(samples.columns)
     aggs = [F.count(F.lit(1)).alias("sample_count")]
@@ -203,10 +203,10 @@ def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *,
         aggs += [F.sum(f"concept.{f}").alias(f"concept_{f}") for f in (
             "original_cui_count", "simplified_cui_count", "shared_cui_count")]
         w = "concept.semantic_type_weighted_f1"
-        aggs.append(F.round(F.sum(w) / F.count("concept"), 4).alias("concept_weighted_f1"))
+        aggs.append(exact_round(F.sum(w) / F.count("concept"), 4).alias("concept_weighted_f1"))
     if "nli" in have:
         pairs = F.sum("nli.total_pairs")
-        aggs += [F.round(F.try_divide(F.sum(F.col(f"nli.{f}") * F.col("nli.total_pairs")), pairs), 4).alias(f"nli_{f}")
+        aggs += [exact_round(F.try_divide(F.sum(F.col(f"nli.{f}") * F.col("nli.total_pairs")), pairs), 4).alias(f"nli_{f}")
                  for f in ("entailment_rate", "neutral_rate", "contradiction_rate")]
         aggs += [pairs.alias("nli_total_pairs")]
         aggs += [mean(f"nli.{f}", 4).alias(f"nli_{f}") for f in (
@@ -216,7 +216,7 @@ def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *,
             "source_cui_recall", "key_measurements_present")]
         aggs += [F.sum(f"coverage.{f}").alias(f"coverage_{f}") for f in (
             "total_source_cuis", "covered_source_cuis", "total_measurements", "preserved_measurements")]
-        aggs.append(F.round(F.coalesce(F.try_divide(
+        aggs.append(exact_round(F.coalesce(F.try_divide(
             F.sum("coverage.preserved_measurements"), F.sum("coverage.total_measurements")), F.lit(1.0)), 4)
             .alias("coverage_micro_measurement_rate"))
     out = samples.groupBy(*group).agg(*aggs)
@@ -281,13 +281,13 @@ def ops_metrics(runs: DataFrame, group=(), accuracy: int = 10000) -> DataFrame:
     picks = cum.groupBy(*keys).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
 
     def sure(c: str) -> Column:
-        return F.coalesce(F.round(c, 2), F.raise_error(F.lit("percentile bracket missed")).cast("double"))
+        return F.coalesce(exact_round(F.col(c), 2), F.raise_error(F.lit("percentile bracket missed")).cast("double"))
 
     out = totals.join(picks, keys).select(
         *group, "runs", sure("p50").alias("latency_p50_ms"), sure("p95").alias("latency_p95_ms"),
-        F.round("_mean", 2).alias("latency_mean_ms"), F.round("_cost", 2).alias("cost_per_report_tokens"),
-        F.round("_retry", 4).alias("retry_rate"), F.round("_refine", 4).alias("refinement_rate"),
-        F.round("_first", 4).alias("first_pass_success_rate"))
+        exact_round(F.col("_mean"), 2).alias("latency_mean_ms"), exact_round(F.col("_cost"), 2).alias("cost_per_report_tokens"),
+        exact_round(F.col("_retry"), 4).alias("retry_rate"), exact_round(F.col("_refine"), 4).alias("refinement_rate"),
+        exact_round(F.col("_first"), 4).alias("first_pass_success_rate"))
     return out
 
 
@@ -309,14 +309,14 @@ def sample_stats(df: DataFrame, keys=("sample_id",)) -> DataFrame:
     return d.select(
         *keys, F.length("original").alias("original_chars"), ow.alias("original_words"),
         o["fkgl"].alias("original_fkgl"), o["smog"].alias("original_smog"),
-        F.round(o["jargon_density"], 4).alias("original_jargon_density"),
+        exact_round(o["jargon_density"], 4).alias("original_jargon_density"),
         F.length("simplified").alias("simplified_chars"), sw.alias("simplified_words"),
         s["fkgl"].alias("simplified_fkgl"), s["smog"].alias("simplified_smog"),
-        F.round(s["jargon_density"], 4).alias("simplified_jargon_density"),
-        F.round(s["fkgl"] - o["fkgl"], 1).alias("fkgl_delta"),
-        F.round(s["smog"] - o["smog"], 1).alias("smog_delta"),
-        F.round(o["jargon_density"] - s["jargon_density"], 4).alias("jargon_reduction"),
-        F.round(sw / F.greatest(F.lit(1), ow), 4).alias("expansion_ratio"))
+        exact_round(s["jargon_density"], 4).alias("simplified_jargon_density"),
+        exact_round(s["fkgl"] - o["fkgl"], 1).alias("fkgl_delta"),
+        exact_round(s["smog"] - o["smog"], 1).alias("smog_delta"),
+        exact_round(o["jargon_density"] - s["jargon_density"], 4).alias("jargon_reduction"),
+        exact_round(sw / F.greatest(F.lit(1), ow), 4).alias("expansion_ratio"))
 
 
 def chunk_iterations(chunks: DataFrame, keys=("sample_id",)) -> DataFrame:
@@ -335,7 +335,7 @@ def stats_summary(stats: DataFrame) -> DataFrame:
 
     def spread(c: str, cond: Column) -> list[Column]:
         x = F.when(cond, F.col(c))
-        return [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), F.round(F.avg(x), 4).alias(f"{c}_avg")]
+        return [F.min(x).alias(f"{c}_min"), F.max(x).alias(f"{c}_max"), exact_round(F.avg(x), 4).alias(f"{c}_avg")]
 
     for c in ("fkgl_delta", "latency_ms"):
         if c in have:
@@ -344,7 +344,7 @@ def stats_summary(stats: DataFrame) -> DataFrame:
         aggs += spread("simplification_score", ok & (F.col("simplification_score") > 0))
     for c in ("first_pass_success", "needs_review"):
         if c in have:
-            aggs.append(F.round(F.avg(F.when(ok, F.col(c).cast("int"))), 4).alias(f"{c}_share"))
+            aggs.append(exact_round(F.avg(F.when(ok, F.col(c).cast("int"))), 4).alias(f"{c}_share"))
     return stats.agg(*aggs)
 
 
@@ -366,7 +366,7 @@ def dataset_stats(df: DataFrame, original: str, target: str, dims=("source", "sp
     sums = tall.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", "bo", "bt", "be")])
     total = df.agg(F.count(F.lit(1))).scalar()
     return sums.select(
-        "g.dim", "g.value", F.col("n").alias("rows"), F.round(F.col("n") / total, 4).alias("share"),
+        "g.dim", "g.value", F.col("n").alias("rows"), exact_round(F.col("n") / total, 4).alias("share"),
         F.col("bo").alias("blank_originals"), F.col("bt").alias("blank_targets"),
         (F.col("n") - F.greatest("bo", "bt")).alias("valid_approx"), (F.col("n") - F.col("be")).alias("valid_exact"))
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract, rules
 from ..functions.rx import find_all, let, literal_words
-from ..functions.sets import ratio
+from ..functions.sets import exact_round, ratio
 from ..functions.text import norm_alnum, number_words_to_digits, sentences_expanded, words_ws
 
 NO_STRINGS = "cast(array() as array<string>)"
@@ -223,8 +223,8 @@ def linkage_report(aligned: DataFrame, source: str = "source_props", summary: st
     n_src, n_sum = F.size(source), F.size(summary)
     return staged.select(
         *keys,
-        F.round(ratio(F.size("_m"), F.nullif(n_src, F.lit(0)), 1.0), 4).alias("coverage_score"),
-        F.round(ratio(F.size(unsupported), F.nullif(n_sum, F.lit(0)), 0.0), 4).alias("hallucination_rate"),
+        exact_round(ratio(F.size("_m"), F.nullif(n_src, F.lit(0)), 1.0), 4).alias("coverage_score"),
+        exact_round(ratio(F.size(unsupported), F.nullif(n_sum, F.lit(0)), 0.0), 4).alias("hallucination_rate"),
         n_src.alias("total_source_props"), n_sum.alias("total_summary_props"),
         F.size("_m").alias("matched_source_props"), (n_src - F.size("_m")).alias("unmatched_source_props"),
         F.size(unsupported).alias("unsupported_summary_props"),

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as E
 from ..functions import rules
+from ..functions.sets import exact_round
 from . import sqlkit as K
 from .fixtures import NOTES_SQL, REPORTS_SQL, notes, reports, spread, table
 from .registry import query
@@ -193,7 +194,7 @@ def jargon_sql(w: str) -> str:
 def jargon_density(spark, d):
     from ..functions.text import words_bounded
     w = spread(table(spark, d, "documents")).select("doc_id", words_bounded(F.col("text")).alias("w"))
-    return w.select("doc_id", F.round(E.jargon_density(F.col("w")), 4).alias("jargon"))
+    return w.select("doc_id", exact_round(E.jargon_density(F.col("w")), 4).alias("jargon"))
 
 
 META = lambda x: "(" + " or ".join(f"regexp_matches({x}, {K.rx(p, 'i')})" for p in rules.META_TALK_PATTERNS) + ")"

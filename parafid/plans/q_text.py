@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..functions import text as T
 from ..operators import sections, terms
+from ..functions.sets import exact_round
 from . import sqlkit as K
 from .fixtures import REPORTS_SQL, reports, spread, table
 from .registry import query
@@ -107,7 +108,7 @@ def slug(spark, d):
 
 @query("content_density", r"select doc_id, round(coalesce(len(regexp_replace(text, '[^\p{L}\p{N}]', '', 'g'))/nullif(len(text), 0), 0.0), 6) as density from documents")
 def content_density(spark, d):
-    return _docs(spark, d).select("doc_id", F.round(T.content_density(F.col("text")), 6).alias("density"))
+    return _docs(spark, d).select("doc_id", exact_round(T.content_density(F.col("text")), 6).alias("density"))
 
 
 @query("count_syllables",

@@ -8,6 +8,7 @@ from ..functions import extract as E
 from ..functions import rules
 from ..functions.sets import fuzzy_missing
 from ..operators import match, validate
+from ..functions.sets import exact_round
 from . import sqlkit as K
 from .fixtures import DIALOGUE_SQL, NOTES_SQL, REPORTS_SQL, dialogue, notes, reports, spread, table
 from .loop import iterate_until_valid, legacy_fix_loop, validate_with_retry
@@ -197,14 +198,14 @@ best as (select s.pair_id, s.pos, s.x sentence, o.pos match_pos, o.x "match", {s
 @query("best_sentence_match", f"with {NOTES_SQL}, {feature_sql('notes')} select pair_id, pos, sentence, match_pos, \"match\", round(score, 6) score from best where score>=0.3")
 def best_match(spark, d):
     m = match.best_sentence_match(notes(spark, d))
-    return m.filter("match_pos is not null").select("pair_id", "pos", "sentence", "match_pos", "match", F.round("score", 6).alias("score"))
+    return m.filter("match_pos is not null").select("pair_id", "pos", "sentence", "match_pos", "match", exact_round(F.col("score"), 6).alias("score"))
 
 
 @query("best_sentence_match_dialogue", f"with {DIALOGUE_SQL}, {feature_sql('dialogue')} select s.pair_id, s.pos, match_pos, round(coalesce(score, 0.0), 6) score"
        " from fs s left join best b on b.pair_id=s.pair_id and b.pos=s.pos and score>=0.02")
 def best_match_dialogue(spark, d):
     m = match.best_sentence_match(dialogue(spark, d), 0.02)
-    return m.select("pair_id", "pos", "match_pos", F.round("score", 6).alias("score"))
+    return m.select("pair_id", "pos", "match_pos", exact_round(F.col("score"), 6).alias("score"))
 
 
 # ------------------------------------------------------- V4 (score table derived from the pairs)
@@ -286,7 +287,7 @@ def safety(df):
 
 @query("concept_safety", f"with {NOTES_SQL}, {REPORTS_SQL}, {_MIXED}, {safety_sql('mixed')} select pair_id, round(recall, 6) recall, recall>=0.7 as is_safe, recall<0.5 as needs_review, lost as missing from v6")
 def v_safety(spark, d):
-    return safety(mixed(spark, d)).select("pair_id", F.round("z.recall", 6).alias("recall"), "z.is_safe", "z.needs_review",
+    return safety(mixed(spark, d)).select("pair_id", exact_round(F.col("z.recall"), 6).alias("recall"), "z.is_safe", "z.needs_review",
                                           F.size("z.missing").alias("missing"))
 
 

@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .sqlkit import exact_rounds
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -17,6 +19,6 @@ def query(name: str, oracle: str | None = None):
             raise ValueError(f"duplicate query {name}")
         QUERIES[name] = f
         if oracle is not None:
-            ORACLES[name] = oracle
+            ORACLES[name] = exact_rounds(oracle)
         return f
     return wrap

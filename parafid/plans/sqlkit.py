@@ -144,3 +144,31 @@ def fuzzy_missing(a: str, b: str) -> str:
     nums = lambda v: find_all(v, rules.ITEM_NUMBER)
     return (f"list_filter({a}, lambda x: not (list_contains({b}, x) or len(list_intersect({nums('x')},"
             f" flatten(list_transform({b}, lambda y: {nums('y')}))))>0))")
+
+
+def exact_rounds(sql: str) -> str:
+    """Spell every two-argument ``round(x, d)`` as exact binary rounding, ties to even."""
+    out, i = "", 0
+    while True:
+        at = sql.find("round(", i)
+        if at < 0:
+            return out + sql[i:]
+        if at and (sql[at - 1].isalnum() or sql[at - 1] == "_"):
+            out, i = out + sql[i:at + 6], at + 6
+            continue
+        depth, quoted, commas, j = 1, False, [], at + 6
+        while depth:
+            ch = sql[j]
+            if ch == "'":
+                quoted = not quoted
+            elif not quoted:
+                depth += (ch in "([") - (ch in ")]")
+                if ch == "," and depth == 1:
+                    commas.append(j)
+            j += 1
+        x, k = exact_rounds(sql[at + 6:commas[-1]]), f"{10 ** int(sql[commas[-1] + 1:j - 1])}.0"
+        p, err = f"(v*{k})", f"(((v*134217729.0-(v*134217729.0-v))*{k}-v*{k})+(v-(v*134217729.0-(v*134217729.0-v)))*{k})"
+        up = (f"case when {p}-floor({p})<>0.5 then case when {p}-floor({p})>0.5 then 1.0 else 0.0 end"
+              f" when {err}<>0 then case when {err}>0 then 1.0 else 0.0 end else floor({p})%2 end")
+        out += sql[i:at] + f"list_transform([cast({x} as double)], lambda v: (floor({p})+{up})/{k})[1]"
+        i = j

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sets import exact_round
+
 
 def ops_windowed(runs: DataFrame, ts: str = "ts", width: str = "1 hour", late: str = "2 hours",
                  group=("event_type",)) -> DataFrame:
@@ -22,8 +24,8 @@ def ops_windowed(runs: DataFrame, ts: str = "ts", width: str = "1 hour", late: s
         F.percentile_approx("latency_ms", [0.5, 0.95], 1000).alias("_p"),
         F.avg(F.col("first_pass_success").cast("int")).alias("first_pass_success_rate")).select(
         F.col("window.start").alias("window_start"), *group, "runs",
-        F.round("latency_mean_ms", 2).alias("latency_mean_ms"), F.col("_p")[0].alias("latency_p50_ms"),
-        F.col("_p")[1].alias("latency_p95_ms"), F.round("first_pass_success_rate", 4).alias("first_pass_success_rate"))
+        exact_round(F.col("latency_mean_ms"), 2).alias("latency_mean_ms"), F.col("_p")[0].alias("latency_p50_ms"),
+        F.col("_p")[1].alias("latency_p95_ms"), exact_round(F.col("first_pass_success_rate"), 4).alias("first_pass_success_rate"))
 
 
 def append_runs(runs: DataFrame, path: str, checkpoint: str, once: bool = True):
