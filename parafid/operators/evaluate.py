@@ -365,8 +365,8 @@ def dataset_stats(df: DataFrame, original: str, target: str, dims=("source", "sp
     tall = cube.select(F.explode(F.array(*parts)).alias("g"), "n", "bo", "bt", "be")
     sums = tall.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", "bo", "bt", "be")])
     total = df.agg(F.count(F.lit(1))).scalar()
-    return sums.select(
-        "g.dim", "g.value", F.col("n").alias("rows"), exact_round(F.col("n") / total, 4).alias("share"),
+    return sums.withColumn("_total", total).select(
+        "g.dim", "g.value", F.col("n").alias("rows"), exact_round(F.col("n") / F.col("_total"), 4).alias("share"),
         F.col("bo").alias("blank_originals"), F.col("bt").alias("blank_targets"),
         (F.col("n") - F.greatest("bo", "bt")).alias("valid_approx"), (F.col("n") - F.col("be")).alias("valid_exact"))
 

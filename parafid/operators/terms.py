@@ -157,18 +157,18 @@ def lookup_terms(terms: DataFrame, synonyms: DataFrame, limit: int = 10,
     if min_score > 0:
         cand = cand.unionByName(_by_phrase(q, s, qw, min_score))
     cand = cand.distinct()
-    full = cand.join(s, ["cui", "term_lower"]).join(qw, "term")
+    full = cand.join(s, ["cui", "term_lower"]).join(qw, "term").withColumn("avgdl", avgdl)
     dl = F.size("s_tokens")
     bm25 = F.aggregate(F.coalesce("weights", F.expr("cast(array() as array<struct<idf:double,token:string>>)")),
                        F.lit(0.0), lambda a, w: a + let(
         F.size(F.filter("s_tokens", lambda t: t == w["token"])),
-        lambda tf: w["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))))
+        lambda tf: w["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))))
     pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     phrase = (F.size("q_tokens") > 0) & pad(F.col("s_tokens")).contains(pad(F.col("q_tokens")))
     score = (F.when(F.col("q_lower") == F.col("term_lower"), BOOST_EXACT).otherwise(0.0)
              + F.when(phrase, BOOST_PHRASE).otherwise(0.0) + bm25)
     scored = full.withColumn("score", score).filter(F.col("score") > min_score)
-    order = Window.partitionBy("term").orderBy(F.desc("score"), F.desc("is_preferred"), "ord", "cui")
+    order = Window.partitionBy("term").orderBy(F.desc(F.round("score", 9)), F.desc("is_preferred"), "ord", "cui")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(
         "term", "rank", "score", "cui", "syn_term", "is_preferred", "semantic_types")
 
@@ -178,9 +178,9 @@ def _by_phrase(q: DataFrame, s: DataFrame, qw: DataFrame, min_score: float) -> D
     top = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["idf"] * (K1 + 1))
     need = qw.filter(F.coalesce(top, F.lit(0.0)) <= min_score).filter(F.size("q_tokens") > 0).select(
         "term", F.size("q_tokens").alias("len"), F.array_join("q_tokens", " ").alias("gram"))
-    longest = F.coalesce(need.agg(F.max("len")).scalar(), F.lit(0))
-    grams = s.filter(longest > 0).select("cui", "term_lower", F.explode(
-        ngrams(F.col("s_tokens"), longest)).alias("gram"))
+    longest = need.agg(F.max("len")).scalar()
+    grams = s.withColumn("longest", longest).filter("longest > 0").select("cui", "term_lower", F.explode(
+        ngrams(F.col("s_tokens"), F.col("longest"))).alias("gram"))
     return need.join(grams, "gram").select("term", "cui", "term_lower")
 
 
