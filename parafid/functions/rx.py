@@ -145,6 +145,16 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
+def once(arr: Column) -> Column:
+    """Array for a generator, computed once per row.
+
+    Exploding a plain column makes the optimizer infer a non-empty filter on it,
+    which is pushed down and computes an expensive column several times; a full
+    slice is the same array but no plain column.
+    """
+    return F.slice(arr, F.lit(1), F.lit(1 << 30))
+
+
 def find_all(col: Column, pattern: str, flags: str = "", group: int = 0) -> Column:
     return F.regexp_extract_all(col, F.lit(jrx(pattern, flags)), F.lit(group))
 

@@ -164,17 +164,26 @@ def evaluate_samples(df: DataFrame, enabled=EVALUATORS, *, keys=("sample_id",),
 
 
 # --------------------------------------------------------------- dataset level
-def _missing_top(samples: DataFrame, group, field: str, out: str, k: int = 10) -> DataFrame:
-    """First k distinct missing items per group, alphabetically.
+MISSING = ("missing_diagnoses", "missing_medications", "missing_measurements")
+
+
+def _missing_top(samples: DataFrame, group, k: int = 10) -> DataFrame:
+    """First k distinct missing items per group and kind, alphabetically.
 
     Distinct combines map-side; the rank limit is pushed below the shuffle
     (window group limit), so a hot group sends k rows per task, not its items.
     """
-    items = samples.select(*group, F.explode(f"simplification_quality.{field}").alias("item")).distinct()
-    ranked = items.withColumn("rn", F.row_number().over(Window.partitionBy(*group).orderBy("item"))).filter(
-        F.col("rn") <= k)
-    return ranked.groupBy(*group).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rn", "item"))), lambda x: x["item"]).alias(out))
+    def kind(name: str) -> Column:
+        return F.transform(F.col(f"simplification_quality.{name}"),
+                           lambda x: F.struct(F.lit(name).alias("kind"), x.alias("item")))
+
+    tagged = F.flatten(F.array(*[kind(f) for f in MISSING]))
+    items = samples.select(*group, F.inline(tagged)).distinct()
+    ranked = items.withColumn("rn", F.row_number().over(
+        Window.partitionBy(*group, "kind").orderBy("item"))).filter(F.col("rn") <= k)
+    return ranked.groupBy(*group).agg(*[F.transform(
+        F.array_sort(F.collect_list(F.when(F.col("kind") == f, F.struct("rn", "item")))), lambda x: x["item"]).alias(f)
+        for f in MISSING])
 
 
 def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *, missing: bool = False) -> DataFrame:
@@ -221,8 +230,7 @@ def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *,
             .alias("coverage_micro_measurement_rate"))
     out = samples.groupBy(*group).agg(*aggs)
     if missing and "simplification_quality" in have:
-        for f in ("missing_diagnoses", "missing_medications", "missing_measurements"):
-            out = out.join(_missing_top(samples, group, f, f), list(group), "left")
+        out = out.join(_missing_top(samples, group), list(group), "left")
     return out
 
 

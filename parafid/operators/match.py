@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
-from ..functions.rx import find_all, let, literal_words
+from ..functions.rx import find_all, let, literal_words, once
 from ..functions.sets import exact_round, ratio
 from ..functions.text import norm_alnum, number_words_to_digits, sentences_expanded, words_ws
 
@@ -206,7 +206,7 @@ def align_propositions(df: DataFrame, source: str = "source_props", summary: str
 
 def assertion_mismatches(aligned: DataFrame, keys=("doc_id",)) -> DataFrame:
     """Facts aligned with confidence > 0.5 whose assertion differs from the best source fact."""
-    a = aligned.select(*keys, F.inline("alignments"))
+    a = aligned.select(*keys, F.inline(once(F.col("alignments"))))
     return a.filter((F.col("confidence") > rules.SEMANTIC_MATCH)
                     & (F.col("summary_assertion") != F.col("source_assertion"))).select(
         *keys, "summary_id", "summary_text", "source_id", "source_text", "source_assertion",

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from ..functions import extract, rules
 from ..functions.rx import find_all, has, let, literal_words
 from ..functions.text import norm_term, words_ws
+from ..plans.checkpoints import cut
 
 # ---------------------------------------------------------------------- build
 
@@ -190,8 +191,8 @@ def top_match(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
     Anything above the threshold beats anything below it, so the thresholded
     lookup settles most terms; only the rest use every token.
     """
-    sure = lookup_terms(terms, synonyms, 1, rules.MIN_LOOKUP_SCORE)
-    rest = terms.select("term").distinct().join(sure.select("term"), "term", "left_anti")
+    sure = cut(lookup_terms(terms, synonyms, 1, rules.MIN_LOOKUP_SCORE))  # used twice
+    rest = cut(terms.select("term").distinct().join(sure.select("term"), "term", "left_anti"))
     return sure.unionByName(lookup_terms(rest, synonyms, 1))
 
 

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.rx import once
 from ..functions.readability import readability, simple_readability
 from ..operators import evaluate, terms, validate
 from . import sqlkit as K
+from .checkpoints import cut
 from .fixtures import (CONSO_SQL, DIALOGUE_SQL, NOTES_SQL, REPORTS_SQL, RUNS_SQL, STY_SQL, SYN_SQL, dialogue, mrconso, mrsty,
                        notes, reports, runs, spread, table)
 from .q_extract import KEYS_SQL, jargon_sql
@@ -64,7 +66,8 @@ def q_compare(spark, d):
 
 # ------------------------------------------------------------ concepts on pairs
 def part_synonyms(spark, d):
-    return terms.build_synonyms(mrconso(spark, d), terms.semantic_types_by_cui(mrsty(spark, d)))
+    """The synonym table, written once as a terminology would be."""
+    return cut(terms.build_synonyms(mrconso(spark, d), terms.semantic_types_by_cui(mrsty(spark, d))))
 
 
 _TERMED = "'Uses '||p_name||' and '||p_type||'.'"
@@ -123,7 +126,7 @@ def q_overlap(spark, d):
 @query("match_concepts", f"with {PART_PAIRS_SQL}, {gazetteer_sql('pairs')} select pair_id, pos, phrase, cui from men where side='o'")
 def q_match_concepts(spark, d):
     m = terms.mentions(part_pairs(spark, d), "original", part_synonyms(spark, d), keys=("pair_id",))
-    return m.select("pair_id", F.inline("_mentions")).select("pair_id", "pos", "phrase", "cui")
+    return m.select("pair_id", F.inline(once(F.col("_mentions")))).select("pair_id", "pos", "phrase", "cui")
 
 
 @query("coverage", f"""with {PART_PAIRS_SQL}, {gazetteer_sql('pairs')}, cs as (select distinct pair_id, side, cui from men)

@@ -74,10 +74,11 @@ def normalize_unit(spark, d):
 def _set_query(name, func, sql, fixture="reports", col="t"):
     src = TX if fixture == "reports" else NX
 
-    @query(name, f"{src} select pair_id, side, unnest({sql}) as item from tx")
+    @query(name, f"{src} select pair_id, side, len(a) as n, array_to_string(list_sort(a), '|') as items from (select pair_id, side, {sql} a from tx)")
     def run(spark, d):
         base = reports(spark, d) if fixture == "reports" else notes(spark, d)
-        return both_sides(base).select("pair_id", "side", F.explode(func(F.col(col))).alias("item"))
+        a = both_sides(base).select("pair_id", "side", func(F.col(col)).alias("a"))
+        return a.select("pair_id", "side", F.size("a").alias("n"), F.array_join(F.array_sort("a"), "|").alias("items"))
 
 
 LOWER = lambda m: f"lower({m})"

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.rx import once
 from ..functions.sets import cosine, exact_round, jaccard, word_jaccard
 from ..functions.text import words_ws
 from ..operators import match, terms
@@ -91,7 +92,7 @@ ag as (select doc_id, sid, string_agg(oid, '|' order by sim desc, cast(substr(oi
 @query("align_propositions", f"""with {facts_sql()} select f.doc_id, f.id summary_id, coalesce(source_ids, '') source_ids, round(coalesce(confidence, 0.0), 6) confidence,
  case when confidence is null then 'none' when confidence>0.8 then 'exact' when confidence>0.5 then 'semantic' else 'partial' end match_type from fs f left join ag on ag.doc_id=f.doc_id and ag.sid=f.id""")
 def q_align(spark, d):
-    a = match.align_propositions(facts(spark, d)).select("doc_id", F.inline("alignments"))
+    a = match.align_propositions(facts(spark, d)).select("doc_id", F.inline(once(F.col("alignments"))))
     return a.select("doc_id", "summary_id", F.array_join("source_ids", "|").alias("source_ids"),
                     exact_round(F.col("confidence"), 6).alias("confidence"), "match_type")
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import rules
 from ..operators import terms, validate
 from . import sqlkit as K
+from .checkpoints import cut
 from .fixtures import (CONSO_SQL, DEF_SQL, REPORTS_SQL, STY_SQL, SYN_SQL, mrconso, mrdef, mrsty, reports, spread, table)
 from .q_evaluate import PART_PAIRS_SQL, gazetteer_sql, part_pairs, part_synonyms
 from .q_extract import GROUNDING_SQL, RISK
@@ -77,7 +78,7 @@ QT = f"qt as (select distinct {_TERM} term from part)"
 
 
 def query_terms(spark, d):
-    return table(spark, d, "part").select(F.expr(_TERM).alias("term")).distinct()
+    return cut(table(spark, d, "part").select(F.expr(_TERM).alias("term")).distinct())
 
 
 def lookup_sql(min_score: float, limit: int) -> str:

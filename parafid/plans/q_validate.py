@@ -299,8 +299,8 @@ def v_safety_errors(spark, d):
 
 @query("concept_coverage_by_type", f"with {REPORTS_SQL}, {safety_sql('reports')} select kind, sum(len(a)-len(miss)) as found, sum(len(a)) as total from tm group by 1")
 def v_safety_types(spark, d):
-    z = safety(reports(spark, d)).select(F.explode("z.coverage").alias("kind", "c"))
-    return z.groupBy("kind").agg(F.sum("c.found").alias("found"), F.sum("c.total").alias("total"))
+    z = safety(reports(spark, d)).select(F.explode(F.map_entries("z.coverage")).alias("e"))
+    return z.groupBy(F.col("e.key").alias("kind")).agg(F.sum("e.value.found").alias("found"), F.sum("e.value.total").alias("total"))
 
 
 @query("fuzzy_preserved", f"with {NOTES_SQL}, t as (select pair_id, {K.norm_set('original', rules.MEASUREMENT_PATTERNS, K.lower_collapse)} a,"
