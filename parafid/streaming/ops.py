@@ -18,7 +18,8 @@ def ops_windowed(runs: DataFrame, ts: str = "ts", width: str = "1 hour", late: s
 
     The watermark bounds the state and lets append mode emit closed windows.
     """
-    g = runs.withWatermark(ts, late) if runs.isStreaming else runs
+    # event time must be a zoned timestamp to carry a watermark
+    g = runs.withColumn(ts, F.col(ts).cast("timestamp")).withWatermark(ts, late) if runs.isStreaming else runs
     return g.groupBy(F.window(ts, width), *group).agg(
         F.count(F.lit(1)).alias("runs"), F.avg("latency_ms").alias("latency_mean_ms"),
         F.percentile_approx("latency_ms", [0.5, 0.95], 1000).alias("_p"),
