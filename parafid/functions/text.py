@@ -69,7 +69,8 @@ def norm_nospace(c: Column) -> Column:
 def number_words_to_digits(c: Column) -> Column:
     table = F.create_map(*[F.lit(x) for kv in rules.NUMBER_WORDS.items() for x in kv])
     return F.array_join(
-        F.transform(words_ws(F.lower(c)), lambda w: F.coalesce(F.try_element_at(table, w), w)), " ")
+        F.transform(words_ws(F.lower(c)), lambda w: F.when(
+            w.isin(list(rules.NUMBER_WORDS)), F.try_element_at(table, w)).otherwise(w)), " ")
 
 
 def sanitize_keyword(c: Column) -> Column:

@@ -142,16 +142,25 @@ def synonym_keys(words: Column, extra: Column | None = None) -> Column:
     """
     pairs = [(t, min(g, key=len)) for g in rules.FALLBACK_SYNONYMS for t in g if " " not in t]
     table = F.create_map(*[F.lit(x) for kv in pairs for x in kv])
+    known = lambda w: F.when(w.isin([t for t, _ in pairs]), F.try_element_at(table, w))
     return F.transform(words, lambda w: F.coalesce(
-        *([F.try_element_at(extra, w)] if extra is not None else []), F.try_element_at(table, w), w))
+        *([F.try_element_at(extra, w)] if extra is not None else []), known(w), w))
 
 
 def dice(words_a: Column, keys_a: Column, words_b: Column, keys_b: Column) -> Column:
     """(words of a with a synonym in b + words of b with one in a) / (|a| + |b|)."""
-    hits = (F.size(F.filter(keys_a, lambda k: F.array_contains(keys_b, k)))
-            + F.size(F.filter(keys_b, lambda k: F.array_contains(keys_a, k))))
-    return F.when((F.size(words_a) > 0) & (F.size(words_b) > 0),
-                  hits / (F.size(words_a) + F.size(words_b))).otherwise(F.lit(0.0))
+    counted = (F.size(F.filter(keys_a, lambda k: F.array_contains(keys_b, k)))
+               + F.size(F.filter(keys_b, lambda k: F.array_contains(keys_a, k))))
+    total = F.size(words_a) + F.size(words_b)
+    return F.when((F.size(words_a) > 0) & (F.size(words_b) > 0), counted / total).otherwise(F.lit(0.0))
+
+
+def _fact_dice(a: Column, b: Column) -> Column:
+    """``dice`` on prepared sides; one hashed intersection when no key repeats within a side."""
+    both = F.size(F.array_intersect(a["keys"], b["keys"]))
+    return F.when(a["unique"] & b["unique"] & (F.size(a["words"]) > 0) & (F.size(b["words"]) > 0),
+                  2 * both / (F.size(a["words"]) + F.size(b["words"]))).otherwise(
+        dice(a["words"], a["keys"], b["words"], b["keys"]))
 
 
 def dice_similarity(a: Column, b: Column, canonicalize=None, synonyms: Column | None = None) -> Column:
@@ -163,8 +172,8 @@ def dice_similarity(a: Column, b: Column, canonicalize=None, synonyms: Column |
 
 def _fact_features(props: Column, synonyms, canonicalize) -> Column:
     def side(c: Column) -> Column:
-        return let(fact_words(c, canonicalize), lambda w: F.struct(
-            w.alias("words"), synonym_keys(w, synonyms).alias("keys")))
+        return let(fact_words(c, canonicalize), lambda w: let(synonym_keys(w, synonyms), lambda k: F.struct(
+            w.alias("words"), k.alias("keys"), (F.size(k) == F.size(F.array_distinct(k))).alias("unique"))))
     return F.transform(props, lambda p: F.struct(
         p["id"].alias("id"), p["text"].alias("text"), p["category"].alias("category"),
         p["assertion"].alias("assertion"), side(p["normalized"]).alias("n"), side(p["text"]).alias("t")))
@@ -174,16 +183,15 @@ def align_propositions(df: DataFrame, source: str = "source_props", summary: str
                        keys=("doc_id",), threshold: float = rules.ALIGN_THRESHOLD,
                        synonyms: Column | None = None, canonicalize=None) -> DataFrame:
     """Adds ``alignments``: per summary fact the best three source facts and a match type."""
-    staged = df.select(*keys, source, summary,
-                       _fact_features(F.col(source), synonyms, canonicalize).alias("_src"),
-                       _fact_features(F.col(summary), synonyms, canonicalize).alias("_sum"))
+    features = F.struct(_fact_features(F.col(source), synonyms, canonicalize).alias("src"),
+                        _fact_features(F.col(summary), synonyms, canonicalize).alias("sum"))
 
     def score(a: Column, b: Column) -> Column:
-        return F.greatest(*[dice(a[x]["words"], a[x]["keys"], b[x]["words"], b[x]["keys"]) for x in "nt"])
+        return F.greatest(*[_fact_dice(a[x], b[x]) for x in "nt"])
 
-    def align(s: Column) -> Column:
+    def align(src: Column, s: Column) -> Column:
         ranked = F.slice(F.array_sort(F.filter(
-            F.transform(F.col("_src"), lambda o, j: F.struct(
+            F.transform(src, lambda o, j: F.struct(
                 (-score(s, o)).alias("neg"), j.alias("pos"), o["id"].alias("id"),
                 o["assertion"].alias("assertion"), o["text"].alias("text"))),
             lambda m: -m["neg"] >= threshold)), 1, 3)
@@ -201,7 +209,9 @@ def align_propositions(df: DataFrame, source: str = "source_props", summary: str
                 first["text"].alias("source_text"), first["assertion"].alias("source_assertion"))
         return let(ranked, build)
 
-    return staged.select(*keys, source, summary, F.transform("_sum", align).alias("alignments"))
+    # bound once: a staged column used inside a lambda could be computed again per element
+    return df.select(*keys, source, summary, let(
+        features, lambda x: F.transform(x["sum"], lambda s: align(x["src"], s))).alias("alignments"))
 
 
 def assertion_mismatches(aligned: DataFrame, keys=("doc_id",)) -> DataFrame:
