@@ -103,3 +103,25 @@ def test_stream_equals_batch(spark, sf_dir, tmp_path):
     assert key(spark.table("w")) == key(ops_windowed(batch))
     append_runs(stream.select("event_type", "latency_ms"), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).count() == batch.count()
+
+
+def test_sample_is_reproducible_and_whole_when_small(spark):
+    df = spark.range(500).withColumnRenamed("id", "sample_id")
+    ids = lambda d: sorted(r.sample_id for r in d.collect())
+    a = ids(readers.sample_n(df, 20, 1))
+    assert len(set(a)) == 20 and a == ids(readers.sample_n(df.repartition(7), 20, 1)) != ids(readers.sample_n(df, 20, 2))
+    assert ids(readers.sample_n(df, 0)) == ids(readers.sample_n(df, 900)) == list(range(500))
+
+
+def test_process_reports_end_to_end(spark):
+    from parafid.plans.process import process_reports
+    text = "Plan: rest for the patient at home with plenty of fluids and sleep.\nLABS: Dose 5 mg was given on the left side of the patient today."
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    lost = "Nothing of note is said in this rewritten text about any dose at all."
+    chunks, whole, glossary = process_reports(
+        docs, lambda c: F.when(F.col("title") == "LABS", lost).otherwise(F.col("original")), lambda c: F.col("original"), safety=False)
+    got = {r.chunk_index: (r.iteration, r.similarity, r.needs_review) for r in chunks.collect()}
+    assert got == {0: (1, 1.0, False), 1: (2, 1.0, False)}
+    row = whole.first()
+    assert row.chunks == 2 and row.simplified_text == row.original_text and lost not in row.simplified_text
+    assert glossary.count() > 0
