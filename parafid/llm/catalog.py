@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
-from . import decontam, mixing, simhash, warc  # noqa: F401
+from . import decontam, hyperplanes, langid, licenses, markov, mixing, pii, simhash, toolcalls, warc  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
