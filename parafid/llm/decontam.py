@@ -118,10 +118,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_col:
     pick = F.transform(pick, lambda s: _candidate(F.shiftrightunsigned(s, _POS), s.bitwiseAND(F.lit((1 << _POS) - 1)).cast("int"),
                                                   F.lit(SPAN)))
     parts = [pick]
-    for n in lengths:
-        h = F.transform(F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0))),
-                        lambda k, n=n: _candidate(F.xxhash64(F.lit(0), F.slice("_h", k + 1, n)), k, F.lit(n)))
-        parts.append(F.filter(h, lambda c, n=n: (c["pos"] + n <= F.size("_w")) & _marked(marks, c["fp"], bits)))
+    parts += [_short_runs(n, marks, bits) for n in lengths]
     found = F.concat(*parts) if len(parts) > 1 else pick
     around = F.transform(found, lambda c: F.struct(
         c["fp"].alias("fp"), c["pos"].alias("pos"), c["n"].alias("n"),
@@ -142,6 +139,13 @@ def find_hits(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_col:
     return d.drop("c"), store.keep(hits)
 
 
+def _short_runs(n: int, marks: Column, bits: int) -> Column:
+    """Candidates among all runs of ``n`` words."""
+    starts = F.sequence(F.lit(0), F.greatest(F.size("_w") - n, F.lit(0)))
+    runs = F.transform(starts, lambda k: _candidate(F.xxhash64(F.lit(0), F.slice("_h", k + 1, n)), k, F.lit(n)))
+    return F.filter(runs, lambda c: (c["pos"] + n <= F.size("_w")) & _marked(marks, c["fp"], bits))
+
+
 def _candidate(fp: Column, pos: Column, n: Column) -> Column:
     return F.struct(fp.alias("fp"), pos.alias("pos"), n.alias("n"))
 

@@ -173,7 +173,7 @@ def test_vectors_blocks_and_recall(spark):
 # ---------------------------------------------------------------------- warc
 def test_archive_round_trip(spark, sf_dir):
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
-    twin = pages.limit(5).select((F.col("page_id") + 1000).alias("page_id"), F.lit("http://x/ä b%20").alias("url"), "html")
+    twin = pages.filter("octet_length(html) >= 1000").limit(5).select((F.col("page_id") + 1000).alias("page_id"), F.lit("http://x/ä b%20").alias("url"), "html")
     small = spark.createDataFrame([(5000, None, "é" * 499), (5001, "u", "é" * 499), (5002, "u", "é" * 500), (5003, "u", "é" * 500),
                                    (5004, "u", None), (5005, "u", ""), (None, "u", "é" * 500)], pages.select("page_id", "url", "html").schema)
     rows = pages.select("page_id", "url", "html").union(twin).union(small).withColumn("payload", F.lit(1)).withColumn("_last", F.lit(2))
@@ -389,9 +389,11 @@ def test_licenses_against_all_templates(spark, sf_dir):
 
 # ------------------------------------------------------------------------ pii
 def test_pii_base():
-    t = "Mail a.b@x.org@y.com or @z.de 1.2.3.4.5 999.1.1.1 4111 1111 1111 1111 4111111111111112 +49 (30) 123-456 +1 23 10.0.0.256"
+    t = "Mail a.b@x.org@y.com or @z.de 1.2.3.4.5 999.1.1.1 4111 1111 1111 1111 4111111111111112 +49 (30) 123-456, 10.0.0.256 and +1 23"
     cut = [(k, t[s:e]) for k, s, e in pii.base_spans(t)]
-    assert cut == [("email", "a.b@x.org"), ("ip", "1.2.3.4"), ("phone", "+49 (30) 123-456")] or ("card", "4111 1111 1111 1111") in cut
+    # the run of digits from "4111 1111" on is one match, which is too long for a card
+    assert cut == [("email", "a.b@x.org"), ("ip", "1.2.3.4"), ("phone", "+49 (30) 123-456")]
+    assert pii.base_spans("pay 4111 1111-11111111, or 4111111111111112") == [("card", 4, 22)]
     import re
     for text in ("x@y", "a@b.c@d.e", "%%@q.r", "a@b..c", "no"):
         want = [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", text)]
