@@ -28,7 +28,7 @@ def main() -> None:
     spark = (SparkSession.builder.master(f"local[{cpus}]").appName("parafid-bench")
              .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
              .config("spark.driver.memory", "16g").config("spark.sql.shuffle.partitions", cpus)
-             .config("spark.sql.session.timeZone", "UTC")
+             .config("spark.sql.session.timeZone", "UTC").config("parafid.fixture.partitions", cpus)
              # call-site capture for every Column call makes building large expressions slow
              .config("spark.python.sql.dataFrameDebugging.enabled", "false").getOrCreate())
     spark.sparkContext.setLogLevel("ERROR")

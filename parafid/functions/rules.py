@@ -250,7 +250,6 @@ MRCONSO_COLUMNS = ["CUI", "LAT", "TS", "LUI", "STT", "SUI", "ISPREF", "AUI", "SA
                    "SDUI", "SAB", "TTY", "CODE", "STR", "SRL", "SUPPRESS", "CVF"]
 MRDEF_COLUMNS = ["CUI", "AUI", "ATUI", "SATUI", "SAB", "DEF", "SUPPRESS", "CVF"]
 MRSTY_COLUMNS = ["CUI", "TUI", "STN", "STY", "ATUI", "CVF"]
-MAX_DEFINITIONS = 5
 IMPORTANT_TYPES = ["T047", "T048", "T184", "T121", "T200", "T060", "T061", "T033", "T034",
                    "T191", "T046"]
 WEIGHTED_TYPES = ["T047", "T048", "T184", "T121", "T200", "T060", "T061", "T033", "T034"]
@@ -267,10 +266,6 @@ FALLBACK_SYNONYMS = [
 ]
 MIN_LOOKUP_SCORE = 5.0
 CONCEPT_CAPS = {"critical": 15, "high": 10, "normal": 5}
-CONCEPT_HEADER = (
-    "CRITICAL - You MUST preserve these medical concepts in your simplified output:\n"
-    "(You should explain them in simpler terms, but do NOT omit them)\n"
-)
 SKIPPED_ENTITY_LABELS = ["ORG", "GPE", "PERSON", "PRODUCT"]
 ENTITY_LABELS = {
     "DRUG": (["CHEMICAL", "DRUG"], ["DRUG", "CHEM"]),
@@ -313,8 +308,3 @@ ERROR_CODES = [
 PREVIEW_CHARS = 500
 MAX_PDF_BYTES = 10 * 1024 * 1024
 MAX_TXT_BYTES = 1024 * 1024
-REPAIR_HEADER = "The simplified text has the following validation errors that must be fixed:\n"
-TRAINING_INSTRUCTION = (
-    "<grade6> Simplify the biomedical text for a 6th-grade reader, "
-    "preserving facts, uncertainty, and measurements without adding medical advice."
-)

@@ -10,6 +10,7 @@ from ..functions.readability import compare, readability, simple_readability
 from ..functions.rx import let, literal_words
 from ..functions.sets import exact_round, fuzzy_missing, ratio
 from ..functions.text import word_count_ws
+from ..plans.checkpoints import cut
 
 EVALUATORS = ("readability", "simplification", "concept", "coverage")
 CONCEPTS = "array<struct<cui:string,tuis:array<string>>>"
@@ -53,7 +54,7 @@ def simplification_quality(original: Column, simplified: Column, o_read: Column,
             exact_round(ow / F.greatest(F.size(o_cuis), F.lit(1)), 2).alias("original_words_per_concept"),
             exact_round(sw / F.greatest(F.size(s_cuis), F.lit(1)), 2).alias("simplified_words_per_concept"),
             exact_round(ratio(sw, F.nullif(ow, F.lit(0)), 1.0), 2).alias("expansion_ratio"),
-            *[F.slice(m[g]["miss"], 1, 5).alias(f"missing_{name}") for g, name in (
+            *[m[g]["miss"].alias(f"missing_{name}") for g, name in (
                 ("diagnosis", "diagnoses"), ("medication", "medications"), ("measurement", "measurements"))],
             exact_round(0.4 * v["c"] + 0.3 * v["r"] + 0.1 * v["m"] + 0.2 * v["b"], 4).alias("simplification_score")))
 
@@ -133,12 +134,16 @@ def evaluate_samples(df: DataFrame, enabled=EVALUATORS, *, keys=("sample_id",),
     With ``concepts`` the input carries ``orig_concepts`` and ``simp_concepts``
     (see ``terms.match_concepts``).  ``nli`` and ``semantic`` are per-key metric
     tables.  ``custom`` maps a column name to ``f(original, simplified)``.
+    ``error`` says which text a row lacks (null: none); such a row counts as an
+    empty text, and ``ops_from_stats`` and ``stats_summary`` tell it apart.
     """
     unknown = set(enabled) - set(EVALUATORS) - {"semantic", "nli", "ops"}
     if unknown:
         raise ValueError(f"Unknown evaluators: {sorted(unknown)}")
     o, s = F.coalesce("original", F.lit("")), F.coalesce("simplified", F.lit(""))
-    base = df.withColumns({"original": o, "simplified": s})
+    lacking = [F.when(F.col(c).isNull(), F.lit(f"no {c} text")) for c in ("original", "simplified")]
+    error = F.nullif(F.concat_ws("; ", *([F.col("error")] if "error" in df.columns else []), *lacking), F.lit(""))
+    base = df.withColumns({"error": error, "original": o, "simplified": s})
     o, s = F.col("original"), F.col("simplified")
     oc = F.col("orig_concepts") if concepts else _no_concepts()
     sc = F.col("simp_concepts") if concepts else _no_concepts()
@@ -167,8 +172,8 @@ def evaluate_samples(df: DataFrame, enabled=EVALUATORS, *, keys=("sample_id",),
 MISSING = ("missing_diagnoses", "missing_medications", "missing_measurements")
 
 
-def _missing_top(samples: DataFrame, group, k: int = 10) -> DataFrame:
-    """First k distinct missing items per group and kind, alphabetically.
+def _missing_top(samples: DataFrame, group, k: int) -> DataFrame:
+    """First k distinct missing items per group and kind, alphabetically, out of all lists.
 
     Distinct combines map-side; the rank limit is pushed below the shuffle
     (window group limit), so a hot group sends k rows per task, not its items.
@@ -186,8 +191,13 @@ def _missing_top(samples: DataFrame, group, k: int = 10) -> DataFrame:
         for f in MISSING])
 
 
-def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *, missing: bool = False) -> DataFrame:
-    """Dataset-level means, sums and pair-weighted rates in one aggregate."""
+def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *, missing: bool = False,
+                      missing_items: int = 10, runs: DataFrame | None = None) -> DataFrame:
+    """Dataset-level means, sums and pair-weighted rates in one aggregate.
+
+    ``missing`` adds the first ``missing_items`` distinct missing items of each
+    kind; ``runs`` (run rows with the group columns) adds ``ops_metrics`` as ``ops_*``.
+    """
     def mean(c: str, digits: int) -> Column:
         return exact_round(F.avg(c), digits)
 
@@ -230,7 +240,10 @@ def aggregate_dataset(samples: DataFrame, group=("dataset", "model_version"), *,
             .alias("coverage_micro_measurement_rate"))
     out = samples.groupBy(*group).agg(*aggs)
     if missing and "simplification_quality" in have:
-        out = out.join(_missing_top(samples, group), list(group), "left")
+        out = out.join(_missing_top(samples, group, missing_items), list(group), "left")
+    if runs is not None:
+        ops = ops_metrics(runs, group)
+        out = out.join(ops.withColumnsRenamed({c: f"ops_{c}" for c in ops.columns if c not in group}), list(group), "left")
     return out
 
 
@@ -254,49 +267,69 @@ def record_runs(df: DataFrame, latency_ms="latency_ms", *, group=(), **cols) ->
                      *[v.alias(k) for k, v in fields.items()])
 
 
-def ops_metrics(runs: DataFrame, group=(), accuracy: int = 10000) -> DataFrame:
+PERCENTILES = {"p50": 0.5, "p95": 0.95}
+
+
+def _exact_ranks(base: DataFrame, totals: DataFrame, keys: list[str], bins: int, rows: int) -> DataFrame:
+    """(keys, p50, p95): the values at 0-based rank floor(n p), exactly.
+
+    Each round counts the values between a group's bounds in ``bins`` equal
+    parts (one map-side-combined aggregate of a bounded number of rows per
+    group) and narrows the bounds to the part that holds the rank, until no
+    part has more than ``rows`` different values. Only those are put in order.
+    """
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in PERCENTILES.items()]))
+    state = totals.filter("runs > 0").select(*keys, "runs", "_lo", "_hi", at.alias("t")).select(
+        *keys, "t.name", F.least(F.floor(F.col("runs") * F.col("t.p")), F.col("runs") - 1).alias("rank"), "_lo", "_hi")
+    v = F.col("latency_ms")
+    part = F.least(F.floor(F.try_divide((v - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins - 1)).cast("int")
+    while True:
+        state = cut(state)
+        inside = base.join(state, keys).filter(v.between(F.col("_lo"), F.col("_hi")))
+        widest = inside.groupBy(*keys, "name").agg(F.approx_count_distinct(v).alias("d")).agg(F.max("d")).first()[0]
+        if widest is None or widest <= rows:
+            break
+        counts = inside.groupBy(*keys, "name", "rank", F.coalesce(part, F.lit(0)).alias("part")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
+        ahead = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("part"))
+        state = counts.withColumn("_end", ahead).filter(
+            (F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("n"))).select(
+            *keys, "name", (F.col("rank") - F.col("_end") + F.col("n")).alias("rank"), "_lo", "_hi")
+    hist = inside.groupBy(*keys, "name", "rank", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    ahead = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("v"))
+    found = hist.withColumn("_end", ahead).filter((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("n")))
+    return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in PERCENTILES])
+
+
+def ops_metrics(runs: DataFrame, group=(), bins: int = 1000, rows: int = 10_000) -> DataFrame:
     """Exact 0-based rank percentiles (p50, p95), means and rates per group.
 
-    Ranks must be exact, yet no group may be sorted in one task.  An approximate
-    percentile with a guaranteed rank error brackets each target in a thin slice
-    of values; one map-side-combined count keeps single values inside the slices
-    and collapses everything between them, and only that small histogram is
-    ranked.  A target outside its bracket raises instead of returning a wrong value.
+    No group is put in order by one task (``_exact_ranks``). Without a group
+    there is one row in any case, of zeros if there are no runs; runs without a
+    latency count in rates only.
     """
     keys = list(group)
-    base = runs if keys else runs.withColumn("_all", F.lit(1))
-    keys = keys or ["_all"]
-    eps = 3.0 / accuracy
-    marks = F.percentile_approx("latency_ms", [0.5 - eps, 0.5 + eps, 0.95 - eps, 0.95 + eps], accuracy)
-    totals = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("runs"), F.avg("latency_ms").alias("_mean"), marks.alias("_q"),
-        F.avg(F.col("input_tokens") + F.col("output_tokens")).alias("_cost"),
-        F.avg((F.col("retry_count") > 0).cast("int")).alias("_retry"),
-        F.avg((F.col("refinement_count") > 0).cast("int")).alias("_refine"),
-        F.avg(F.col("first_pass_success").cast("int")).alias("_first"))
-    v, q = F.col("latency_ms"), F.col("_q")
-    zone = (F.when(v < q[0], 0).when(v <= q[1], 1).when(v < q[2], 2).when(v <= q[3], 3).otherwise(4))
-    binned = base.join(totals.select(*keys, "_q"), keys).withColumn("zone", zone).filter("zone < 4")
-    hist = binned.groupBy(*keys, "zone", F.when(F.col("zone").isin(1, 3), v).alias("v")).agg(
-        F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy(*keys).orderBy("zone", "v").rowsBetween(Window.unboundedPreceding, 0)
-    cum = hist.withColumn("cum", F.sum("n").over(w)).join(totals.select(*keys, "runs"), keys)
-
-    def pick(p: float) -> Column:
-        rank = F.least(F.floor(F.col("runs") * p) + 1, F.col("runs"))
-        return F.min_by("v", F.when(F.col("cum") >= rank, F.struct("zone", F.col("v"))))
-
-    picks = cum.groupBy(*keys).agg(pick(0.5).alias("p50"), pick(0.95).alias("p95"))
-
-    def sure(c: str) -> Column:
-        return F.coalesce(exact_round(F.col(c), 2), F.raise_error(F.lit("percentile bracket missed")).cast("double"))
-
-    out = totals.join(picks, keys).select(
-        *group, "runs", sure("p50").alias("latency_p50_ms"), sure("p95").alias("latency_p95_ms"),
-        exact_round(F.col("_mean"), 2).alias("latency_mean_ms"), exact_round(F.col("_cost"), 2).alias("cost_per_report_tokens"),
-        exact_round(F.col("_retry"), 4).alias("retry_rate"), exact_round(F.col("_refine"), 4).alias("refinement_rate"),
-        exact_round(F.col("_first"), 4).alias("first_pass_success_rate"))
-    return out
+    aggs = [F.count("latency_ms").alias("runs"), F.count(F.lit(1)).alias("_rows"), F.avg("latency_ms").alias("_mean"),
+            F.min("latency_ms").alias("_lo"), F.max("latency_ms").alias("_hi"),
+            F.avg(F.col("input_tokens") + F.col("output_tokens")).alias("_cost"),
+            F.avg((F.col("retry_count") > 0).cast("int")).alias("_retry"),
+            F.avg((F.col("refinement_count") > 0).cast("int")).alias("_refine"),
+            F.avg(F.col("first_pass_success").cast("int")).alias("_first")]
+    if not keys:
+        keys, runs = ["_all"], runs.withColumn("_all", F.lit(1))
+        totals = runs.agg(*aggs).withColumn("_all", F.lit(1))
+    else:
+        totals = runs.groupBy(*keys).agg(*aggs)
+    out = totals.join(_exact_ranks(runs, totals, keys, bins, rows), keys, "left")
+
+    def number(c: str, digits: int) -> Column:
+        return exact_round(F.coalesce(F.col(c), F.lit(0.0)), digits)
+
+    return out.select(
+        *group, F.col("_rows").alias("runs"), number("p50", 2).alias("latency_p50_ms"), number("p95", 2).alias("latency_p95_ms"),
+        number("_mean", 2).alias("latency_mean_ms"), number("_cost", 2).alias("cost_per_report_tokens"),
+        number("_retry", 4).alias("retry_rate"), number("_refine", 4).alias("refinement_rate"),
+        number("_first", 4).alias("first_pass_success_rate"))
 
 
 def ops_from_stats(stats: DataFrame, group=()) -> DataFrame:
@@ -372,7 +405,8 @@ def dataset_stats(df: DataFrame, original: str, target: str, dims=("source", "sp
     parts.append(F.struct(F.lit("total").alias("dim"), F.lit("all").alias("value")))
     tall = cube.select(F.explode(F.array(*parts)).alias("g"), "n", "bo", "bt", "be")
     sums = tall.groupBy("g").agg(*[F.sum(c).alias(c) for c in ("n", "bo", "bt", "be")])
-    total = df.agg(F.count(F.lit(1))).scalar()
+    # the total is one of the few rows of ``sums``
+    total = F.max(F.when(F.col("g.dim") == "total", F.col("n"))).over(Window.partitionBy(F.lit(1)))
     return sums.withColumn("_total", total).select(
         "g.dim", "g.value", F.col("n").alias("rows"), exact_round(F.col("n") / F.col("_total"), 4).alias("share"),
         F.col("bo").alias("blank_originals"), F.col("bt").alias("blank_targets"),

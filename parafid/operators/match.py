@@ -82,14 +82,16 @@ def premise_words(c: Column) -> Column:
     return F.array_except(find_all(F.lower(c), r"\b\w+\b"), literal_words(rules.PREMISE_STOP_WORDS))
 
 
-def best_premise(query: Column, sentences: Column, fallback: Column) -> Column:
-    """First sentence with the highest stop-word-free Jaccard, else 1000 characters of the source."""
+def best_premise(query: Column, sentences: Column, fallback: Column, fallback_chars: int | None = 1000) -> Column:
+    """First sentence with the highest stop-word-free Jaccard, else the source's first ``fallback_chars`` (None: all)."""
+    rest = fallback if fallback_chars is None else F.left(fallback, F.lit(fallback_chars))
+
     def choose(q: Column) -> Column:
         scored = F.array_max(F.transform(sentences, lambda c, j: F.struct(
             _overlap(q, premise_words(c)).alias("score"), (-j).alias("neg"))))
         return let(scored, lambda w: F.when(
             w["score"] > 0, F.try_element_at(sentences, 1 - w["neg"])))
-    return F.coalesce(let(premise_words(query), choose), F.left(fallback, F.lit(1000)))
+    return F.coalesce(let(premise_words(query), choose), rest)
 
 
 def greedy_embedding_match(df: DataFrame, cand: str = "candidate", ref: str = "reference",

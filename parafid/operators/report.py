@@ -16,6 +16,10 @@ from ..functions.text import preview
 SOURCES = "array<struct<title:string,url:string,link:string,summary:string,highlights:array<string>>>"
 
 
+#: What a training pair asks for, unless the caller says otherwise.
+TRAINING_INSTRUCTION = "Rewrite the text in plain words and keep all facts and numbers."
+
+
 def _ordered_join(order: str, value: Column, sep: str) -> Column:
     parts = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), value.alias("v"))))
     return F.array_join(F.transform(parts, lambda x: x["v"]), sep)
@@ -68,30 +72,34 @@ def project_sources(c: Column) -> Column:
         F.coalesce(s["summary"], F.lit("No summary available")).alias("summary")))
 
 
-def format_sources(c: Column) -> Column:
-    """Prompt block of the first five sources."""
+def format_sources(c: Column, sources: int | None = 5, highlights: int | None = 3, summary_chars: int | None = 300) -> Column:
+    """Prompt block of the first sources with excerpts and summaries; None sets no limit."""
+    def first(a: Column, n: int | None) -> Column:
+        return a if n is None else F.slice(a, 1, n)
+
     def one(s: Column) -> Column:
         excerpts = F.when(F.size(F.coalesce(s["highlights"], F.expr("cast(array() as array<string>)"))) > 0,
-                          F.array_join(F.slice(s["highlights"], 1, 3), " | ")).otherwise("No highlights")
+                          F.array_join(first(s["highlights"], highlights), " | ")).otherwise("No highlights")
+        summary = F.coalesce(s["summary"], F.lit("No summary"))
         return F.concat(F.lit("- **"), F.coalesce(s["title"], F.lit("Untitled")), F.lit("**\n  Summary: "),
-                        F.left(F.coalesce(s["summary"], F.lit("No summary")), F.lit(300)),
+                        summary if summary_chars is None else F.left(summary, F.lit(summary_chars)),
                         F.lit("\n  Key excerpts: "), excerpts)
     return let(parse_sources(c), lambda a: F.when(F.size(a) == 0, F.lit("No sources available.")).otherwise(
-        F.array_join(F.transform(F.slice(a, 1, 5), one), "\n\n")))
+        F.array_join(F.transform(first(a, sources), one), "\n\n")))
 
 
 # ------------------------------------------------------------------ glossary
 
 
-def glossary_terms(original: Column, simplified: Column, max_terms: int = rules.GLOSSARY_MAX_TERMS,
+def glossary_terms(original: Column, simplified: Column, max_terms: int | None = rules.GLOSSARY_MAX_TERMS,
                    acronyms_only: bool = False) -> Column:
     both = F.array_union(extract.glossary_candidates(original, acronyms_only),
                          extract.glossary_candidates(simplified, acronyms_only))
-    return F.slice(F.array_sort(both), 1, max_terms)
+    return F.array_sort(both) if max_terms is None else F.slice(F.array_sort(both), 1, max_terms)
 
 
 def build_glossary(df: DataFrame, definitions: DataFrame | None = None, keys=("doc_id",),
-                   max_terms: int = rules.GLOSSARY_MAX_TERMS, acronyms_only: bool = False) -> DataFrame:
+                   max_terms: int | None = rules.GLOSSARY_MAX_TERMS, acronyms_only: bool = False) -> DataFrame:
     """Ordered glossary rows; terms without a definition row get the default text.
 
     ``definitions``: term, definition, category - joined on the term, any size.
@@ -134,6 +142,11 @@ def search_glossary(glossary: DataFrame, query: str) -> DataFrame:
     return glossary.filter(hit).orderBy(F.lower("term"), "term")
 
 
+def _quoted(term: Column) -> Column:
+    """``term`` as a literal inside a pattern, whatever it holds."""
+    return F.concat(F.lit(r"\Q"), F.replace(term, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E"))
+
+
 # ----------------------------------------------------------------- citations
 
 
@@ -146,7 +159,7 @@ def link_inline_citations(text: Column, citations: Column) -> Column:
         (-F.length(c["title"])).alias("neg"), c["number"].alias("number"), c["title"].alias("title"))))
 
     def mark(acc: Column, c: Column) -> Column:
-        pattern = F.concat(F.lit(r"(?iu)\[\Q"), c["title"], F.lit(r"\E\]"))
+        pattern = F.concat(F.lit(r"(?iu)\["), _quoted(c["title"]), F.lit(r"\]"))
         safe = F.regexp_replace(c["title"], r"([\\$])", r"\\$1")
         return F.regexp_replace(acc, pattern, F.concat(
             F.lit("%%CITE_START_"), c["number"].cast("string"), F.lit("_"), safe, F.lit("%%$0%%CITE_END%%")))
@@ -159,7 +172,7 @@ def citation_mentions(text: Column, citations: Column) -> Column:
     low = F.lower(text)
     counted = F.transform(citations, lambda c: F.struct(
         c["title"].alias("title"), c["number"].alias("number"),
-        F.regexp_count(low, F.concat(F.lit(r"\[\Q"), F.lower(c["title"]), F.lit(r"\E\]"))).alias("mentions")))
+        F.regexp_count(low, F.concat(F.lit(r"\["), _quoted(F.lower(c["title"])), F.lit(r"\]"))).alias("mentions")))
     return F.filter(counted, lambda c: c["mentions"] > 0)
 
 
@@ -169,12 +182,12 @@ def highlight_spans(text: Column, terms: Column) -> Column:
     ``array<struct<start,end,term>>`` with 0-based offsets.
     """
     kind = "array<struct<start:int,end:int,term:string>>"
-    ordered = F.transform(F.array_sort(F.transform(F.array_distinct(terms), lambda t, i: F.struct(
+    ordered = F.transform(F.array_sort(F.transform(F.array_remove(F.array_distinct(terms), ""), lambda t, i: F.struct(
         (-F.length(t)).alias("neg"), i.alias("i"), t.alias("t")))), lambda x: x["t"])
 
     def hits(low: Column, t: Column) -> Column:
         # a match starts after a boundary and ends before one; offsets by gap lengths
-        pat = F.concat(F.lit(r"(?U)\b\Q"), F.lower(t), F.lit(r"\E\b"))
+        pat = F.concat(F.lit(r"(?U)\b"), _quoted(F.lower(t)), F.lit(r"\b"))
         gaps = F.split(low, pat, -1)
         n = F.length(t)
         starts = F.transform(F.sequence(F.lit(1), F.size(gaps)), lambda i: F.aggregate(
@@ -246,7 +259,7 @@ def assemble_pages(pages: DataFrame, keys=("doc_id",)) -> DataFrame:
 
 
 def training_pairs(df: DataFrame, source: str = "original_text", target: str = "plain_language_text",
-                   instruction: str = rules.TRAINING_INSTRUCTION) -> DataFrame:
+                   instruction: str = TRAINING_INSTRUCTION) -> DataFrame:
     """Instruction + text prompt and its target, tagged with the split."""
     return df.select("*", F.concat(F.lit(instruction + "\n\nText:\n"), F.col(source), F.lit("\n\nSimplified:"))
                      .alias("input_text"), F.col(target).alias("target_text"))

@@ -28,18 +28,19 @@ def semantic_types_by_cui(mrsty: DataFrame) -> DataFrame:
         lambda x: F.struct(x["TUI"].alias("tui"), x["STY"].alias("sty"))).alias("semantic_types"))
 
 
-def definitions_by_cui(mrdef: DataFrame) -> DataFrame:
-    """CUI -> distinct unsuppressed definitions in file order (first five).
+def definitions_by_cui(mrdef: DataFrame, limit: int | None = None) -> DataFrame:
+    """CUI -> distinct unsuppressed definitions in file order; the first ``limit`` if given.
 
-    Duplicates fold map-side into their first position; the rank limit runs
-    before the shuffle, so at most five rows per task leave for a concept.
+    Duplicates fold map-side into their first position. With a limit, the rank
+    limit runs before the shuffle, so at most that many rows per task leave for a concept.
     """
     kept = mrdef.filter((F.col("SUPPRESS") != "Y") & (F.col("DEF") != ""))
     first = kept.groupBy("CUI", "DEF").agg(F.min("ord").alias("ord"))
-    ranked = first.withColumn("rn", F.row_number().over(Window.partitionBy("CUI").orderBy("ord"))).filter(
-        F.col("rn") <= rules.MAX_DEFINITIONS)
-    return ranked.groupBy(F.col("CUI").alias("cui")).agg(F.transform(
-        F.array_sort(F.collect_list(F.struct("rn", "DEF"))), lambda x: x["DEF"]).alias("definitions"))
+    if limit is not None:
+        rank = F.row_number().over(Window.partitionBy("CUI").orderBy("ord"))
+        first = first.withColumn("rn", rank).filter(F.col("rn") <= limit)
+    return first.groupBy(F.col("CUI").alias("cui")).agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "DEF"))), lambda x: x["DEF"]).alias("definitions"))
 
 
 def _active(mrconso: DataFrame, languages) -> DataFrame:
@@ -385,39 +386,44 @@ def entity_type(mentioned: Column, label_of) -> Column:
 
 
 def rank_concepts(text: Column, mentioned: Column) -> Column:
-    """``array<struct<importance,text,cui>>``: critical patterns, then high, then normal; capped 15/10/5.
+    """``array<struct<importance,text,cui>>``: critical patterns, then high, then normal; all of them.
 
-    A phrase already reported is not repeated.  Critical matches are sorted so
-    that the cut is reproducible.
+    A phrase already reported is not repeated.  Critical matches are sorted.
     """
     high_types = literal_words(rules.IMPORTANT_TYPES)
-    crit = F.array_sort(extract.extract_critical(text))
+    crit = F.array_sort(extract.extract_critical(F.coalesce(text, F.lit(""))))
 
-    def build(c: Column) -> Column:
-        lowered = F.transform(c, F.lower)
-        uniq = F.filter(c, lambda x, i: F.array_position(F.transform(c, F.lower), F.lower(x)) == i + 1)
-        rest = F.filter(mentioned, lambda m, i: ~F.array_contains(lowered, F.lower(m["phrase"]))
-                        & (F.array_position(F.transform(mentioned, lambda z: z["phrase"]), m["phrase"]) == i + 1))
+    def build(x: Column) -> Column:
+        uniq = F.filter(x["c"], lambda m, i: F.array_position(x["low"], F.lower(m)) == i + 1)
+        rest = F.filter(mentioned, lambda m, i: ~F.array_contains(x["low"], F.lower(m["phrase"]))
+                        & (F.array_position(x["said"], m["phrase"]) == i + 1))
         high = F.filter(rest, lambda m: F.arrays_overlap(m["tuis"], high_types))
         norm = F.filter(rest, lambda m: ~F.coalesce(F.arrays_overlap(m["tuis"], high_types), F.lit(False)))
 
         def item(name: str, get, cui):
             return lambda m: F.struct(F.lit(name).alias("importance"), get(m).alias("text"), cui(m).alias("cui"))
         null = lambda m: F.lit(None).cast("string")
-        return F.concat(
-            F.transform(F.slice(uniq, 1, rules.CONCEPT_CAPS["critical"]), item("critical", lambda m: m, null)),
-            F.transform(F.slice(high, 1, rules.CONCEPT_CAPS["high"]), item("high", lambda m: m["phrase"], lambda m: m["cui"])),
-            F.transform(F.slice(norm, 1, rules.CONCEPT_CAPS["normal"]), item("normal", lambda m: m["phrase"], lambda m: m["cui"])))
+        return F.concat(F.transform(uniq, item("critical", lambda m: m, null)),
+                        F.transform(high, item("high", lambda m: m["phrase"], lambda m: m["cui"])),
+                        F.transform(norm, item("normal", lambda m: m["phrase"], lambda m: m["cui"])))
 
-    return let(crit, build)
+    return let(crit, lambda c: let(F.struct(c.alias("c"), F.transform(c, F.lower).alias("low"),
+                                            F.transform(mentioned, lambda z: z["phrase"]).alias("said")), build))
 
 
-def format_concepts(ranked: Column) -> Column:
-    """Prompt block listing the ranked concepts; empty when there are none."""
+def _of(ranked: Column, importance: str) -> Column:
+    return F.filter(ranked, lambda c: c["importance"] == importance)
+
+
+def format_concepts(ranked: Column, caps: dict[str, int] | None = rules.CONCEPT_CAPS,
+                    header: str = "Concepts to keep:") -> Column:
+    """Prompt block listing the first ``caps`` concepts of each importance (None: all); empty when there are none."""
+    if caps is not None:
+        ranked = F.concat(*[F.slice(_of(ranked, k), 1, n) for k, n in caps.items()])
     line = lambda c: F.when(c["importance"] == "critical", F.concat(F.lit("  * "), c["text"], F.lit(" [MUST INCLUDE]")))\
         .when(c["importance"] == "high", F.concat(F.lit("  * "), c["text"])).otherwise(F.concat(F.lit("  - "), c["text"]))
-    return F.when(F.size(ranked) == 0, F.lit("")).otherwise(F.concat(
-        F.lit(rules.CONCEPT_HEADER + "\n"), F.array_join(F.transform(ranked, line), "\n")))
+    return let(ranked, lambda r: F.when(F.size(r) == 0, F.lit("")).otherwise(F.concat(
+        F.lit(header + "\n"), F.array_join(F.transform(r, line), "\n"))))
 
 
 def table_counts(**tables: DataFrame) -> DataFrame:

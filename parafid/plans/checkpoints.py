@@ -7,24 +7,29 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint_ready(spark: SparkSession) -> bool:
-    """True when checkpoints can be written to a folder every executor can reach.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder for checkpoints: ``spark.checkpoint.dir``, which every executor must reach.
 
-    The cluster's ``spark.checkpoint.dir`` is used as it is; only a local
-    master without the setting gets a folder of its own.
+    Only a local master without the setting gets a folder of its own; a cluster without it
+    is an error, because rounds would silently be computed again for each action.
     """
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return True
-    configured = sc.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if configured:
-        sc.setCheckpointDir(configured)
-        return True
-    if sc.master.startswith("local"):
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="spark-checkpoint-"))
-        return True
-    return False
+        return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    spark.conf.set("spark.checkpoint.dir", folder)
+    return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    return df.checkpoint() if checkpoint_ready(df.sparkSession) else df
+def cut(df: DataFrame, path: str | None = None) -> DataFrame:
+    """``df`` with its lineage cut by a checkpoint below ``path`` (else ``checkpoint_dir``).
+
+    Spark removes the files when the result is no longer referenced, if
+    ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
+    """
+    sc = df.sparkSession.sparkContext
+    if path is not None or not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(path or checkpoint_dir(df.sparkSession))
+    return df.checkpoint()

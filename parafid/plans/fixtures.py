@@ -10,9 +10,13 @@ from pyspark.sql import functions as F
 
 
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hand a scan with fewer splits than cores to all cores; large scans stay as they are."""
-    n = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(n, *keys) if df.rdd.getNumPartitions() < n else df
+    """``df`` dealt to as many partitions as ``parafid.fixture.partitions`` says; as it is when that is unset.
+
+    For single-file test tables on many cores. A cluster leaves the setting
+    alone, and large scans then have no exchange at any size.
+    """
+    n = df.sparkSession.conf.get("parafid.fixture.partitions", None)
+    return df.repartition(int(n), *keys) if n else df
 
 
 def table(spark: SparkSession, d: str, name: str) -> DataFrame:

@@ -75,7 +75,7 @@ _TERMED = "'Uses '||p_name||' and '||p_type||'.'"
 
 def part_pairs(spark, d):
     """Per order: all part names of its lines (original) and those of lines kept (simplified)."""
-    li = spread(table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey"), "l_orderkey")
+    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")
     j = li.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), F.expr(_TERMED).alias("t")), "l_partkey")
     g = j.groupBy(F.col("l_orderkey").alias("pair_id")).agg(F.array_sort(F.collect_list(F.struct(
         "l_linenumber", "l_partkey", "t"))).alias("l"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import rules
+from ..functions.rx import once
 from ..operators import match, report
 from ..sources import readers, writers
 from . import sqlkit as K
@@ -53,13 +54,13 @@ def q_number(spark, d):
     return report.number_citations(report.merge_citations(turns(spark, d))).select("doc_id", "title", "number")
 
 
-@query("cited_sources", f"""with {CITE}, s as (select conv_id doc_id, 'Title '||(turn%4) title, turn ord, 'http://x/'||turn url, left(text, 20) summary from conversations),
+@query("cited_sources", f"""with {CITE}, s as (select conv_id doc_id, 'Title '||(turn%4) title, turn ord, 'http://x/'||turn url, text summary from conversations),
 f as (select * from s qualify row_number() over (partition by doc_id, title order by ord)=1) select doc_id, title, number citation_number, url, summary from nc join f using (doc_id, title)""")
 def q_cited(spark, d):
     n = report.number_citations(report.merge_citations(turns(spark, d)))
     s = table(spark, d, "conversations").select(
         F.col("conv_id").alias("doc_id"), F.concat(F.lit("Title "), (F.col("turn") % 4).cast("string")).alias("title"),
-        F.col("turn").alias("ord"), F.concat(F.lit("http://x/"), F.col("turn").cast("string")).alias("url"), F.left("text", F.lit(20)).alias("summary"))
+        F.col("turn").alias("ord"), F.concat(F.lit("http://x/"), F.col("turn").cast("string")).alias("url"), F.col("text").alias("summary"))
     return match.cited_sources(n, s)
 
 
@@ -110,10 +111,11 @@ def common_words(spark, d):
     """Everyday words of the corpus: those occurring in at least a tenth of the passages."""
     b = table(spark, d, "benchmark")
     w = b.select("item_id", F.explode(F.array_distinct(F.split(F.lower("text"), r"[^\p{L}]+"))).alias("word"))
-    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter("n >= 4").select("word")
+    return w.groupBy("word").agg(F.count(F.lit(1)).alias("n")).filter(
+        F.col("n") >= 0.1 * b.agg(F.count(F.lit(1))).scalar()).select("word")
 
 
-@query("filter_glossary", f"""with {DIALOGUE_SQL}, {GLOSS}, cw as (select word from (select item_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}]+'))) word from benchmark) group by 1 having count(*)>=4)
+@query("filter_glossary", f"""with {DIALOGUE_SQL}, {GLOSS}, cw as (select word from (select item_id, unnest(list_distinct(string_split_regex(lower(text), '[^\\p{{L}}]+'))) word from benchmark) group by 1 having count(*)>=0.1*(select count(*) from benchmark))
 select * from gg where len(lower(term))>=3 and lower(term) not in (select word from cw) and not regexp_matches(lower(term), '^[0-9]+$') and not regexp_matches(lower(term), '^(mg|ml|mcg|units?)$')
  and (category in ('diagnosis','test','treatment','anatomy') or regexp_matches(lower(term), '{'|'.join(rules.GLOSSARY_AFFIXES)}') or regexp_matches(term, '^[A-Z]{{2,5}}$') or len(term)>8 or len(regexp_extract_all(lower(term), '[aeiouy]+'))>=3)""")
 def q_filter(spark, d):
@@ -152,22 +154,33 @@ def q_mentions(spark, d):
 _HT = ["left lung", "lung", "blood pressure", "pressure", "knee", "aspirin"]
 
 
-@query("highlight_spans", f"""with {REPORTS_SQL}, tm as (select unnest({K.words_list(_HT)}) term), tx as (select r.pair_id, term side, original from reports r, tm),
-src as (select pair_id, side, lower(original) t from tx), pos as (select pair_id, side term, string_split_regex(t, '\\b'||side||'\\b') g from src),
+def kept_sql() -> str:
+    """CTE ``kept(pair_id, term, s, e)``: spans of the terms, longer terms first."""
+    parts = " union all ".join(
+        f"select pair_id, {K.q(t)} term, string_split_regex(lower(original), {K.q(chr(92) + 'b' + t + chr(92) + 'b')}) g"
+        f" from reports where contains(lower(original), {K.q(t)})" for t in _HT)
+    return f"""pos as materialized ({parts}),
 st as (select pair_id, term, cast(list_sum(list_transform(g[1:i], lambda z: len(z)))+(i-1)*len(term) as int) s from (select pair_id, term, g, unnest(range(1, len(g))) i from pos)),
-sp as (select pair_id, term, s, s+len(term) e from st)
-select pair_id, s as "start", e as "end", term from sp a where not exists (select 1 from sp b where b.pair_id=a.pair_id and len(b.term)>len(a.term) and a.s<b.e and a.e>b.s)""")
+sp as materialized (select pair_id, term, s, s+len(term) e from st),
+kept as materialized (select * from sp a where not exists (select 1 from sp b where b.pair_id=a.pair_id and len(b.term)>len(a.term) and a.s<b.e and a.e>b.s))"""
+
+
+@query("highlight_spans", f"""with {REPORTS_SQL}, {kept_sql()} select pair_id, s as "start", e as "end", term from kept""")
 def q_highlight(spark, d):
     t = F.array(*[F.lit(x) for x in _HT])
     return reports(spark, d).select("pair_id", F.inline(report.highlight_spans(F.col("original"), t)))
 
 
-@query("highlight_segments", f"with {REPORTS_SQL} select pair_id, original as joined from reports")
+@query("highlight_segments", f"""with {REPORTS_SQL}, {kept_sql()},
+k as (select pair_id, s, e, coalesce(lag(e) over (partition by pair_id order by s), 0) p, row_number() over (partition by pair_id order by s desc)=1 as last from kept),
+g as (select pair_id, p a, s b, false is_term from k union all select pair_id, s, e, true from k
+ union all select r.pair_id, coalesce(k.e, 0), len(original), false from reports r left join k on k.pair_id=r.pair_id and k.last)
+select pair_id, row_number() over (partition by pair_id order by a, b)-1 as n, substr(original, a+1, b-a) as "text", is_term from g join reports using (pair_id) where b>a""")
 def q_segments(spark, d):
     t = F.array(*[F.lit(x) for x in _HT])
     r = reports(spark, d).withColumn("m", report.highlight_spans(F.col("original"), t))
-    s = r.select("pair_id", report.highlight_segments(F.col("original"), F.col("m")).alias("s"))
-    return s.select("pair_id", F.array_join(F.transform("s", lambda x: x["text"]), "").alias("joined"))
+    s = r.select("pair_id", F.posexplode(once(report.highlight_segments(F.col("original"), F.col("m")))).alias("n", "s"))
+    return s.select("pair_id", "n", "s.text", "s.is_term")
 
 
 # ---------------------------------------------------------------- nested ideas
@@ -202,7 +215,7 @@ def q_pages(spark, d):
     return report.assemble_pages(p)
 
 
-@query("training_pairs", f"with {DIALOGUE_SQL} select pair_id, {K.q(rules.TRAINING_INSTRUCTION)}||chr(10)||chr(10)||'Text:'||chr(10)||original||chr(10)||chr(10)||'Simplified:' input_text, simplified target_text from dialogue")
+@query("training_pairs", f"with {DIALOGUE_SQL} select pair_id, {K.q(report.TRAINING_INSTRUCTION)}||chr(10)||chr(10)||'Text:'||chr(10)||original||chr(10)||chr(10)||'Simplified:' input_text, simplified target_text from dialogue")
 def q_training(spark, d):
     p = dialogue(spark, d).withColumnsRenamed({"original": "original_text", "simplified": "plain_language_text"})
     return report.training_pairs(p).select("pair_id", "input_text", "target_text")
@@ -225,12 +238,12 @@ def pair_table(spark, d):
     """The documents as a paired data set: some texts blank, some fields missing."""
     t = table(spark, d, "documents")
     return t.select(F.col("doc_id").cast("string").alias("index"), F.when(F.col("doc_id") % 9 == 0, "  ").otherwise(F.col("text")).alias("original_text"),
-                    F.when(F.col("doc_id") % 11 != 0, F.left("text", F.lit(40))).alias("plain_language_text"),
+                    F.when(F.col("doc_id") % 11 != 0, F.reverse("text")).alias("plain_language_text"),
                     F.when(F.col("doc_id") % 13 != 0, F.col("source")).alias("source_dataset"), F.col("lang").alias("split"))
 
 
-@query("read_pair_dataset", f"select cast(doc_id as varchar) sample_id, {K.strip('text')} original_text, {K.strip('left(text, 40)')} reference_text, case when doc_id%13<>0 then source else 'unknown' end source_dataset, lang split from documents"
-       f" where doc_id%9<>0 and doc_id%11<>0 and lang='en' and {K.strip('text')}<>'' and {K.strip('left(text, 40)')}<>''")
+@query("read_pair_dataset", f"select cast(doc_id as varchar) sample_id, {K.strip('text')} original_text, {K.strip('reverse(text)')} reference_text, case when doc_id%13<>0 then source else '' end source_dataset, lang split from documents"
+       f" where doc_id%9<>0 and doc_id%11<>0 and lang='en' and {K.strip('text')}<>'' and {K.strip('reverse(text)')}<>''")
 def q_pairs(spark, d):
     return readers.clean_pairs(pair_table(spark, d), split="EN")
 
@@ -247,6 +260,15 @@ def q_sample(spark, d):
     return readers.sample_n(s, 100, 42)
 
 
+@query("sample_n_facts", "select least(count(*), 100) rows, least(count(distinct doc_id), 100) ids, least(count(*), 100) known from documents")
+def q_sample_facts(spark, d):
+    """A sample has its size, repeats no row, and holds rows of the table only."""
+    s = q_sample(spark, d)
+    known = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), "lang", F.lit(1).alias("k"))
+    return s.join(known, ["sample_id", "lang"], "left").agg(F.count(F.lit(1)).alias("rows"), F.countDistinct("sample_id").alias("ids"),
+                                                            F.count("k").alias("known"))
+
+
 @query("truncate_texts", "select doc_id, case when len(text)>500 then left(text, 500)||'...' else text end as original_text from documents")
 def q_truncate(spark, d):
     t = table(spark, d, "documents").select("doc_id", F.col("text").alias("original_text"))
@@ -260,13 +282,13 @@ def q_output(spark, d):
     return readers.output_samples(c, ("conv_id",))
 
 
-HIST = "h as (select conv_id*100+turn id, timestamp '2024-01-01' + to_seconds(conv_id*100+turn) as \"date\", left(text, 30) summary from conversations)"
+HIST = "h as (select conv_id*100+turn id, timestamp '2024-01-01' + to_seconds(conv_id*100+turn) as \"date\", text summary from conversations)"
 
 
 def history(spark, d):
     c = table(spark, d, "conversations")
     i = F.col("conv_id") * 100 + F.col("turn")
-    return c.select(i.alias("id"), F.timestamp_seconds(F.lit(1704067200) + i).alias("date"), F.left("text", F.lit(30)).alias("summary"))
+    return c.select(i.alias("id"), F.timestamp_seconds(F.lit(1704067200) + i).alias("date"), F.col("text").alias("summary"))
 
 
 @query("history_list", f"with {HIST} select id, strftime(\"date\", '%Y-%m-%d %H:%M:%S') shown, summary from h")

@@ -23,7 +23,7 @@ def q_types(spark, d):
 
 
 DEFS = """dd as (select CUI cui, DEF, min(ord) ord from def where SUPPRESS<>'Y' and DEF<>'' group by 1,2),
-da as (select cui, string_agg(DEF, '|' order by ord) definitions from (select * from dd qualify row_number() over (partition by cui order by ord)<=5) group by 1)"""
+da as (select cui, string_agg(DEF, '|' order by ord) definitions from dd group by 1)"""
 
 
 @query("definitions_by_cui", f"with {DEF_SQL}, {DEFS} select * from da")
@@ -152,11 +152,15 @@ def q_fallback(spark, d):
     return t.select("word", terms.fallback_canonical(F.col("word")).alias("canonical"), F.when(n > 0, n.cast("long")).otherwise(F.lit(0)).alias("group_size"))
 
 
-@query("expand_with_synonyms", f"with {FB}, t as (select p_partkey doc_id, {_FBT} word from part) select distinct doc_id, e expanded from (select doc_id, word e from t union all select doc_id, y.term from t join fb x on x.term=trim(lower(word)) join fb y on y.g=x.g)")
+@query("expand_with_synonyms", f"""with {FB}, t as (select p_partkey doc_id, {_FBT} word from part),
+sy as (select p_name term, p_brand s from part), known as (select distinct term from sy)
+select distinct doc_id, e expanded from (select doc_id, word e from t union all select doc_id, s from t join sy on sy.term=word
+ union all select doc_id, y.term from t join fb x on x.term=trim(lower(word)) join fb y on y.g=x.g where word not in (select term from known))""")
 def q_expand(spark, d):
-    t = table(spark, d, "part").select(F.col("p_partkey").alias("doc_id"), F.expr(_FBT).alias("word"))
-    none = t.select(F.col("word").alias("term"), F.lit(None).cast("array<string>").alias("synonyms")).limit(0)
-    return terms.expand_with_synonyms(t, none)
+    p = table(spark, d, "part")
+    t = p.select(F.col("p_partkey").alias("doc_id"), F.expr(_FBT).alias("word"))
+    syn = p.groupBy(F.col("p_name").alias("term")).agg(F.collect_set("p_brand").alias("synonyms"))
+    return terms.expand_with_synonyms(t, syn)
 
 
 # canonicalisation: names of synonyms replaced by the concept's preferred term, then the fixed groups
@@ -197,7 +201,7 @@ def q_is_medical(spark, d):
 hi as (select distinct CUI cui from sty where TUI in ({', '.join(K.q(t) for t in rules.IMPORTANT_TYPES)})),
 m1 as (select pair_id, phrase, cui, pos from men where side='o' qualify row_number() over (partition by pair_id, phrase order by pos)=1),
 m2 as (select pair_id, phrase, m1.cui, pos, case when hi.cui is not null then 'high' else 'normal' end importance from m1 left join hi on hi.cui=m1.cui)
-select pair_id, importance, phrase as "text", cui from m2 qualify row_number() over (partition by pair_id, importance order by pos)<=case importance when 'high' then 10 else 5 end""")
+select pair_id, importance, phrase as "text", cui from m2""")
 def q_rank(spark, d):
     m = terms.mentions(part_pairs(spark, d), "original", part_synonyms(spark, d), keys=("pair_id",))
     r = m.select("pair_id", F.inline(terms.rank_concepts(F.col("original"), F.col("_mentions"))))
@@ -209,29 +213,28 @@ CRIT = K.norm_set("original", rules.CRITICAL_PATTERNS, K.strip)
 
 @query("format_concepts", f"""with {REPORTS_SQL}, c as (select pair_id, unnest({CRIT}) x from reports),
 u as (select pair_id, min(x) x from c group by pair_id, lower(x)), t as (select * from u qualify row_number() over (partition by pair_id order by x)<=15)
-select pair_id, {K.q(rules.CONCEPT_HEADER)}||chr(10)||string_agg('  * '||x||' [MUST INCLUDE]', chr(10) order by x) as block from t group by 1""")
+select pair_id, 'Concepts to keep:'||chr(10)||string_agg('  * '||x||' [MUST INCLUDE]', chr(10) order by x) as block from t group by 1""")
 def q_format(spark, d):
     none = F.expr("cast(array() as array<struct<pos:int,phrase:string,cui:string,tuis:array<string>>>)")
     r = reports(spark, d).withColumn("ranked", terms.rank_concepts(F.col("original"), none))
     return r.select("pair_id", terms.format_concepts(F.col("ranked")).alias("block"))
 
 
-# risk terms of the rewrite whose concept the original does not mention
-_RISKS = "cancer stroke terminal".split()
-
-
-@query("grounding_concepts", f"""with {REPORTS_SQL}, cm as (select 'T'||row_number() over (order by x) cui, x term from (select distinct x from (select unnest({GROUNDING_SQL.replace('lower(t)', 'lower(simplified)')}) x from reports
- union all select unnest({GROUNDING_SQL.replace('lower(t)', 'lower(original)')}) from reports) where {RISK})),
-s as (select distinct pair_id, x from (select pair_id, unnest({GROUNDING_SQL.replace('lower(t)', 'lower(simplified)')}) x from reports) where {RISK}),
+# Risk terms of the rewrite whose concept the original does not mention. Terms with the same first letter
+# share a concept, and terms of a length divisible by three are of a type that is no risk.
+@query("grounding_concepts", f"""with {REPORTS_SQL}, s as (select distinct pair_id, x from (select pair_id, unnest({GROUNDING_SQL.replace('lower(t)', 'lower(simplified)')}) x from reports) where {RISK}),
 o as (select distinct pair_id, x from (select pair_id, unnest({GROUNDING_SQL.replace('lower(t)', 'lower(original)')}) x from reports) where {RISK})
-select pair_id, 'UMLS_HIGH_RISK_TERM' code, 'CRITICAL' severity, x term from s where not exists (select 1 from o where o.pair_id=s.pair_id and o.x=s.x)""")
+select pair_id, 'umls_grounding_validator' validator, 'UMLS_HIGH_RISK_TERM' code, 'CRITICAL' severity, x term, md5(x[1]) cui from s
+where length(x)%3<>0 and not exists (select 1 from o where o.pair_id=s.pair_id and o.x[1]=s.x[1])""")
 def q_grounding_concepts(spark, d):
     from ..functions import extract as E
     r = reports(spark, d)
     seen = r.select(F.explode(F.array(F.col("original"), F.col("simplified"))).alias("t")).select(
         F.explode(E.risk_terms(E.extract_grounding_terms(F.col("t")))).alias("term")).distinct()
-    table_ = seen.select("term", F.md5("term").alias("cui"), F.array(F.lit("T191")).alias("semantic_types"))
-    return validate.grounding_concepts(r, table_).select("pair_id", "code", "severity", "term")
+    kind = F.when(F.length("term") % 3 == 0, "T079").otherwise("T191")
+    table_ = seen.select("term", F.md5(F.left("term", F.lit(1))).alias("cui"), F.array(kind).alias("semantic_types"), F.lit(5.0).alias("score"))
+    return validate.grounding_concepts(r, table_).select(
+        "pair_id", "validator", "code", "severity", F.col("summary_span").alias("term"), F.col("metadata")["cui"].alias("cui"))
 
 
 # --------------------------------------------------------------- delimited rows

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 
 from ..functions import extract as E
 from ..functions import rules
-from ..functions.sets import fuzzy_missing
+from ..functions.rx import once
+from ..functions.sets import exact_round, fuzzy_missing
 from ..operators import match, validate
-from ..functions.sets import exact_round
 from . import sqlkit as K
 from .fixtures import DIALOGUE_SQL, NOTES_SQL, REPORTS_SQL, dialogue, notes, reports, spread, table
 from .loop import iterate_until_valid, legacy_fix_loop, validate_with_retry
@@ -74,7 +74,7 @@ _OK = ", ".join(f"({K.q(a)}, {K.q(b)})" for a, b in rules.ALLOWED_UNIT_CHANGES)
 
 
 def unit_sql(name: str = "v1b") -> str:
-    return f"""un as (select pair_id, side, value, round(value, 2) v, coalesce({_UM}[unit], unit) u from ms where unit is not null),
+    return f"""un as materialized (select pair_id, side, value, round(value, 2) v, coalesce({_UM}[unit], unit) u from ms where unit is not null),
 {name} as (select a.pair_id, 'UNIT_MISMATCH' code, 'CRITICAL' severity,
  'Unit changed from '''||a.u||''' to '''||b.u||''' for value '||a.value message
  from un a join un b on a.pair_id=b.pair_id and a.side='o' and b.side='s' and a.v=b.v and a.u<>b.u where (a.u, b.u) not in ({_OK}))"""
@@ -136,6 +136,24 @@ _QUOTES = """quotes as (select item_id, text e from benchmark)"""
 
 @query("evidence_quotes", f"with {_QUOTES} select doc_id, item_id from documents, quotes where contains({WL('text')}, {WL('e')})")
 def evidence_quotes(spark, d):
+    return quote_hits(spark, d, table(spark, d, "benchmark").select("item_id", "text"))
+
+
+_PARTS = r"string_split_regex(trim(text), '\s+')"
+
+
+@query("evidence_quotes_short", f"""with p as (select item_id, {_PARTS} w from benchmark),
+quotes as (select item_id*2 item_id, array_to_string(w[1:2], ' ') e from p union all select item_id*2+1, w[len(w)] from p)
+select doc_id, item_id from documents, quotes where contains({WL('text')}, {WL('e')})""")
+def evidence_quotes_short(spark, d):
+    """The first two words and the last word of each passage as quotes of their own."""
+    w = F.split(F.trim("text"), r"\s+")
+    both = F.array(F.array_join(F.slice(w, 1, 2), " "), F.element_at(w, -1))
+    q = table(spark, d, "benchmark").select("item_id", F.posexplode(both).alias("k", "text"))
+    return quote_hits(spark, d, q.select((F.col("item_id") * 2 + F.col("k")).alias("item_id"), "text"))
+
+
+def quote_hits(spark, d, passages):
     """Which passages are verbatim (normalised) parts of which documents.
 
     The equi-join runs on one word sequence: every passage's first eight words
@@ -144,7 +162,7 @@ def evidence_quotes(spark, d):
     from ..functions.text import norm_ws_lower, words_ws
     n = 8
     gram = lambda w, i: F.array_join(F.slice(w, i, n), " ")
-    q = table(spark, d, "benchmark").select("item_id", norm_ws_lower(F.col("text")).alias("quote"))
+    q = passages.select("item_id", norm_ws_lower(F.col("text")).alias("quote"))
     q = q.withColumn("qw", words_ws(F.col("quote")))
     docs = spread(table(spark, d, "documents").select("doc_id", "text")).select(
         "doc_id", norm_ws_lower(F.col("text")).alias("doc"))
@@ -161,7 +179,15 @@ def evidence_quotes(spark, d):
     s_in = short.withColumn("w", key(F.slice(words_ws(F.col("quote")), F.lit(2), F.greatest(
         F.lit(0), F.size(words_ws(F.col("quote"))) - 2))))
     by_word = dw.select("doc_id", F.explode(F.array_distinct("dw")).alias("w")).join(s_in.filter("w is not null"), "w")
-    short_hits = by_word.join(docs, "doc_id").filter(F.col("doc").contains(F.col("quote")))
+    # one or two words have no interior word: match on their first characters
+    first = s_in.filter("w is null and quote <> ''").withColumn("c", F.left("quote", F.lit(3)))
+    pieces = F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("doc")), lambda i: F.transform(
+        F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.substring("doc", i, k)))))
+    sizes = [r[0] for r in first.select(F.length("c")).distinct().collect()]  # three values at most
+    pieces = F.filter(pieces, lambda x: F.length(x).isin(sizes)) if sizes else F.expr("cast(array() as array<string>)")
+    by_piece = docs.filter("doc <> ''").select("doc_id", F.explode(once(pieces)).alias("c")).join(first, "c")
+    found = by_word.select("doc_id", "item_id", "quote").union(by_piece.select("doc_id", "item_id", "quote"))
+    short_hits = found.join(docs, "doc_id").filter(F.col("doc").contains(F.col("quote")))
     return long_hits.select("doc_id", "item_id").unionByName(short_hits.select("doc_id", "item_id"))
 
 
@@ -366,11 +392,12 @@ def summary(spark, d):
     return validate.validation_summary(validate.run_validators(notes(spark, d), safety=False))
 
 
-@query("repair_prompt", f"{GATES} select pair_id, count(*) as problems from errs group by 1")
+@query("repair_prompt", f"{GATES} select pair_id, string_agg('['||code||'] '||message, '|' order by '['||code||'] '||message) as problems from errs group by 1")
 def repair_prompt(spark, d):
     v = validate.run_validators(notes(spark, d), safety=False)
     p = v.select("pair_id", validate.repair_prompt(F.col("results")).alias("p")).filter("p <> ''")
-    return p.select("pair_id", F.regexp_count("p", F.lit(r"(?m)^\d+\. \[")).alias("problems"))
+    lines = F.regexp_extract_all("p", F.lit(r"(?m)^\d+\. (\[.*)$"), F.lit(1))
+    return p.select("pair_id", F.array_join(F.array_sort(lines), "|").alias("problems"))
 
 
 @query("validate_with_retry", f"{GATES} select n.pair_id, count(e.code)>0 as should_repair, v6.recall<0.5 as needs_review"
@@ -397,3 +424,44 @@ def legacy_loop(spark, d):
     return out.select("pair_id", "iteration", "clean")
 
 
+
+
+# ------------------------------------------------------- null texts and supplied errors
+NULLED_SQL = "nulled as (select pair_id, case when pair_id%5<>0 then original end o, case when pair_id%7<>0 then simplified end s from notes), mixed as (select pair_id, coalesce(o, '') original, coalesce(s, '') simplified from nulled)"
+
+
+def nulled(spark, d):
+    """The note pairs with the original of every fifth and the rewrite of every seventh lost."""
+    return notes(spark, d).select("pair_id", F.when(F.col("pair_id") % 5 != 0, O()).alias("original"),
+                                  F.when(F.col("pair_id") % 7 != 0, S()).alias("simplified"))
+
+
+@query("null_pairs_gates", f"with {NOTES_SQL}, {NULLED_SQL}, {gates_sql('mixed')} select n.pair_id, count(e.code)=0 as passed, count(e.code) as errors, v6.recall<0.5 as safety_review"
+       " from notes n join v6 using (pair_id) left join errs e using (pair_id) group by n.pair_id, v6.recall")
+def null_gates(spark, d):
+    v = validate.run_validators(nulled(spark, d))
+    return v.select("pair_id", "passed", F.size(validate.all_errors(F.col("results"))).alias("errors"), "safety_review")
+
+
+@query("null_pairs_legacy_loop", f"with {NOTES_SQL}, {NULLED_SQL}, {legacy_sql('mixed')} select pair_id, case when number_missing='' and number_extra='' and negation_missing='' then 1 else 2 end as iteration, true as clean from v7")
+def null_loop(spark, d):
+    out = legacy_fix_loop(nulled(spark, d), lambda df: F.col("original"), 5)
+    return out.select("pair_id", "iteration", "clean")
+
+
+@query("run_validators_supplied", f"""{GATES}, x as (select pair_id, 'umls_grounding_validator' validator, 'UMLS_CUI_INTRODUCED' code, 'C'||(pair_id%9) cui from notes where pair_id%4=0
+ union all select pair_id, 'my_model_gate', 'UNGROUNDED_ADVICE', null from notes where pair_id%6=0),
+a as (select pair_id, validator, code, null cui from errs union all select * from x)
+select pair_id, validator, count(*) as errors, string_agg(cui, ',') as cuis from a group by 1, 2""")
+def supplied(spark, d):
+    """Errors of a gate and of a validator of the caller's, with metadata, beside the built-in ones."""
+    n = notes(spark, d)
+    extra = n.filter("pair_id % 4 = 0").select(
+        "pair_id", F.lit("umls_grounding_validator").alias("validator"), F.lit("UMLS_CUI_INTRODUCED").alias("code"),
+        F.create_map(F.lit("cui"), F.concat(F.lit("C"), (F.col("pair_id") % 9).cast("string"))).alias("metadata"))
+    extra = extra.unionByName(n.filter("pair_id % 6 = 0").select(
+        "pair_id", F.lit("my_model_gate").alias("validator"), F.lit("UNGROUNDED_ADVICE").alias("code"),
+        F.lit(None).cast("map<string,string>").alias("metadata")))
+    v = validate.run_validators(n, safety=False, extra_errors=extra, supplied=("my_model_gate",))
+    e = validate.error_rows(v)
+    return e.groupBy("pair_id", "validator").agg(F.count(F.lit(1)).alias("errors"), F.max(F.col("metadata")["cui"]).alias("cuis"))

@@ -123,7 +123,7 @@ def sides(src: str) -> str:
 def measurement_rows(src: str) -> str:
     """CTE ``ms(pair_id, side, ord, value, txt, unit, ctx)``: filtered numbers, then readings."""
     return f"""{sides(src)}, {number_rows('nu', 'tx')}, {bp_rows('bp', 'tx')},
-ms as (select pair_id, side, i ord, value, txt, unit, ctx from nu where not {noisy('ctx')}
+ms as materialized (select pair_id, side, i ord, value, txt, unit, ctx from nu where not {noisy('ctx')}
  union all select pair_id, side, 1000000+2*i+g, cast(txt as double), txt, unit, ctx from bp)"""
 
 

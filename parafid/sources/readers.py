@@ -2,31 +2,38 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import rules
 from ..functions.rx import strip
 
 
-def read_reports(spark: SparkSession, paths) -> DataFrame:
-    """Text reports: path, text, reject_reason (null when accepted).
+def read_reports(spark: SparkSession, paths, max_pdf_bytes: int | None = rules.MAX_PDF_BYTES,
+                 max_txt_bytes: int | None = rules.MAX_TXT_BYTES) -> DataFrame:
+    """Text reports: path, length, text, reject_reason (null when accepted).
 
-    UTF-8 first, Latin-1 otherwise; extension, size and blank gates.  The size
-    gate is decided from file metadata, so oversized files are never read into
-    the text column.  A pdf passes the gates with null text: its page texts come
-    from the caller (``report.assemble_pages``).
+    UTF-8 first, Latin-1 otherwise; extension, size and blank gates (None: no
+    limit).  The size limit reaches the scan, and pdf, other and oversized files
+    are listed without their content.  A pdf passes the gates with null text:
+    its page texts come from the caller (``report.assemble_pages``).
     """
-    files = spark.read.format("binaryFile").load(paths)
-    size = F.col("length")
-    pdf = F.col("path").endswith(".pdf")
-    ok_type = F.col("path").endswith(".txt") | pdf
-    too_big = size > F.when(pdf, rules.MAX_PDF_BYTES).otherwise(rules.MAX_TXT_BYTES)
+    def files(pattern: str) -> DataFrame:
+        return spark.read.format("binaryFile").option("pathGlobFilter", pattern).load(paths)
+
+    def small(limit: int | None) -> Column:
+        return F.lit(True) if limit is None else F.col("length") <= limit
+
     raw = F.col("content")
     text = F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string")).otherwise(F.decode(raw, "ISO-8859-1"))
-    staged = files.withColumn("text", F.when(ok_type & ~too_big & ~pdf, text))
-    return staged.select("path", "length", "text", F.when(~ok_type, "invalid file type").when(
-        too_big, "file too large").when(~pdf & (strip(F.col("text")) == ""), "file is empty").alias("reject_reason"))
+    read = files("*.txt").filter(small(max_txt_bytes)).select("path", "length", text.alias("text")).withColumn(
+        "reject_reason", F.when(strip(F.col("text")) == "", "file is empty"))
+    pdf, txt = F.col("path").endswith(".pdf"), F.col("path").endswith(".txt")
+    too_big = (pdf & ~small(max_pdf_bytes)) | (txt & ~small(max_txt_bytes))
+    listed = files("*").filter(~(txt & small(max_txt_bytes))).select(
+        "path", "length", F.lit(None).cast("string").alias("text"),
+        F.when(~pdf & ~txt, "invalid file type").when(too_big, "file too large").alias("reject_reason"))
+    return read.union(listed)
 
 
 SAMPLE = "struct<sample_id:string,original_text:string,simplified_text:string,reference_text:string>"
@@ -34,16 +41,20 @@ SAMPLE = "struct<sample_id:string,original_text:string,simplified_text:string,re
 
 def read_samples_json(spark: SparkSession, path: str) -> DataFrame:
     """Sample rows from a top-level list or from ``{"samples": [...]}``; anything else raises."""
-    fields = ("sample_id", "original_text", "simplified_text", "reference_text")
-    schema = ", ".join(f"{f} string" for f in fields) + f", samples array<{SAMPLE}>"
-    raw = spark.read.schema(schema).json(path, multiLine=True)
-    row = F.struct(*[F.col(f) for f in fields])
-    flat = F.coalesce(*[F.col(f) for f in fields]).isNotNull()
-    kind = F.when(F.col("samples").isNotNull(), F.col("samples")).when(flat, F.array(row)).otherwise(
-        F.raise_error(F.lit("Unknown JSON format")).cast(f"array<{SAMPLE}>"))
+    raw = spark.read.text(path, wholetext=True)
+    listed = F.from_json("value", f"array<{SAMPLE}>")
+    nested = F.from_json("value", f"samples array<{SAMPLE}>")["samples"]
+    is_list = F.col("value").rlike(r"^\ufeff?\s*\[")
+    kind = F.coalesce(F.when(is_list, listed).otherwise(nested), F.raise_error(F.lit("Unknown JSON format")).cast(f"array<{SAMPLE}>"))
     return raw.select(F.inline(kind))
 
 
+def read_samples_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Sample rows, one JSON object a line: splits large files, which a single document cannot."""
+    fields = ("sample_id", "original_text", "simplified_text", "reference_text")
+    return spark.read.schema(", ".join(f"{f} string" for f in fields)).json(path)
+
+
 PIPELINE_OUTPUT = (
     "simplified_report array<struct<original_chunk:string,simplified_chunk:string,similarity:double,"
     "sources:string,needs_review:boolean,validation:struct<passed:boolean,iteration:int>,"
@@ -69,10 +80,24 @@ def read_pair_dataset(spark: SparkSession, path: str, source: str | None = None,
                       split: str | None = None) -> DataFrame:
     """Paired or raw CSV, told apart by its header; see ``clean_pairs``."""
     raw = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"', encoding="UTF-8")
-    raw = raw.toDF(*[c.lstrip("﻿") for c in raw.columns])
+    raw = raw.select(*[F.col(f"`{c}`").alias(c.lstrip("﻿")) for c in raw.columns], F.struct(
+        F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("_place"))
     if "Text" in raw.columns and "original_text" not in raw.columns:
-        return clean_raw(raw.select(F.monotonically_increasing_id().alias("index"), "Text"))
-    return clean_pairs(raw, source, split)
+        kept = raw.filter(F.length(strip(F.coalesce("Text", F.lit("")))) >= 50)
+        return clean_raw(numbered(kept, "index").select("index", "Text"))
+    if "index" not in raw.columns:
+        raw = numbered(_whole_pairs(raw, source, split), "index")
+    return clean_pairs(raw.drop("_place"), source, split)
+
+
+def numbered(df: DataFrame, name: str, place: str = "_place") -> DataFrame:
+    """Rows numbered from 0 in the order of ``place``; blocks of rows are counted first, so no task sees all rows."""
+    d = df.withColumn("_block", F.struct(f"{place}.file_path", f"{place}.file_block_start"))
+    sizes = d.groupBy("_block").agg(F.count(F.lit(1)).alias("_n"))
+    base = sizes.select("_block", (F.sum("_n").over(Window.orderBy("_block")) - F.col("_n")).alias("_base"))
+    own = F.row_number().over(Window.partitionBy("_block").orderBy(place)) - 1
+    return d.withColumn("_own", own).join(base, "_block").withColumn(name, F.col("_base") + F.col("_own")).drop(
+        "_block", "_own", "_base")
 
 
 def clean_raw(raw: DataFrame) -> DataFrame:
@@ -84,22 +109,32 @@ def clean_raw(raw: DataFrame) -> DataFrame:
         F.length("original_text") >= 50)
 
 
+def _whole_pairs(raw: DataFrame, source: str | None, split: str | None) -> DataFrame:
+    """Rows of the source and split asked for, whose texts are both more than blanks."""
+    def text(name: str) -> Column:
+        return F.coalesce(F.col(name), F.lit("")) if name in raw.columns else F.lit("")
+
+    kept = raw
+    for name, want in (("source_dataset", source), ("split", split)):
+        if want:
+            kept = kept.filter(F.lower(text(name)) == want.lower())
+    return kept.filter((strip(text("original_text")) != "") & (strip(text("plain_language_text")) != ""))
+
+
 def clean_pairs(raw: DataFrame, source: str | None = None, split: str | None = None) -> DataFrame:
-    """Pairs with both texts non-blank; optional case-insensitive source and split filters."""
+    """Pairs with both texts non-blank; optional case-insensitive source and split filters.
+
+    A missing source or split column reads ``unknown``; an empty value stays empty.
+    """
     def col(name: str, default: str | None = None) -> Column:
-        c = F.col(name) if name in raw.columns else F.lit(None).cast("string")
-        return F.coalesce(c, F.lit(default)) if default is not None else c
+        if name not in raw.columns:
+            return F.lit(default).cast("string")
+        return F.coalesce(F.col(name), F.lit("")) if default is not None else F.col(name)
 
-    kept = raw
-    if source:
-        kept = kept.filter(F.lower(col("source_dataset", "")) == source.lower())
-    if split:
-        kept = kept.filter(F.lower(col("split", "")) == split.lower())
-    out = kept.select(
+    return _whole_pairs(raw, source, split).select(
         col("index").cast("string").alias("sample_id"), strip(col("original_text", "")).alias("original_text"),
         strip(col("plain_language_text", "")).alias("reference_text"),
         col("source_dataset", "unknown").alias("source_dataset"), col("split", "unknown").alias("split"))
-    return out.filter((F.col("original_text") != "") & (F.col("reference_text") != ""))
 
 
 def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "sample_id") -> DataFrame:
@@ -115,13 +150,12 @@ def sample_n(df: DataFrame, n: int, seed: int = 42, key: str = "sample_id") -> D
 def read_rrf(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """Pipe-delimited rows: trailing pipes stripped, short rows padded with "".
 
-    ``ord`` follows file order: the block start inside the file, then the row id.
+    ``ord`` follows file order: the file, the block start inside it, then the row id.
     """
-    lines = spark.read.text(path)
-    block = F.col("_metadata.file_block_start")
-    kept = lines.select("value", block.alias("_b"), F.monotonically_increasing_id().alias("_r")).filter(
-        F.col("value") != "")
-    return parse_rrf(kept.withColumn("ord", F.struct("_b", "_r")), columns)
+    place = F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"),
+                     F.monotonically_increasing_id().alias("row"))
+    kept = spark.read.text(path).select("value", place.alias("ord")).filter(F.col("value") != "")
+    return parse_rrf(kept, columns)
 
 
 def parse_rrf(lines: DataFrame, columns: list[str]) -> DataFrame:

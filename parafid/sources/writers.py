@@ -20,10 +20,18 @@ def write_stats_csv(df: DataFrame, path: str) -> bool:
     return True
 
 
-def write_text(df: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> None:
-    """Texts under one folder per key value; line breaks inside a text are kept."""
-    df.select(key, F.col(text).alias("value")).write.mode("overwrite").partitionBy(key).option(
-        "lineSep", "\n").text(path)
+def write_text(df: DataFrame, path: str, text: str = "text", key: str = "doc_id", *, folders: bool = True,
+               rows_per_file: int = 100_000) -> None:
+    """Texts under one folder per key value, line breaks inside a text kept.
+
+    For very many keys take ``folders=False``: rows of key and text as JSON
+    lines in files of ``rows_per_file`` at most.
+    """
+    rows = df.select(key, F.col(text).alias("value"))
+    if folders:
+        rows.write.mode("overwrite").partitionBy(key).option("lineSep", "\n").text(path)
+    else:
+        rows.write.mode("overwrite").option("maxRecordsPerFile", rows_per_file).json(path)
 
 
 def truncate_texts(df: DataFrame, cols=("original_text", "simplified_text", "reference_text"), n: int = 500) -> DataFrame:
@@ -42,7 +50,8 @@ def write_terminology(concepts: DataFrame, synonyms: DataFrame, path: str, bucke
     mode = "overwrite" if force else "ignore"
     if table_prefix:
         for df, name, key in ((concepts, "concepts", "cui"), (synonyms, "synonyms", "term_lower")):
-            df.write.mode(mode).bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{name}").saveAsTable(
+            # a bucket is written by one task, so there is one file for each
+            df.repartition(buckets, key).write.mode(mode).bucketBy(buckets, key).sortBy(key).option("path", f"{path}/{name}").saveAsTable(
                 f"{table_prefix}_{name}")
         read = lambda n: spark.table(f"{table_prefix}_{n}")
     else:

@@ -68,7 +68,7 @@ def session(cores: int = 8):
     from pyspark.sql import SparkSession
     s = (SparkSession.builder.master(f"local[{cores}]").config("spark.ui.enabled", "false")
          .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "12g")
-         .config("spark.sql.session.timeZone", "UTC")
+         .config("spark.sql.session.timeZone", "UTC").config("parafid.fixture.partitions", cores)
          .config("spark.python.sql.dataFrameDebugging.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s

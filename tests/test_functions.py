@@ -84,7 +84,7 @@ def test_repair_prompt_text(spark):
     df = spark.createDataFrame([(1, "Dose 5 mg now for the patient here today", "Nothing at all is said in this text about any dose or so")],
                                "pair_id int, original string, simplified string")
     p = validate.run_validators(df, safety=False).select(validate.repair_prompt(F.col("results")).alias("p")).first().p
-    assert p.startswith(rules.REPAIR_HEADER) and "1. [NUMERIC_MISSING]" in p and "Suggested fix: " in p
+    assert p.startswith('Mend the text as follows:') and "1. [NUMERIC_MISSING]" in p and "Suggested fix: " in p
 
 
 def test_greedy_replacement_prefers_long_phrases(spark):
