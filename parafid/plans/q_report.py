@@ -312,8 +312,7 @@ def q_history_delete(spark, d):
 @query("process_reports")
 def q_process(spark, d):
     r = spread(reports(spark, d)).select(F.col("pair_id").alias("doc_id"), F.col("original").alias("text"))
-    chunks, whole, glossary = process_reports(r, lambda c: F.col("original"), lambda c: F.col("original"), safety=False)
-    del chunks, glossary
-    return whole.select("doc_id", "chunks", "needs_review", F.length("simplified_text").alias("chars"))
+    done = process_reports(r, lambda c: F.col("original"), lambda c: F.col("original"), safety=False)
+    return done.reports.select("doc_id", "chunks", "needs_review", F.length("simplified_text").alias("chars"))
 
 

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from parafid.functions import rules
-from parafid.operators import evaluate, terms
-from parafid.plans.loop import iterate_until_valid
+from parafid.operators import evaluate, terms, validate
+from parafid.plans.loop import iterate_until_valid, legacy_fix_loop
 from parafid.sources import readers, writers
 from parafid.streaming.ops import append_runs, ops_windowed
 
@@ -118,10 +118,127 @@ def test_process_reports_end_to_end(spark):
     text = "Plan: rest for the patient at home with plenty of fluids and sleep.\nLABS: Dose 5 mg was given on the left side of the patient today."
     docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
     lost = "Nothing of note is said in this rewritten text about any dose at all."
-    chunks, whole, glossary = process_reports(
+    chunks, whole, glossary, sources = process_reports(
         docs, lambda c: F.when(F.col("title") == "LABS", lost).otherwise(F.col("original")), lambda c: F.col("original"), safety=False)
     got = {r.chunk_index: (r.iteration, r.similarity, r.needs_review) for r in chunks.collect()}
     assert got == {0: (1, 1.0, False), 1: (2, 1.0, False)}
     row = whole.first()
     assert row.chunks == 2 and row.simplified_text == row.original_text and lost not in row.simplified_text
-    assert glossary.count() > 0
+    assert glossary.count() > 0 and sources.count() == 0
+
+
+def test_process_reports_keywords_and_citations(spark):
+    """A generator that also gives keywords and citations: the keyword loop runs first, citations merge over chunks."""
+    from parafid.plans.process import process_reports
+    text = "Plan: rest for the patient at home with plenty of fluids and sleep.\nLABS: Dose 5 mg of aspirin was given to the patient today."
+    docs = spark.createDataFrame([(1, text), (2, None)], "doc_id int, text string")
+    cite = F.when(F.col("title") == "LABS", F.create_map(F.lit("Guide"), F.array(F.lit("p2")), F.lit("Atlas"), F.array(F.lit("p3")))).otherwise(
+        F.create_map(F.lit("Guide"), F.array(F.lit("p1"))))
+    lost = F.when(F.col("title") == "LABS", "The patient was given some dose of a drug today at the ward.").otherwise(F.col("original"))
+    sources = spark.createDataFrame([(1, "Guide", 1, "http://g", "G"), (1, "Guide", 2, "http://late", "L"), (1, "Atlas", 3, "http://a", "A")],
+                                    "doc_id int, title string, ord int, url string, summary string")
+    done = process_reports(
+        docs, lambda c: F.struct(lost.alias("text"), F.array(F.lit("patient")).alias("keywords"), cite.alias("citations")),
+        lambda c: F.col("original"), keyword_repair=lambda c: F.col("original"), sources=sources, safety=False)
+    got = {(r.doc_id, r.chunk_index): r for r in done.chunks.collect()}
+    assert got[1, 0].keyword_iteration == 1 and got[1, 1].keyword_iteration == 2 and got[1, 1].iteration == 1
+    report = {r.doc_id: r for r in done.reports.collect()}[1]
+    assert report.citations == {"Guide": ["p1", "p2"], "Atlas": ["p3"]}
+    assert [(r.title, r.citation_number, r.url) for r in done.sources.orderBy("citation_number").collect()] == [
+        ("Guide", 1, "http://g"), ("Atlas", 2, "http://a")]
+
+
+def test_loops_lose_no_rows(spark):
+    rows = [(1, "Dose 5 mg today for the patient at home.", None), (2, None, "x"), (3, None, None), (4, "No stroke was seen.", "No stroke was seen.")]
+    df = spark.createDataFrame(rows, "pair_id int, original string, simplified string")
+    none = lambda d: F.lit(None).cast("string")
+    for repair in (none, lambda d: F.col("original")):
+        assert sorted(r.pair_id for r in iterate_until_valid(df, repair, 3).collect()) == [1, 2, 3, 4]
+        assert sorted(r.pair_id for r in legacy_fix_loop(df, repair, 3).collect()) == [1, 2, 3, 4]
+
+
+def test_null_rewrite_keeps_nothing(spark):
+    df = spark.createDataFrame([(1, "Dose 5 mg. Blood pressure 120/80 mmHg with stroke.", None)], "pair_id int, original string, simplified string")
+    v = validate.run_validators(df).first()
+    assert v.recall == 0.0 and v.safety_review and not v.passed
+    assert all(e is not None for e in v.results) and any(e.code == "EMPTY_CONTENT" for r in v.results for e in r.errors)
+
+
+def test_supplied_errors_must_be_named(spark):
+    df = spark.createDataFrame([(1, "a", "b")], "pair_id int, original string, simplified string")
+    extra = spark.createDataFrame([(1, "mine", "X", {"k": "v"})], "pair_id int, validator string, code string, metadata map<string,string>")
+    got = validate.error_rows(validate.run_validators(df, (), safety=False, extra_errors=extra, supplied=("mine",))).first()
+    assert got.code == "X" and got.metadata == {"k": "v"}
+    with pytest.raises(Exception, match="mine"):
+        validate.run_validators(df, safety=False, extra_errors=extra).collect()
+
+
+def test_no_caps_unless_asked(spark):
+    pats = " ".join(f"Blood pressure {100 + i}/{60 + i} mmHg." for i in range(40))
+    none = F.expr("cast(array() as array<struct<pos:int,phrase:string,cui:string,tuis:array<string>>>)")
+    r = spark.createDataFrame([(pats,)], "t string").select(terms.rank_concepts(F.col("t"), none).alias("r"))
+    n, block, whole = r.select(F.size("r"), terms.format_concepts(F.col("r")), terms.format_concepts(F.col("r"), None)).first()
+    assert n > 15 and block.count("MUST INCLUDE") == 15 and whole.count("MUST INCLUDE") == n
+
+
+def test_safety_block(spark):
+    s = spark.range(1).select(validate.safety_block(F.struct(F.lit(0.25).alias("recall"), F.array(*[F.lit(f"c{i}") for i in range(12)]).alias("missing"))).alias("b"))
+    b = s.first().b
+    assert "0.25" in b and b.count("\n- ") == 10 and b.endswith("... and 2 more")
+
+
+def test_ops_of_no_runs_and_of_many(spark):
+    empty = spark.createDataFrame([], "latency_ms double, input_tokens int, output_tokens int, retry_count int, refinement_count int, first_pass_success boolean")
+    assert tuple(evaluate.ops_metrics(empty).first()) == (0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0, 0.0)
+    runs = spark.range(5000).select(((F.col("id") * 7919) % 5000 / 3.0).alias("latency_ms"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"),
+                                    F.lit(0).alias("retry_count"), F.lit(0).alias("refinement_count"), F.lit(True).alias("first_pass_success"))
+    want = sorted(r.latency_ms for r in runs.collect())
+    got = evaluate.ops_metrics(runs, bins=7, rows=10).first()
+    assert got.latency_p50_ms == round(want[2500], 2) and got.latency_p95_ms == round(want[4750], 2)
+
+
+def test_bare_object_is_no_sample_list(spark, tmp_path):
+    (tmp_path / "b.json").write_text('{"sample_id": "1", "original_text": "a", "simplified_text": "b"}')
+    with pytest.raises(Exception, match="Unknown JSON format"):
+        readers.read_samples_json(spark, str(tmp_path / "b.json")).collect()
+    (tmp_path / "l.jsonl").write_text('{"sample_id": "1", "original_text": "a"}\n{"sample_id": "2"}\n')
+    assert readers.read_samples_lines(spark, str(tmp_path / "l.jsonl")).count() == 2
+
+
+def test_pairs_without_index_are_numbered(spark, tmp_path):
+    folder = tmp_path / "c"
+    folder.mkdir()
+    for n in range(2):
+        (folder / f"p{n}.csv").write_text("original_text,plain_language_text,source_dataset\n" + "".join(
+            f"o{n}{i},{'' if i == 1 else 'r'},\n" for i in range(4)))
+    rows = readers.read_pair_dataset(spark, str(folder)).collect()
+    assert sorted((int(r.sample_id), r.original_text, r.source_dataset, r.split) for r in rows) == [
+        (k, f"o{n}{i}", "", "unknown") for k, (n, i) in enumerate((n, i) for n in range(2) for i in (0, 2, 3))]
+
+
+def test_rrf_parts_keep_their_order(spark, tmp_path):
+    for n in (1, 0):
+        (tmp_path / f"M{n}.RRF").write_text("".join(f"{n}{i}|x\n" for i in range(3)))
+    rows = readers.read_rrf(spark, str(tmp_path), ["x", "y"]).orderBy("ord").collect()
+    assert [r.x for r in rows] == ["00", "01", "02", "10", "11", "12"]
+
+
+def test_bucketed_terminology_has_one_file_a_bucket(spark, tmp_path):
+    c = spark.range(500).select(F.concat(F.lit("C"), F.col("id").cast("string")).alias("cui")).repartition(6)
+    s = c.select("cui", F.lower("cui").alias("term_lower"))
+    writers.write_terminology(c, s, str(tmp_path), buckets=4, table_prefix="t_one")
+    assert len(list((tmp_path / "concepts").glob("part-*"))) <= 4 and len(list((tmp_path / "synonyms").glob("part-*"))) <= 4
+
+
+def test_texts_in_bounded_files(spark, tmp_path):
+    df = spark.createDataFrame([(i, f"line\n{i}") for i in range(10)], "doc_id int, text string").coalesce(1)
+    writers.write_text(df, str(tmp_path / "o"), folders=False, rows_per_file=3)
+    assert len(list((tmp_path / "o").glob("part-*"))) == 4
+    assert spark.read.json(str(tmp_path / "o")).filter("value = concat('line\n', doc_id)").count() == 10
+
+
+def test_highlight_terms_are_literal(spark):
+    from parafid.operators import report
+    t = spark.createDataFrame([("a \\E b lung a\\Ec lung",)], "t string")
+    got = t.select(report.highlight_spans(F.col("t"), F.array(F.lit(""), F.lit("a\\Ec"), F.lit("lung"))).alias("s")).first().s
+    assert [(s.term, s.start) for s in got] == [("lung", 7), ("a\\Ec", 12), ("lung", 17)]
