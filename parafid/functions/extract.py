@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import rules
-from .rx import any_of, collapse, contains_any, count_all, expand, find_all, has, jrx, let, literal_words, needles, spans, spans_of, strip
+from .rx import any_of, collapse, contains_any, count_all, expand, find_all, find_if, folded, has, jrx, let, literal_words, needles, required, spans, spans_of, strip
 from .text import norm_nospace, sanitize_keyword, words_bounded, words_ws
 
 NUMBER_TYPE = "array<struct<value:double,text:string,unit:string,context:string>>"
@@ -95,8 +95,12 @@ def extract_drug_names(c: Column) -> Column:
     return F.array_distinct(F.concat(*found))
 
 
+def _patterns(c: Column, low: Column, patterns, norm, flags: str = "i") -> Column:
+    return F.array_distinct(F.concat(*[F.transform(find_if(c, low, p, flags), norm) for p in patterns]))
+
+
 def _pattern_set(c: Column, patterns, norm, flags: str = "i") -> Column:
-    return F.array_distinct(F.concat(*[F.transform(find_all(c, p, flags), norm) for p in patterns]))
+    return let(folded(c), lambda low: _patterns(c, low, patterns, norm, flags))
 
 
 def extract_critical(c: Column) -> Column:
@@ -106,8 +110,8 @@ def extract_critical(c: Column) -> Column:
 def extract_critical_typed(c: Column, pack=None) -> Column:
     """Map type -> distinct lower-cased, collapsed matches."""
     pack = pack or rules.CRITICAL_TYPED
-    return F.create_map(*[x for name, p in pack.items() for x in (
-        F.lit(name), _pattern_set(c, [p], lambda m: collapse(F.lower(m))))])
+    return let(folded(c), lambda low: F.create_map(*[x for name, p in pack.items() for x in (
+        F.lit(name), _patterns(c, low, [p], lambda m: collapse(F.lower(m))))]))
 
 
 def extract_quality_group(c: Column, group: str) -> Column:
@@ -122,8 +126,11 @@ def extract_measurement_keys(c: Column) -> Column:
 
 
 def count_medical_terms(c: Column) -> Column:
-    return let(F.lower(c), lambda low: reduce(
-        lambda a, b: a + b, [count_all(low, p, "i") for p in rules.MEDICAL_TERM_PATTERNS]))
+    def count(low: Column, pattern: str) -> Column:
+        words = required(pattern)
+        n = count_all(low, pattern, "i")
+        return F.when(contains_any(folded(low), words), n).otherwise(0) if words else n
+    return let(F.lower(c), lambda low: reduce(lambda a, b: a + b, [count(low, p) for p in rules.MEDICAL_TERM_PATTERNS]))
 
 
 def extract_grounding_terms(c: Column, stop_words=None) -> Column:

@@ -111,6 +111,71 @@ def needles(pattern: str) -> list[str] | None:
     return None if not out or "" in out else out
 
 
+def _items(pattern: str) -> list[tuple[str, str, bool]] | None:
+    """Top-level items of a pattern without alternatives: (kind, text, required)."""
+    out, i = [], 0
+    while i < len(pattern):
+        ch = pattern[i]
+        if ch == "\\":
+            kind, text, i = ("literal", pattern[i + 1], i + 2) if not pattern[i + 1].isalnum() else ("class", "", i + 2)
+        elif ch == "[":
+            i = pattern.index("]", i + 2) + 1
+            kind, text = "class", ""
+        elif ch == "(":
+            body = i + (3 if pattern[i:i + 3] == "(?:" else 1)
+            if pattern[body - 1] == "(" and pattern[body:body + 1] == "?":
+                return None
+            parts = _alternatives(pattern[body:])
+            if parts is None:
+                return None
+            text = pattern[body:body + sum(map(len, parts)) + len(parts) - 1]
+            kind, i = "group", body + len(text) + 1
+        elif ch == "|":
+            return None
+        elif ch in "^$.":
+            kind, text, i = "class", "", i + 1
+        else:
+            kind, text, i = "literal", ch, i + 1
+        quantifier = pattern[i:i + 1]
+        if quantifier == "{":
+            i = pattern.index("}", i) + 1
+            kind, text = "class", ""
+        elif quantifier in ("?", "*", "+") and quantifier:
+            i += 1 + (pattern[i + 1:i + 2] == "?")
+        out.append((kind, text, quantifier not in ("?", "*", "{") or not quantifier))
+    return out
+
+
+def required(pattern: str) -> list[str] | None:
+    """Lower-case ASCII literals of which every match contains at least one: those that are found least often.
+
+    Found anywhere in the pattern; None when nothing is evident.
+    """
+    items = _items(pattern)
+    if items is None:
+        return None
+    sets, run = [], ""
+    for kind, text, need in [*items, ("class", "", True)]:
+        if kind == "literal" and need:
+            run += text
+            continue
+        if run.strip():
+            sets.append([run])
+        run = ""
+        if kind == "group" and need:
+            parts = [required(x) for x in _alternatives(text + ")") or []]
+            if parts and None not in parts:
+                sets.append([x for part in parts for x in part])
+    sets = [x for x in sets if all(w.isascii() and w.strip() for w in x)]
+    best = max(sets, key=lambda ws: min(map(len, ws)), default=None)
+    return None if best is None else sorted({w.lower() for w in best})
+
+
+def folded(c: Column) -> Column:
+    """Text for literal tests that stand before case-insensitive patterns; the two letters fold onto ASCII there."""
+    return F.translate(F.lower(c), "\u017f\u0131", "si")
+
+
 def contains_any(low: Column, words: list[str]) -> Column:
     cond = low.contains(words[0])
     for w in words[1:]:
@@ -159,6 +224,15 @@ def find_all(col: Column, pattern: str, flags: str = "", group: int = 0) -> Colu
     return F.regexp_extract_all(col, F.lit(jrx(pattern, flags)), F.lit(group))
 
 
+def find_if(col: Column, low: Column, pattern: str, flags: str = "") -> Column:
+    """``find_all``, but only where ``low`` (``folded``) has a literal that a match needs."""
+    words = required(pattern)
+    found = find_all(col, pattern, flags)
+    if words and any(len(w) == 1 and w.isalpha() for w in words):
+        words = None  # nearly every text has the letter
+    return found if not words else F.when(contains_any(low, words), found).otherwise(F.expr("cast(array() as array<string>)"))
+
+
 def count_all(col: Column, pattern: str, flags: str = "") -> Column:
     return F.regexp_count(col, F.lit(jrx(pattern, flags)))
 

@@ -60,8 +60,18 @@ def unit_vector(v: Column) -> Column:
 
 
 def fuzzy_missing(a: Column, b: Column) -> Column:
-    """Elements of ``a`` with no equal element in ``b`` and no shared number with one."""
-    numbers = F.array_distinct(F.flatten(F.transform(b, lambda x: find_all(x, rules.ITEM_NUMBER))))
-    return let(F.struct(b.alias("b"), numbers.alias("n")), lambda other: F.filter(
-        a, lambda x: ~(F.array_contains(other["b"], x)
-                       | F.arrays_overlap(find_all(x, rules.ITEM_NUMBER), other["n"]))))
+    """Distinct elements of ``a`` with no equal element in ``b`` and no shared number with one.
+
+    Null sides are empty. Numbers are looked for only when an element has no equal.
+    """
+    none = F.expr("cast(array() as array<string>)")
+
+    def numbers(x: Column) -> Column:
+        return F.array_distinct(F.flatten(F.transform(x, lambda v: find_all(v, rules.ITEM_NUMBER))))
+
+    def search(s: Column) -> Column:
+        return F.when(F.size(s["rest"]) == 0, none).otherwise(let(numbers(s["b"]), lambda n: F.filter(
+            s["rest"], lambda x: ~F.arrays_overlap(find_all(x, rules.ITEM_NUMBER), n))))
+
+    b = F.coalesce(b, none)
+    return let(F.struct(F.array_except(F.coalesce(a, none), b).alias("rest"), b.alias("b")), search)
