@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import extract, rules
-from ..functions.rx import find_all, has, let, literal_words
+from ..functions.rx import find_all, has, let, literal_words, once
 from ..functions.text import norm_term, words_ws
 from ..plans.checkpoints import cut
 
@@ -126,75 +126,104 @@ def lookup_terms(terms: DataFrame, synonyms: DataFrame, limit: int = 10,
     occur as a phrase + BM25 of the term's tokens.  Rows above ``min_score``
     are ranked (score desc, preferred first, ord) and cut at ``limit``.
 
-    Three joins, none of them on a hot token when ``min_score`` > 0: equality on
-    ``term_lower``; phrases on the token n-gram with the query's own length; and
-    single tokens.  Tokens whose best possible contributions add up to at most
-    ``min_score`` cannot lift a row over it on their own, so they are left out of
-    candidate generation (rows that also hold a rarer token are still found and
-    fully scored).  This is exact, not a cap.
+    Candidates come in tiers. Equality, phrases (the token n-gram with the
+    query's own length) and each term's best token come first; a term that has
+    ``limit`` rows by then has a bar, the score of the last of them. Other tokens
+    make candidates only where their best contributions, counted over what the
+    synonyms really hold, can add up to the bar: what they cannot lift over it
+    would not be among the first ``limit``. This is exact, not a cap, and keeps
+    a token that very many synonyms hold out of the join.
     """
+    q, s, qw, avgdl = _prepared(terms, synonyms)
+    first = cut(_scored(_first_tier(q, s, qw), s, qw, avgdl).filter(F.col("score") > min_score))
+    more = _second_tier(qw, s, _bars(first, limit), min_score).join(first.select("term", "cui", "term_lower"), ["term", "cui", "term_lower"], "left_anti")
+    scored = first.unionByName(_scored(more, s, qw, avgdl).filter(F.col("score") > min_score))
+    return _ranked(scored, limit).select("term", "rank", "score", "cui", "syn_term", "is_preferred", "semantic_types")
+
+
+def _prepared(terms: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
+    """Tokenised terms and synonyms (stored), the terms with their tokens' weights, mean synonym length."""
     q = terms.select("term").distinct().filter(F.trim(F.regexp_replace("term", r"(?U)\s+", " ")) != "")
-    q = q.withColumn("q_lower", F.trim(F.lower("term"))).withColumn("q_tokens", fold_analyzer(F.col("term")))
-    s = synonyms.withColumn("s_tokens", fold_analyzer(F.col("term"))).withColumnRenamed("term", "syn_term")
-    stats = s.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("s_tokens")).alias("avgdl"))
-    n, avgdl = stats.select("n").scalar(), stats.select("avgdl").scalar()
-    # document frequency, only of tokens the queries use
+    q = cut(q.withColumn("q_lower", F.trim(F.lower("term"))).withColumn("q_tokens", fold_analyzer(F.col("term"))))
+    s = cut(synonyms.withColumn("s_tokens", fold_analyzer(F.col("term"))).withColumnRenamed("term", "syn_term"))
+    n, avgdl = s.agg(F.count(F.lit(1)), F.avg(F.size("s_tokens"))).first()
+    n, avgdl = F.lit(n), F.lit(float(avgdl or 1.0))
+    # document frequency and best term-frequency part, only of tokens the queries use
     q_tok = q.select("term", F.explode(F.array_distinct("q_tokens")).alias("token"))
-    df_ = s.select(F.explode(F.array_distinct("s_tokens")).alias("token")).join(
-        q_tok.select("token").distinct(), "token", "left_semi").groupBy("token").agg(F.count(F.lit(1)).alias("df"))
+    posted = s.select("s_tokens", F.explode(F.array_distinct("s_tokens")).alias("token")).join(
+        q_tok.select("token").distinct(), "token", "left_semi")
+    tf, dl = F.size(F.filter("s_tokens", lambda t: t == F.col("token"))), F.size("s_tokens")
+    df_ = posted.groupBy("token").agg(F.count(F.lit(1)).alias("df"), F.max(_saturation(tf, dl, avgdl)).alias("part"))
     idf = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    weights = q_tok.join(df_.select("token", idf.alias("idf")), "token").groupBy("term").agg(
-        F.array_sort(F.collect_list(F.struct("idf", "token"))).alias("weights"))
-    qw = q.join(weights, "term", "left")
-    # tokens needed to generate candidates: skip the cheap prefix of the ascending list
-    reach = F.transform("weights", lambda w, i: F.struct(w["token"].alias("token"), F.aggregate(
-        F.slice("weights", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["idf"] * (K1 + 1)).alias("sum")))
-    essential = F.transform(F.filter(reach, lambda r: r["sum"] > min_score), lambda r: r["token"])
-    by_token = qw.select("term", F.explode(essential).alias("token")).join(
-        s.select("cui", "term_lower", F.explode(F.array_distinct("s_tokens")).alias("token")), "token").select(
+    weights = q_tok.join(df_.select("token", idf.alias("idf"), (idf * F.col("part")).alias("best")), "token").groupBy("term").agg(
+        F.array_sort(F.collect_list(F.struct("best", "idf", "token"))).alias("weights"))
+    return q, s, cut(q.join(weights, "term", "left")), avgdl
+
+
+def _saturation(tf: Column, dl: Column, avgdl: Column) -> Column:
+    return tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / avgdl))
+
+
+def _by_token(wanted: DataFrame, s: DataFrame) -> DataFrame:
+    """(term, cui, term_lower) of synonyms with a token of ``wanted`` (term, token)."""
+    return wanted.join(s.select("cui", "term_lower", F.explode(F.array_distinct("s_tokens")).alias("token")), "token").select(
         "term", "cui", "term_lower")
+
+
+def _first_tier(q: DataFrame, s: DataFrame, qw: DataFrame) -> DataFrame:
+    """Equal strings, phrases, and rows with the term's best token."""
     by_exact = q.select("term", F.col("q_lower").alias("term_lower")).join(
         s.select("cui", "term_lower"), "term_lower").select("term", "cui", "term_lower")
-    cand = by_token.unionByName(by_exact)
-    if min_score > 0:
-        cand = cand.unionByName(_by_phrase(q, s, qw, min_score))
-    cand = cand.distinct()
-    full = cand.join(s, ["cui", "term_lower"]).join(qw, "term").withColumn("avgdl", avgdl)
+    grams = q.filter(F.size("q_tokens") > 0).select("term", F.size("q_tokens").alias("len"), F.array_join("q_tokens", " ").alias("gram"))
+    longest = grams.agg(F.max("len")).first()[0] or 0
+    held = s.select("cui", "term_lower", F.explode(ngrams(F.col("s_tokens"), longest)).alias("gram")) if longest else \
+        s.select("cui", "term_lower", F.lit("").alias("gram")).filter(F.lit(False))
+    by_phrase = grams.join(held, "gram").select("term", "cui", "term_lower")
+    best = _by_token(qw.select("term", F.element_at("weights", -1)["token"].alias("token")).filter("token is not null"), s)
+    return by_exact.unionByName(by_phrase).unionByName(best).distinct()
+
+
+def _bars(first: DataFrame, limit: int) -> DataFrame:
+    """(term, bar): the ``limit``-th best score of terms that have as many rows."""
+    return _ranked(first, limit).filter(F.col("rank") == limit).select("term", F.col("score").alias("bar"))
+
+
+def _second_tier(qw: DataFrame, s: DataFrame, bar: DataFrame, min_score: float) -> DataFrame:
+    """Rows with one of the other tokens that may still matter.
+
+    Tokens are in order of their best contribution; while the sum up to a token
+    stays below the bar, rows with nothing above it cannot reach the bar.
+    """
+    b = F.greatest(F.coalesce("bar", F.lit(min_score)), F.lit(min_score)) - 1e-9
+    reach = F.transform("weights", lambda w, i: F.struct(w["token"].alias("token"), F.aggregate(
+        F.slice("weights", F.lit(1), i + 1), F.lit(0.0), lambda a, x: a + x["best"]).alias("sum")))
+    others = F.slice(F.filter(reach, lambda r: r["sum"] >= b), 1, F.greatest(
+        F.size(F.filter(reach, lambda r: r["sum"] >= b)) - 1, F.lit(0)))
+    wanted = qw.join(bar, "term", "left").select("term", F.explode(F.transform(others, lambda r: r["token"])).alias("token"))
+    return _by_token(wanted, s).distinct()
+
+
+def _scored(cand: DataFrame, s: DataFrame, qw: DataFrame, avgdl: Column) -> DataFrame:
+    full = cand.join(s, ["cui", "term_lower"]).join(qw, "term")
     dl = F.size("s_tokens")
-    bm25 = F.aggregate(F.coalesce("weights", F.expr("cast(array() as array<struct<idf:double,token:string>>)")),
+    bm25 = F.aggregate(F.coalesce("weights", F.expr("cast(array() as array<struct<best:double,idf:double,token:string>>)")),
                        F.lit(0.0), lambda a, w: a + let(
-        F.size(F.filter("s_tokens", lambda t: t == w["token"])),
-        lambda tf: w["idf"] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / F.col("avgdl")))))
+        F.size(F.filter("s_tokens", lambda t: t == w["token"])), lambda tf: w["idf"] * _saturation(tf, dl, avgdl)))
     pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
     phrase = (F.size("q_tokens") > 0) & pad(F.col("s_tokens")).contains(pad(F.col("q_tokens")))
     score = (F.when(F.col("q_lower") == F.col("term_lower"), BOOST_EXACT).otherwise(0.0)
              + F.when(phrase, BOOST_PHRASE).otherwise(0.0) + bm25)
-    scored = full.withColumn("score", score).filter(F.col("score") > min_score)
-    order = Window.partitionBy("term").orderBy(F.desc(F.round("score", 9)), F.desc("is_preferred"), "ord", "cui")
-    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit).select(
-        "term", "rank", "score", "cui", "syn_term", "is_preferred", "semantic_types")
+    return full.withColumn("score", score).select("term", "cui", "term_lower", "score", "syn_term", "is_preferred", "ord", "semantic_types")
 
 
-def _by_phrase(q: DataFrame, s: DataFrame, qw: DataFrame, min_score: float) -> DataFrame:
-    """Phrase candidates only where the token join may have skipped every token."""
-    top = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["idf"] * (K1 + 1))
-    need = qw.filter(F.coalesce(top, F.lit(0.0)) <= min_score).filter(F.size("q_tokens") > 0).select(
-        "term", F.size("q_tokens").alias("len"), F.array_join("q_tokens", " ").alias("gram"))
-    longest = need.agg(F.max("len")).scalar()
-    grams = s.withColumn("longest", longest).filter("longest > 0").select("cui", "term_lower", F.explode(
-        ngrams(F.col("s_tokens"), F.col("longest"))).alias("gram"))
-    return need.join(grams, "gram").select("term", "cui", "term_lower")
+def _ranked(scored: DataFrame, limit: int) -> DataFrame:
+    order = Window.partitionBy("term").orderBy(F.desc(F.round("score", 9)), F.desc("is_preferred"), "ord", "cui")
+    return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= limit)
 
 
 def top_match(terms: DataFrame, synonyms: DataFrame) -> DataFrame:
-    """Best match of each term at any score.
-
-    Anything above the threshold beats anything below it, so the thresholded
-    lookup settles most terms; only the rest use every token.
-    """
-    sure = cut(lookup_terms(terms, synonyms, 1, rules.MIN_LOOKUP_SCORE))  # used twice
-    rest = cut(terms.select("term").distinct().join(sure.select("term"), "term", "left_anti"))
-    return sure.unionByName(lookup_terms(rest, synonyms, 1))
+    """Best match of each term at any score; the first tier sets the bar for all other tokens."""
+    return lookup_terms(terms, synonyms, 1)
 
 
 def top_concepts(terms: DataFrame, synonyms: DataFrame, min_score: float = rules.MIN_LOOKUP_SCORE) -> DataFrame:
@@ -268,16 +297,37 @@ def ngrams(words: Column, max_n) -> Column:
         lambda n: F.array_join(F.slice(words, i + 1, n), " ")))))
 
 
-def phrase_map(df: DataFrame, words: str, dictionary: DataFrame, max_n: int, keys=("doc_id",)) -> DataFrame:
-    """Adds ``_map``: phrase -> value for the row's phrases found in ``dictionary(phrase, value)``.
+def phrase_hits(df: DataFrame, words: Column, dictionary: DataFrame, max_n: int, keys=("doc_id",)) -> DataFrame:
+    """(keys, ``_hits``): phrases of ``dictionary(phrase, value)`` in each row's words, left to right, longest first.
 
-    Only keys and distinct phrases travel; found phrases per row are bounded by
-    the row's own text, so gathering them back cannot grow with the table.
+    Hits are (pos, neg, n, phrase, value) in text order and do not overlap; rows
+    without any are absent. Only keys, places and phrases travel, never the
+    text. The dictionary is stored, so both sides of the join are plain
+    exchanges and a phrase that a large part of the corpus holds is split over
+    tasks. What is gathered per row is bounded by the row's own text.
     """
-    phrases = df.select(*keys, F.explode(ngrams(F.col(words), max_n)).alias("phrase"))
-    found = phrases.join(dictionary, "phrase").groupBy(*keys).agg(
-        F.map_from_entries(F.collect_list(F.struct("phrase", "value"))).alias("_map"))
-    return df.join(found, list(keys), "left")
+    places = F.flatten(F.transform(words, lambda w, i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(words) - i)), lambda n: F.struct(
+            (i + 1).alias("pos"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase")))))
+    found = df.select(*keys, F.inline(once(places))).join(cut(dictionary), "phrase")
+    hits = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
+        "pos", (-F.col("n")).alias("neg"), "n", "phrase", "value"))).alias("_hits"))
+    none = F.slice("_hits", 1, 0)
+    walked = F.aggregate("_hits", F.struct(F.lit(1).alias("next"), none.alias("out")), lambda acc, h: F.when(
+        h["pos"] < acc["next"], acc).otherwise(F.struct(
+            (h["pos"] + h["n"]).alias("next"), F.concat(acc["out"], F.array(h)).alias("out"))), lambda acc: acc["out"])
+    return hits.withColumn("_hits", walked)
+
+
+def replace_hits(words: Column, hits: Column) -> Column:
+    """Words with each hit's words replaced by its value; ``hits`` as ``phrase_hits`` gives them."""
+    def behind(i: Column) -> Column:
+        last = F.get(hits, i - 1)
+        return F.coalesce(last["pos"] + last["n"], F.lit(1))
+
+    parts = F.transform(hits, lambda h, i: F.concat(F.slice(words, behind(i), h["pos"] - behind(i)), F.array(h["value"])))
+    end = behind(F.size(hits))
+    return F.concat(F.flatten(parts), F.slice(words, end, F.greatest(F.size(words) - end + 1, F.lit(0))))
 
 
 def greedy_replace(words: Column, table: Column, max_n: int, lower: bool = False) -> Column:
@@ -319,10 +369,10 @@ def canonicalize(df: DataFrame, text: str, canonical: DataFrame, *, max_n: int =
                  keys=("doc_id",), out: str = "canonical_text") -> DataFrame:
     """Terminology pass (``canonical``: phrase, value; up to 3 words), then the fixed groups (4 words)."""
     w = df.withColumn("_w", words_ws(F.col(text)))
-    m = phrase_map(w, "_w", canonical, max_n, keys)
-    first = F.when(F.col("_map").isNull(), F.col("_w")).otherwise(greedy_replace(F.col("_w"), F.col("_map"), max_n))
+    m = w.join(phrase_hits(df, words_ws(F.col(text)), canonical, max_n, keys), list(keys), "left")
+    first = F.when(F.col("_hits").isNull(), F.col("_w")).otherwise(replace_hits(F.col("_w"), F.col("_hits")))
     staged = m.withColumn("_t", F.array_join(first, " "))
-    return staged.withColumn(out, fallback_canonicalize(F.col("_t"))).drop("_w", "_map", "_t")
+    return staged.withColumn(out, fallback_canonicalize(F.col("_t"))).drop("_w", "_hits", "_t")
 
 
 def match_concepts(df: DataFrame, text: str, synonyms: DataFrame, *, max_n: int = 4, keys=("doc_id",),
@@ -339,9 +389,15 @@ def match_concepts(df: DataFrame, text: str, synonyms: DataFrame, *, max_n: int
             m["cui"].alias("cui"), m["tuis"].alias("tuis"))))).alias(out))
 
 
-def mentions(df: DataFrame, text: str, synonyms: DataFrame, *, max_n: int = 4, keys=("doc_id",),
-             entity_labels: DataFrame | None = None) -> DataFrame:
-    """Adds ``_mentions``: the matched phrases in text order with cui, term and TUIs."""
+MENTIONS = "array<struct<pos:int,phrase:string,cui:string,tuis:array<string>>>"
+
+
+def mention_table(df: DataFrame, text: str, synonyms: DataFrame, *, max_n: int = 4, keys=("doc_id",),
+                  entity_labels: DataFrame | None = None) -> DataFrame:
+    """(keys, ``_mentions``) of the rows that mention something: the matched phrases in text order with cui and TUIs.
+
+    The text stays where it is; join the result only where both are needed.
+    """
     one = synonyms.groupBy("term_lower").agg(F.min_by(
         F.struct("cui", F.col("semantic_types").alias("tuis")),
         F.struct((~F.col("is_preferred")).alias("np"), "ord", "cui")).alias("value"))
@@ -350,29 +406,19 @@ def mentions(df: DataFrame, text: str, synonyms: DataFrame, *, max_n: int = 4, k
         bad = entity_labels.filter(F.upper("label").isin(rules.SKIPPED_ENTITY_LABELS)).select(
             F.lower("phrase").alias("phrase")).distinct()
         dictionary = dictionary.join(bad, "phrase", "left_anti")
-    w = df.withColumn("_w", find_all(F.lower(text), r"[\w']+(?:-[\w']+)*"))
-    m = phrase_map(w, "_w", dictionary, max_n, keys)
-    kind = "struct<pos:int,phrase:string,cui:string,tuis:array<string>>"
+    words = find_all(F.lower(F.coalesce(text, F.lit(""))), r"[\w']+(?:-[\w']+)*")
+    hits = phrase_hits(df.select(*keys, words.alias("_w")), F.col("_w"), dictionary, max_n, keys)
+    return hits.select(*keys, F.transform("_hits", lambda h: F.struct(
+        h["pos"].alias("pos"), h["phrase"].alias("phrase"), h["value"]["cui"].alias("cui"),
+        h["value"]["tuis"].alias("tuis"))).alias("_mentions"))
 
-    def best(i: Column) -> Column:
-        def look(n: int) -> Column:
-            phrase = F.array_join(F.slice(F.col("_w"), i, n), " ")
-            return F.when(i + n - 1 <= F.size("_w"), F.struct(
-                F.lit(n).alias("n"), phrase.alias("p"), F.try_element_at(F.col("_map"), phrase).alias("v")))
-        return F.try_element_at(F.filter(F.array(*[look(n) for n in range(max_n, 0, -1)]),
-                                         lambda o: o["v"].isNotNull()), F.lit(1))
 
-    folded = F.aggregate(
-        F.sequence(F.lit(1), F.size("_w")),
-        F.struct(F.lit(1).alias("next"), F.expr(f"cast(array() as array<{kind}>)").alias("out")),
-        lambda acc, i: F.when(i < acc["next"], acc).otherwise(let(best(i), lambda o: F.when(
-            o["v"].isNull(), acc).otherwise(F.struct(
-                (i + o["n"]).alias("next"), F.concat(acc["out"], F.array(F.struct(
-                    i.alias("pos"), o["p"].alias("phrase"), o["v"]["cui"].alias("cui"),
-                    o["v"]["tuis"].alias("tuis")))).alias("out"))))),
-        lambda acc: acc["out"])
-    none = F.expr(f"cast(array() as array<{kind}>)")
-    return m.withColumn("_mentions", F.when(F.col("_map").isNull(), none).otherwise(folded)).drop("_w", "_map")
+def mentions(df: DataFrame, text: str, synonyms: DataFrame, *, max_n: int = 4, keys=("doc_id",),
+             entity_labels: DataFrame | None = None) -> DataFrame:
+    """``df`` with ``_mentions`` (``mention_table``), empty where nothing is mentioned."""
+    found = mention_table(df, text, synonyms, max_n=max_n, keys=keys, entity_labels=entity_labels)
+    return df.join(found, list(keys), "left").withColumn(
+        "_mentions", F.coalesce("_mentions", F.expr(f"cast(array() as {MENTIONS})")))
 
 
 def is_medical_term(mentioned: Column) -> Column:

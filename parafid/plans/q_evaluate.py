@@ -125,7 +125,7 @@ def q_overlap(spark, d):
 
 @query("match_concepts", f"with {PART_PAIRS_SQL}, {gazetteer_sql('pairs')} select pair_id, pos, phrase, cui from men where side='o'")
 def q_match_concepts(spark, d):
-    m = terms.mentions(part_pairs(spark, d), "original", part_synonyms(spark, d), keys=("pair_id",))
+    m = terms.mention_table(part_pairs(spark, d), "original", part_synonyms(spark, d), keys=("pair_id",))
     return m.select("pair_id", F.inline(once(F.col("_mentions")))).select("pair_id", "pos", "phrase", "cui")
 
 

@@ -242,3 +242,20 @@ def test_highlight_terms_are_literal(spark):
     t = spark.createDataFrame([("a \\E b lung a\\Ec lung",)], "t string")
     got = t.select(report.highlight_spans(F.col("t"), F.array(F.lit(""), F.lit("a\\Ec"), F.lit("lung"))).alias("s")).first().s
     assert [(s.term, s.start) for s in got] == [("lung", 7), ("a\\Ec", 12), ("lung", 17)]
+
+
+def test_lookup_makes_few_candidates_on_a_hot_token(spark):
+    """A token in a twentieth of the synonyms makes no candidates for terms whose own token settles the match."""
+    name = F.when(F.col("id") % 20 == 0, F.concat(F.lit("t"), F.col("id").cast("string"), F.lit(" disease"))).otherwise(
+        F.concat(F.lit("x"), F.col("id").cast("string"), F.lit(" sign")))
+    syn = spark.range(20_000).select(
+        F.concat(F.lit("C"), F.col("id").cast("string")).alias("cui"), name.alias("term"), F.lower(name).alias("term_lower"),
+        F.lit(False).alias("is_preferred"), F.col("id").alias("ord"), F.expr("cast(array() as array<string>)").alias("semantic_types"))
+    terms_ = spark.range(0, 4000, 20).select(F.concat(F.lit("chronic t"), F.col("id").cast("string"), F.lit(" disease")).alias("term"))
+    q, s, qw, avgdl = terms._prepared(terms_, syn)
+    first = terms._scored(terms._first_tier(q, s, qw), s, qw, avgdl)
+    second = terms._second_tier(qw, s, terms._bars(first, 1), 0.0)
+    assert first.count() == 200 and second.count() == 0
+    got = {r.term: r.cui for r in terms.top_match(terms_, syn).collect()}
+    assert got == {f"chronic t{i} disease": f"C{i}" for i in range(0, 4000, 20)}
+    assert terms.lookup_terms(terms_.limit(3), syn, 10).count() == 30
