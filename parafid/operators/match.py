@@ -183,8 +183,11 @@ def _fact_features(props: Column, synonyms, canonicalize) -> Column:
 
 def align_propositions(df: DataFrame, source: str = "source_props", summary: str = "summary_props", *,
                        keys=("doc_id",), threshold: float = rules.ALIGN_THRESHOLD,
-                       synonyms: Column | None = None, canonicalize=None) -> DataFrame:
-    """Adds ``alignments``: per summary fact the best three source facts and a match type."""
+                       synonyms: Column | None = None, canonicalize=None, top: int | None = 3) -> DataFrame:
+    """Adds ``alignments``: per summary fact the best ``top`` source facts (None: all above the threshold) and a match type.
+
+    What is beyond ``top`` counts as not matched in ``linkage_report``.
+    """
     features = F.struct(_fact_features(F.col(source), synonyms, canonicalize).alias("src"),
                         _fact_features(F.col(summary), synonyms, canonicalize).alias("sum"))
 
@@ -192,21 +195,23 @@ def align_propositions(df: DataFrame, source: str = "source_props", summary: str
         return F.greatest(*[_fact_dice(a[x], b[x]) for x in "nt"])
 
     def align(src: Column, s: Column) -> Column:
-        ranked = F.slice(F.array_sort(F.filter(
+        ranked = F.array_sort(F.filter(
             F.transform(src, lambda o, j: F.struct(
                 (-score(s, o)).alias("neg"), j.alias("pos"), o["id"].alias("id"),
                 o["assertion"].alias("assertion"), o["text"].alias("text"))),
-            lambda m: -m["neg"] >= threshold)), 1, 3)
+            lambda m: -m["neg"] >= threshold))
+        if top is not None:
+            ranked = F.slice(ranked, 1, top)
 
-        def build(top: Column) -> Column:
-            conf = F.coalesce(-F.try_element_at(top, F.lit(1))["neg"], F.lit(0.0))
-            kind = (F.when(F.size(top) == 0, "none").when(conf > rules.EXACT_MATCH, "exact")
+        def build(best: Column) -> Column:
+            conf = F.coalesce(-F.try_element_at(best, F.lit(1))["neg"], F.lit(0.0))
+            kind = (F.when(F.size(best) == 0, "none").when(conf > rules.EXACT_MATCH, "exact")
                     .when(conf > rules.SEMANTIC_MATCH, "semantic").otherwise("partial"))
-            first = F.try_element_at(top, F.lit(1))
+            first = F.try_element_at(best, F.lit(1))
             return F.struct(
                 s["id"].alias("summary_id"), s["text"].alias("summary_text"),
                 s["category"].alias("category"), s["assertion"].alias("summary_assertion"),
-                F.transform(top, lambda m: m["id"]).alias("source_ids"), kind.alias("match_type"),
+                F.transform(best, lambda m: m["id"]).alias("source_ids"), kind.alias("match_type"),
                 conf.alias("confidence"), first["id"].alias("source_id"),
                 first["text"].alias("source_text"), first["assertion"].alias("source_assertion"))
         return let(ranked, build)

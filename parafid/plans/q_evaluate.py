@@ -157,7 +157,7 @@ def quality_sql(src: str) -> str:
 qc as (select qb.*, dx_n+rx_n+ms_n n, len(dx_m)+len(rx_m)+len(ms_m) lost, o.nw ow, s.nw sw, o.fkgl-s.fkgl gain from qb join sr_o o using (pair_id) join sr_s s using (pair_id)),
 qd as (select *, coalesce((n-lost)/nullif(n, 0), 1.0) crit, coalesce((ms_n-len(ms_m))/nullif(ms_n, 0), 1.0) meas, case when sw>0 and gain>0 then least(0.2, gain/10) else 0.0 end bonus from qc),
 qual as (select pair_id, 1.0 concept_recall, round(crit, 4) critical_concept_recall, round(meas, 4) measurement_preservation, round(cast(ow as double), 2) original_words_per_concept,
- round(cast(sw as double), 2) simplified_words_per_concept, round(coalesce(sw/nullif(ow, 0), 1.0), 2) expansion_ratio, dx_m[1:5] missing_diagnoses, rx_m[1:5] missing_medications, ms_m[1:5] missing_measurements,
+ round(cast(sw as double), 2) simplified_words_per_concept, round(coalesce(sw/nullif(ow, 0), 1.0), 2) expansion_ratio, dx_m missing_diagnoses, rx_m missing_medications, ms_m missing_measurements,
  round(0.4*crit+0.3*1.0+0.1*meas+0.2*bonus, 4) simplification_score from qd)"""
 
 
@@ -209,6 +209,28 @@ def q_dataset(spark, d):
     return evaluate.aggregate_dataset(evaluated(notes(spark, d))).select(*DATASET_COLS)
 
 
+OPS_SQL = f"""oa as (select {_GROUP} dataset, {{ms}} v from notes), ob as (select *, row_number() over (partition by dataset order by v) r, count(*) over (partition by dataset) n from oa)
+select dataset, count(*) ops_runs, max(v) filter (r=n//2+1) ops_latency_p50_ms, max(v) filter (r=least(cast(floor(n*0.95) as bigint)+1, n)) ops_latency_p95_ms, round(avg(v), 2) ops_latency_mean_ms from ob group by 1"""
+
+
+@query("aggregate_ops", f"with {NOTES_SQL}, {OPS_SQL.replace('{ms}', 'cast(len(original) as double)')}")
+def q_dataset_ops(spark, d):
+    """Run metrics attached to the dataset-level row of their group; the length of the text stands for the latency."""
+    n = tagged(notes(spark, d))
+    runs_ = evaluate.record_runs(n, F.length("original").cast("double"), group=("dataset", "model_version"))
+    a = evaluate.aggregate_dataset(n, runs=runs_)
+    return a.select("dataset", "ops_runs", "ops_latency_p50_ms", "ops_latency_p95_ms", "ops_latency_mean_ms")
+
+
+@query("aggregate_semantic", f"with {NOTES_SQL} select {_GROUP} dataset, round(avg((pair_id%10)/10.0), 4) semantic_precision, round(avg((pair_id%7)/7.0), 4) semantic_recall, round(avg((pair_id%5)/5.0), 4) semantic_f1 from notes group by 1")
+def q_dataset_semantic(spark, d):
+    """Means of a caller's similarity table."""
+    n = notes(spark, d)
+    table_ = n.select("pair_id", *[((F.col("pair_id") % k) / float(k)).alias(c) for c, k in (("precision", 10), ("recall", 7), ("f1", 5))])
+    e = evaluate.evaluate_samples(tagged(n), ("semantic",), keys=("pair_id",), semantic=table_)
+    return evaluate.aggregate_dataset(e).select("dataset", "semantic_precision", "semantic_recall", "semantic_f1")
+
+
 @query("aggregate_missing", f"""with {REPORTS_SQL}, {quality_sql('reports')}, it as (select distinct {_GROUP} dataset, unnest(missing_measurements) item from qual)
 select dataset, string_agg(item, '|' order by item) missing_measurements from (select * from it qualify row_number() over (partition by dataset order by item)<=10) group by 1""")
 def q_missing(spark, d):

@@ -97,19 +97,30 @@ def q_align(spark, d):
                     exact_round(F.col("confidence"), 6).alias("confidence"), "match_type")
 
 
-@query("assertion_mismatches", f"with {facts_sql()} select f.doc_id, f.id summary_id, asr summary_assertion, oasr source_assertion from fs f join ag on ag.doc_id=f.doc_id and ag.sid=f.id where confidence>0.5 and asr<>oasr")
+_FLIP = "case when doc_id%3=0 then case asr when 'present' then 'absent' else 'present' end else asr end"
+
+
+@query("assertion_mismatches", f"with {facts_sql()} select f.doc_id, f.id summary_id, {_FLIP.replace('doc_id', 'f.doc_id')} summary_assertion, oasr source_assertion from fs f join ag on ag.doc_id=f.doc_id and ag.sid=f.id where confidence>0.5 and {_FLIP.replace('doc_id', 'f.doc_id')}<>oasr")
 def q_mismatch(spark, d):
-    return match.assertion_mismatches(match.align_propositions(facts(spark, d))).select(
+    """In every third pair the rewrite says the opposite of what its facts say."""
+    f = facts(spark, d)
+    flipped = F.transform("summary_props", lambda p: p.withField("assertion", F.when(p["assertion"] == "present", "absent").otherwise("present")))
+    f = f.withColumn("summary_props", F.when(F.col("doc_id") % 3 == 0, flipped).otherwise(F.col("summary_props")))
+    return match.assertion_mismatches(match.align_propositions(f)).select(
         "doc_id", "summary_id", "summary_assertion", "source_assertion")
 
 
 @query("linkage_report", f"""with {facts_sql()}, mo as (select distinct doc_id, oid from al)
 select n.pair_id doc_id, (select count(*) from fo where fo.doc_id=n.pair_id) total_source_props, (select count(*) from fs where fs.doc_id=n.pair_id) total_summary_props,
  (select count(*) from mo where mo.doc_id=n.pair_id) matched_source_props, (select count(*) from fs where fs.doc_id=n.pair_id and not exists (select 1 from ag where ag.doc_id=fs.doc_id and ag.sid=fs.id)) unsupported_summary_props,
- round(coalesce((select count(*) from mo where mo.doc_id=n.pair_id)/nullif((select count(*) from fo where fo.doc_id=n.pair_id), 0), 1.0), 4) coverage_score from notes n""")
+ round(coalesce((select count(*) from mo where mo.doc_id=n.pair_id)/nullif((select count(*) from fo where fo.doc_id=n.pair_id), 0), 1.0), 4) coverage_score,
+ coalesce((select string_agg(id, '|' order by pos) from fo where fo.doc_id=n.pair_id and id not in (select oid from mo where mo.doc_id=n.pair_id)), '') missing,
+ coalesce((select string_agg(id||':'||x, '|' order by pos) from fs where fs.doc_id=n.pair_id and not exists (select 1 from ag where ag.doc_id=fs.doc_id and ag.sid=fs.id)), '') unsupported from notes n""")
 def q_linkage(spark, d):
     r = match.linkage_report(match.align_propositions(facts(spark, d)))
-    return r.select("doc_id", "total_source_props", "total_summary_props", "matched_source_props", "unsupported_summary_props", "coverage_score")
+    return r.select("doc_id", "total_source_props", "total_summary_props", "matched_source_props", "unsupported_summary_props", "coverage_score",
+                    F.array_join("missing_facts.id", "|").alias("missing"), F.array_join(F.transform(
+                        "potential_hallucinations", lambda p: F.concat_ws(":", p["id"], F.trim(p["text"]))), "|").alias("unsupported"))
 
 
 _DT1 = "'No sign of '||p_name||' seen, doctor recommends CT scan'"

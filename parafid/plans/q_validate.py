@@ -55,9 +55,16 @@ def v_empty(spark, d):
     return err_rows(mixed(spark, d), validate.empty_chunk(O(), S()), "code", "severity", "message")
 
 
-@query("validate_empty_chunk_dialogue", f"with {DIALOGUE_SQL}, {empty_sql('dialogue')} select * from v0")
+_THIN = "thin as (select pair_id, case when len(original)%4=1 then left(original, 15) else original end original, case len(original)%3 when 0 then left(simplified, 40) when 1 then '' else simplified end simplified from dialogue)"
+
+
+@query("validate_empty_chunk_dialogue", f"with {DIALOGUE_SQL}, {_THIN}, {empty_sql('thin')} select * from v0")
 def v_empty_dialogue(spark, d):
-    return err_rows(dialogue(spark, d), validate.empty_chunk(O(), S()), "code", "severity", "message")
+    """Dialogue pairs with short and lost texts among them."""
+    k = F.length("original")
+    thin = dialogue(spark, d).select("pair_id", F.when(k % 4 == 1, F.left("original", F.lit(15))).otherwise(O()).alias("original"),
+                                     F.when(k % 3 == 0, F.left("simplified", F.lit(40))).when(k % 3 != 1, S()).alias("simplified"))
+    return err_rows(thin, validate.empty_chunk(O(), S()), "code", "severity", "message")
 
 
 # ------------------------------------------------------------------------- V1
@@ -354,10 +361,21 @@ def legacy_cols(c):
     return [F.array_join(c[n], "|").alias(n) for n in ("number_missing", "number_extra", "negation_missing")]
 
 
-@query("legacy_comparison", f"with {NOTES_SQL}, {REPORTS_SQL}, {_MIXED}, {legacy_sql('mixed')} select * from v7")
+_KW = ["aspirin", "dose", "left", "stroke"]
+_LOST = "array_to_string(list_filter(" + K.words_list(_KW) + ", lambda k: not regexp_matches(lower(simplified), '\\b'||k||'\\b')), '{sep}')"
+
+
+def _set_text(c):
+    return f"'{{'||replace({c}, '|', ', ')||'}}'"
+
+
+@query("legacy_comparison", f"""with {NOTES_SQL}, {REPORTS_SQL}, {_MIXED}, {legacy_sql('mixed')}, k as (select pair_id, {_LOST.replace('{sep}', '|')} entity_missing from mixed)
+select v7.*, entity_missing, 'Missing entities: '||{_set_text('entity_missing')}||chr(10)||'Extra entities: {{}}'||chr(10)||'Missing numbers: '||{_set_text('number_missing')}||chr(10)
+ ||'Extra numbers: '||{_set_text('number_extra')}||chr(10)||'Missing negations: '||{_set_text('negation_missing')} as issues from v7 join k using (pair_id)""")
 def v_legacy(spark, d):
-    n = mixed(spark, d).withColumn("c", validate.legacy_comparison(O(), S()))
-    return n.select("pair_id", *legacy_cols(F.col("c")))
+    words = F.array(*[F.lit(w.title()) for w in _KW])
+    n = mixed(spark, d).withColumn("c", validate.legacy_comparison(O(), S(), words))
+    return n.select("pair_id", *legacy_cols(F.col("c")), F.array_join("c.entity_missing", "|").alias("entity_missing"), "c.issues")
 
 
 # -------------------------------------------------------------------- V8 .. V11
