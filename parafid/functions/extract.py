@@ -265,7 +265,3 @@ def map_entity_label(label: Column) -> Column:
             cond = cond | up.contains(p)
         expr = F.when(cond, name) if expr is None else expr.when(cond, name)
     return expr.otherwise(up)
-
-
-def bounded_word_count(c: Column) -> Column:
-    return F.size(words_bounded(c))

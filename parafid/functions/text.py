@@ -106,7 +106,3 @@ def syllables(word: Column, consonant_le: bool) -> Column:
     if consonant_le:
         plain = F.when(w.rlike(r"[^aeiouy]le\z"), F.greatest(F.lit(2), groups)).otherwise(plain)
     return F.when(F.length(w) <= 3, 1).otherwise(plain)
-
-
-def is_in(word: Column, words) -> Column:
-    return F.array_contains(literal_words(words), word)

@@ -9,6 +9,7 @@ they are shuffled.
 from __future__ import annotations
 
 import unicodedata
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -472,10 +473,13 @@ def format_concepts(ranked: Column, caps: dict[str, int] | None = rules.CONCEPT_
         F.lit(header + "\n"), F.array_join(F.transform(r, line), "\n"))))
 
 
-def table_counts(**tables: DataFrame) -> DataFrame:
-    """Row count per named table."""
-    parts = [t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(n).alias("table"), "rows") for n, t in tables.items()]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+def table_counts(sizes: bool = False, **tables: DataFrame) -> DataFrame:
+    """Row count per named table; with ``sizes`` also ``bytes``, the size that the planner knows (of files: their own)."""
+    def one(name: str, t: DataFrame) -> DataFrame:
+        out = t.agg(F.count(F.lit(1)).alias("rows")).select(F.lit(name).alias("table"), "rows")
+        if not sizes:
+            return out
+        known = int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+        return out.withColumn("bytes", F.lit(known))
+
+    return reduce(DataFrame.unionByName, [one(n, t) for n, t in tables.items()])

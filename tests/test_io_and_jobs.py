@@ -259,3 +259,31 @@ def test_lookup_makes_few_candidates_on_a_hot_token(spark):
     got = {r.term: r.cui for r in terms.top_match(terms_, syn).collect()}
     assert got == {f"chronic t{i} disease": f"C{i}" for i in range(0, 4000, 20)}
     assert terms.lookup_terms(terms_.limit(3), syn, 10).count() == 30
+
+
+def test_report_output_is_read_and_must_have_its_field(spark, tmp_path):
+    (tmp_path / "r.json").write_text('{"simplified_report": [{"original_chunk": "a", "simplified_chunk": null}, {"original_chunk": "b", "simplified_chunk": "c"}]}')
+    (tmp_path / "x.json").write_text('{"other": 1}')
+    rows = readers.output_samples(readers.read_report_output(spark, str(tmp_path / "r.json"))).collect()
+    assert [(r.sample_id, r.original_text, r.simplified_text) for r in rows] == [("chunk_0", "a", ""), ("chunk_1", "b", "c")]
+    with pytest.raises(Exception, match="simplified_report"):
+        readers.read_report_output(spark, str(tmp_path / "x.json")).collect()
+
+
+def test_history_and_training_files(spark, tmp_path):
+    h = spark.createDataFrame([(1, "2024-01-02 15:04:05")], "id int, date string").withColumn("date", F.to_timestamp("date"))
+    for _ in range(2):
+        writers.history_save(spark, h, str(tmp_path / "h"))
+    back = spark.read.parquet(str(tmp_path / "h"))
+    assert back.count() == 2 and writers.history_delete(back, 1).count() == 0
+    assert back.select(writers.format_date(F.col("date")), writers.format_date(F.col("date"), True)).first()[:] == (
+        "January 2, 2024 at 03:04 PM", "Jan 2, 2024")
+    pairs = spark.createDataFrame([("train", "a", "b"), ("test", "c", "d")], "split string, input_text string, target_text string")
+    writers.write_training_pairs(pairs, str(tmp_path / "t"))
+    assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"split=train", "split=test"}
+
+
+def test_table_sizes(spark, tmp_path):
+    spark.range(100).write.parquet(str(tmp_path / "a"))
+    row = terms.table_counts(sizes=True, a=spark.read.parquet(str(tmp_path / "a"))).first()
+    assert (row.table, row.rows) == ("a", 100) and row.bytes > 100
