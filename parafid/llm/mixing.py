@@ -1,17 +1,15 @@
 """Mixing sources to target weights.
 
 Documents get hash-random keys and are put in key order within their source.
-Prefix sums of word counts are distributed: the key space is cut into equal
-ranges, each (source, range) is summed first, the sums of the ranges before
-are added (in blocks of ranges, so that no task holds all of a source's), and
-only the rows of one range are put in order by one task. A
-source is cut at its exact budget; whole epochs come before the cut.
+Prefix sums of word counts are distributed: a source's key space is cut into
+equal ranges by its number of rows, each (source, range) is summed first, the
+sums of the ranges before are added (in blocks of ranges, so that no task holds
+all of a source's), and only the rows of one range are put in order by one
+task. A source is cut at its exact budget; whole epochs come before the cut.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
@@ -59,7 +57,7 @@ def _before(col: str, keys: list, order: list):
 
 
 def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, limit: float = 2.0, seed: str = "mix",
-        rows_per_range: int = 4096, id_col: str = "doc_id", source_col: str = "source",
+        rows_per_range: int = 512, id_col: str = "doc_id", source_col: str = "source",
         text_col: str = "text") -> DataFrame:
     """Per document: its id, ``source``, ``size``, ``source_size``, ``target`` and ``taken``.
 
@@ -77,9 +75,10 @@ def mix(docs: DataFrame, *, weights=WEIGHTS, share: float = 1.5, limit: float =
     key = F.md5(F.concat(F.lit(seed), F.lit(":"), F.col(id_col).cast("string")))
     d = store.keep(docs.select(F.col(id_col).alias("_id"), F.col(source_col).alias("source"),
                                white_words(F.col(text_col)).alias("size"), key.alias("_key")))
-    ranges = max(1, math.ceil(d.count() / rows_per_range))
+    sizes = store.keep(d.groupBy("source").agg(F.ceil(F.count("*") / rows_per_range).alias("_ranges")))
     place = F.coalesce(F.conv(F.substring("_key", 1, 8), 16, 10).cast("long"), F.lit((1 << 32) - 1))
-    d = d.withColumn("_range", F.floor(place * ranges / (1 << 32)).cast("int"))
+    d = d.alias("d").join(sizes.alias("n"), F.expr("d.source <=> n.source")).select(
+        "_id", "d.source", "size", "_key", F.floor(place * F.col("_ranges") / (1 << 32)).alias("_range"))
     sums = d.groupBy("source", "_range").agg(F.sum("size").alias("_sum")).withColumn("_block", F.expr("_range div 1024"))
     blocks = sums.groupBy("source", "_block").agg(F.sum("_sum").alias("_sum"))
     blocks = blocks.withColumn("_ahead", _before("_sum", ["source"], ["_block"])).drop("_sum")
