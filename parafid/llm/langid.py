@@ -30,27 +30,28 @@ SAME = {0x250: 0x0, 0x1E00: 0x0, 0x1F00: 0x370, 0x1100: 0xAC00, 0x3100: 0x2E80}
 
 
 @cache
-def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """By code point: is it part of a word, its lower case, the number of its script."""
-    word, lower = np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: is it part of a word (a letter or mark), is it a letter, its lower case, the number of its script."""
+    word, letter, lower = np.zeros(0x110000, bool), np.zeros(0x110000, bool), np.arange(0x110000, dtype=np.uint32)
     for i in range(0x110000):
         c = chr(i)
-        if unicodedata.category(c)[0] in "LM":
-            word[i] = True
+        kind = unicodedata.category(c)[0]
+        if kind in "LM":
+            word[i], letter[i] = True, kind == "L"
             low = c.lower()
             if len(low) == 1:
                 lower[i] = ord(low)
     script = (np.searchsorted(np.array(SCRIPTS), np.arange(0x110000), "right") - 1).astype(np.uint8)
     for run, of in SAME.items():
         script[script == SCRIPTS.index(run)] = SCRIPTS.index(of)
-    return word, lower, script
+    return word, letter, lower, script
 
 
 class Words:
     """Words and n-gram cells of several texts at once."""
 
     def __init__(self, texts: list[str]):
-        word, lower, script = _tables()
+        word, letter, lower, script = _tables()
         code = np.frombuffer("\n".join(["", *texts, ""]).encode("utf-32-le"), np.uint32)
         sizes = np.array([len(t) for t in texts], np.int64)
         self.base = np.cumsum(sizes + 1) - sizes  # where each text starts
@@ -58,6 +59,8 @@ class Words:
         before = np.concatenate([[False], is_word[:-1]])
         self.start = np.flatnonzero(is_word & ~before)
         self.end = np.flatnonzero(~is_word & before)
+        ahead = np.concatenate([[0], np.cumsum(letter[code])])
+        self.letters = ahead[self.end] - ahead[self.start]
         self.text = np.searchsorted(self.base, self.start, "right") - 1
         self.script = script[code[self.start]]
         use = np.flatnonzero(is_word | before)  # each letter, and the place behind each word
@@ -196,7 +199,7 @@ def spans_of(w: Words, label: np.ndarray, k: int, names: list[str]) -> list[dict
 
 def _predict(model: Model, penalty: float, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit, k = max(1 << 16, (1 << 24) // max(len(model.names), 1)), len(model.names)
+        limit, k = max(1 << 16, (1 << 22) // max(len(model.names), 1)), len(model.names)  # characters at once
         for b in batches:
             pred, score, spans = [], [], []
             for run in by_size((t.as_py() or "" for t in b.column(b.num_columns - 1)), len, limit):
@@ -205,7 +208,7 @@ def _predict(model: Model, penalty: float, with_spans: bool):
                     continue
                 w, label = label_words(run, model, penalty)
                 letters = np.zeros((len(run), k))
-                np.add.at(letters, (w.text, label), w.end - w.start)
+                np.add.at(letters, (w.text, label), w.letters)
                 total, best = letters.sum(1), letters.argmax(1)
                 pred += [model.names[i] if n else "und" for i, n in zip(best, total, strict=True)]
                 score += (letters.max(1) / np.maximum(total, 1)).tolist()

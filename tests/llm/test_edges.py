@@ -346,9 +346,9 @@ def test_viterbi_is_the_best_path():
 def test_scripts_narrow(spark):
     rows = [(i, t, g) for i, (t, g) in enumerate([("привет мир как дела", "ru"), ("hello world how are you", "en"), ("γεια σου κοσμε", "el")] * 5)]
     model = langid.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
-    new = spark.createDataFrame([(1, "мама мыла раму"), (2, "xyz qqq"), (3, "λογος"), (4, "123 !"), (5, None), (6, "日本")], "doc_id long, text string")
+    new = spark.createDataFrame([(1, "мама мыла раму"), (2, "xyz qqq"), (3, "λογος"), (4, "123 !"), (5, None), (6, "日本"), (7, "\u0301 \u0902")], "doc_id long, text string")
     got = {r.doc_id: r.lang_pred for r in langid.identify(new, model).collect()}
-    assert got[1] == "ru" and got[2] == "en" and got[3] == "el" and got[4] == got[5] == "und" and got[6] in ("ru", "en", "el")
+    assert got[1] == "ru" and got[2] == "en" and got[3] == "el" and got[4] == got[5] == got[7] == "und" and got[6] in ("ru", "en", "el")
 
 
 def test_languages_edges(edges, none):
