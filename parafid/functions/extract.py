@@ -126,11 +126,12 @@ def extract_measurement_keys(c: Column) -> Column:
 
 
 def count_medical_terms(c: Column) -> Column:
-    def count(low: Column, pattern: str) -> Column:
+    def count(x: Column, pattern: str) -> Column:
         words = required(pattern)
-        n = count_all(low, pattern, "i")
-        return F.when(contains_any(folded(low), words), n).otherwise(0) if words else n
-    return let(F.lower(c), lambda low: reduce(lambda a, b: a + b, [count(low, p) for p in rules.MEDICAL_TERM_PATTERNS]))
+        n = count_all(x["low"], pattern, "i")
+        return F.when(contains_any(x["test"], words), n).otherwise(0) if words else n
+    both = F.struct(F.lower(c).alias("low"), folded(c).alias("test"))
+    return let(both, lambda x: reduce(lambda a, b: a + b, [count(x, p) for p in rules.MEDICAL_TERM_PATTERNS]))
 
 
 def extract_grounding_terms(c: Column, stop_words=None) -> Column:

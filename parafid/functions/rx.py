@@ -173,7 +173,8 @@ def required(pattern: str) -> list[str] | None:
 
 def folded(c: Column) -> Column:
     """Text for literal tests that stand before case-insensitive patterns; the two letters fold onto ASCII there."""
-    return F.translate(F.lower(c), "\u017f\u0131", "si")
+    low = F.replace(F.lower(c), F.lit("\u017f"), F.lit("s"))  # cheaper than a translation where neither occurs
+    return F.replace(low, F.lit("\u0131"), F.lit("i"))
 
 
 def contains_any(low: Column, words: list[str]) -> Column:
