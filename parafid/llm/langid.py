@@ -201,19 +201,21 @@ def _predict(model: Model, penalty: float, with_spans: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         limit, k = max(1 << 16, (1 << 22) // max(len(model.names), 1)), len(model.names)  # characters at once
         for b in batches:
-            pred, score, spans = [], [], []
-            for run in by_size((t.as_py() or "" for t in b.column(b.num_columns - 1)), len, limit):
-                if not k:
-                    pred, score, spans = pred + ["und"] * len(run), score + [0.0] * len(run), spans + [[]] * len(run)
-                    continue
-                w, label = label_words(run, model, penalty)
-                letters = np.zeros((len(run), k))
+            texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
+            pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+            # texts of like length go forward together
+            order = sorted(range(len(texts)), key=lambda i: len(texts[i]), reverse=True) if k else []
+            for rows in by_size(order, lambda i: len(texts[i]), limit):
+                w, label = label_words([texts[i] for i in rows], model, penalty)
+                letters = np.zeros((len(rows), k))
                 np.add.at(letters, (w.text, label), w.letters)
                 total, best = letters.sum(1), letters.argmax(1)
-                pred += [model.names[i] if n else "und" for i, n in zip(best, total, strict=True)]
-                score += (letters.max(1) / np.maximum(total, 1)).tolist()
-                if with_spans:
-                    spans += [spans_of(w, label, i, model.names) for i in range(len(run))]
+                share = (letters.max(1) / np.maximum(total, 1)).tolist()
+                for j, i in enumerate(rows):
+                    if total[j]:
+                        pred[i], score[i] = model.names[best[j]], share[j]
+                    if with_spans:
+                        spans[i] = spans_of(w, label, j, model.names)
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             if with_spans:
                 new.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
