@@ -50,6 +50,45 @@ def test_one_of_each_group_stays(stages):
     assert kept == {label[i] for i in ids}
 
 
+def plain_near_copies(texts, width=5, least=0.8):
+    """Smallest key of each key's component, from all pairs."""
+    sets = {}
+    for i, t in texts.items():
+        w = t.encode().lower().split()
+        sets[i] = {tuple(w[k:k + width]) for k in range(max(len(w) - width, 0) + 1)}
+    ids, label = sorted(sets), {i: i for i in sets}
+    near = [(i, j) for n, i in enumerate(ids) for j in ids[:n] if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j])]
+    change = True
+    while change:
+        change = False
+        for i, j in near:
+            low = min(label[i], label[j])
+            change |= label[i] != label[j]
+            label[i] = label[j] = low
+    return label
+
+
+def test_near_copies_by_jaccard(stages, spark):
+    """Copies with changed words are found where their five-word shingles say so, whatever their fingerprints."""
+    import random
+    rng = random.Random(7)
+    texts = {r.doc_id: r.text for r in stages[1].limit(200).collect()}
+    for i, t in [(k, t) for k, t in sorted(texts.items()) if 30 <= len(t.split()) <= 600][:60]:
+        w = t.split()
+        for c in range(1, 4):
+            v = list(w)
+            for _ in range(max(1, int(len(w) * rng.choice([.01, .02, .03])))):
+                v[rng.randrange(len(v))] = f"new{rng.randrange(99)}"
+            texts[i + c * 10**7] = " ".join(v)
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in texts.items()], "doc_id long, text string, lang string, source string, n_chars long")
+    want = plain_near_copies(texts)
+    assert 20 < len(texts) - len(set(want.values()))
+    got = {r.doc_id for r in cp.near_dedup(spark, d, "/root/testdata/sf0.001").collect()}
+    assert got == set(want.values())
+    prints = {i: simhash.fingerprint(t) for i, t in texts.items()}
+    assert any(want[i] != i and (prints[i] ^ prints[want[i]]).bit_count() > 2 for i in texts)
+
+
 def test_no_window_is_left(stages, spark):
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     assert decontam.decontaminate(stages[3], b).filter("contaminated").count() == 0
