@@ -1,17 +1,23 @@
 """License scans by conditional compression.
 
-Blocks of lines with license words are compressed with zstd alone and with each
-template as a raw dictionary. Templates are ranked by how much they save, and
-those that save enough are confirmed, best first, by an exact comparison of the
-words: what the block lacks, adds or has otherwise.
+Around license words, windows of about each template's length slide over the
+words, whatever the line breaks, and are compared with the template word by
+word: what the window lacks, adds or has otherwise. What is confirmed is
+compressed with zstd alone and with the template as a raw dictionary, and those
+that save most bytes get their words first. Last, whole blocks of lines with
+license words are compared with the templates that save enough of them, which
+finds notices with very many words between their own.
 """
 
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
@@ -54,6 +60,7 @@ TEMPLATES = {
 
 _CUE = re.compile(r"licen[sc]|copyright|all rights|permission|redistribut|warrant|spdx|free software|mozilla", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
+_PLACED = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 
 
 def words(text: str) -> list[str]:
@@ -69,6 +76,13 @@ class Matcher:
         self.given = {k: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items() if w}
 
+    def gain(self, block: list[str], name: str) -> tuple[int, float]:
+        """Bytes and share of the block's compressed size that a template saves."""
+        raw = " ".join(block).encode()
+        alone = len(self.plain.compress(raw))
+        given = len(self.given[name].compress(raw))
+        return alone - given, 1 - given / alone
+
     def ranked(self, block: list[str], least: float) -> list[tuple[float, str]]:
         """(share saved, template) of those that save ``least`` or more, best first."""
         raw = " ".join(block).encode()
@@ -105,20 +119,91 @@ def blocks(text: str, gap: int = 3) -> list[tuple[int, int]]:
     return out
 
 
-def scan_text(text: str | None, m: Matcher, least: float, share: float) -> list[dict]:
-    """Confirmed licenses of a text: of each block the best template, and all others with words of their own."""
-    out = []
-    for start, end in blocks(text or ""):
-        left = words(text[start:end])
-        for gain, name in m.ranked(left, least):
-            found, diff = m.differences(left, name)
-            if found >= share:
-                out.append({"license": name, "start": start, "end": end, "gain": round(gain, 6), "found": round(found, 6),
-                            "differences": diff})
-                left = _without(left, m.words[name])
+def regions(text: str, starts: list[int], reach: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of words that are ``reach`` words away from a license word at most."""
+    out: list[tuple[int, int]] = []
+    for m in _CUE.finditer(text):
+        at = max(bisect_right(starts, m.start()) - 1, 0)
+        low, high = max(at - reach, 0), min(at + reach + 1, len(starts))
+        if out and low <= out[-1][1]:
+            out[-1] = (out[-1][0], max(high, out[-1][1]))
+        else:
+            out.append((low, high))
     return out
 
 
+def occurrences(block: list[str], m: Matcher, name: str, share: float, extra: int) -> list[list[int]]:
+    """Positions of the words that each occurrence of a template has in order, with ``extra`` words between them at most."""
+    t, has = m.words[name], Counter(m.words[name])
+    size, need, held = len(t) + extra, share * len(t), Counter(block)
+    if sum(min(n, held[w]) for w, n in has.items()) < need:
+        return []
+    own = np.fromiter((w in has for w in block), bool, len(block))
+    total = np.concatenate([[0], np.cumsum(own)])
+    ends = np.minimum(np.arange(len(block)) + size, len(block))
+    out, best, past = [], None, 0
+    for i in np.flatnonzero(own & (total[ends] - total[:-1] >= need)).tolist():
+        if best and i > best[1][0] + extra:
+            out.append(best[1])
+            best, past = None, best[1][-1] + 1
+        if i < past:
+            continue
+        window = block[i:i + size]
+        held = Counter(window)
+        if sum(min(n, held[w]) for w, n in has.items()) < need:
+            continue
+        places = _places(t, window, i)
+        if len(places) >= need:
+            rank = (len(places), places[0] - places[-1])
+            if not best or rank > best[0]:
+                best = (rank, places)
+    return out + [best[1]] if best else out
+
+
+def _places(t: list[str], block: list[str], at: int = 0) -> list[int]:
+    same = SequenceMatcher(None, t, block, autojunk=False).get_matching_blocks()
+    return [at + x.b + k for x in same for k in range(x.size)]
+
+
+def scan_text(text: str | None, m: Matcher, least: float, share: float, extra: int = 24) -> list[dict]:
+    """Confirmed licenses of a text: at each place the best template, and all others with words of their own."""
+    text = text or ""
+    if not _CUE.search(text):
+        return []
+    placed = [(x[0].lower(), x.start(), x.end()) for x in _PLACED.finditer(text)]
+    all_words, starts = [x[0] for x in placed], [x[1] for x in placed]
+    out, used, found = [], [False] * len(placed), []
+    reach = max(map(len, m.words.values()), default=0) + extra
+    for low, high in regions(text, starts, reach):
+        block = all_words[low:high]
+        for name in m.given:
+            for places in occurrences(block, m, name, share, extra):
+                first, last = low + places[0], low + places[-1]
+                found.append((m.gain(all_words[first:last + 1], name), name, first, last))
+
+    def add(name: str, share_saved: float, start: int, end: int, same: float, diff: list[str]) -> None:
+        out.append({"license": name, "start": start, "end": end, "gain": round(share_saved, 6), "found": round(same, 6),
+                    "differences": diff})
+
+    for (_, saved), name, first, last in sorted(found, key=lambda f: (-f[0][0], f[1], f[2])):
+        free = [i for i in range(first, last + 1) if not used[i]]
+        left = [all_words[i] for i in free]
+        same, diff = m.differences(left, name)
+        if same >= share:
+            places = [free[k] for k in _places(m.words[name], left)]
+            for i in places:
+                used[i] = True
+            add(name, saved, starts[places[0]], placed[places[-1]][2], same, diff)
+    for start, end in blocks(text):
+        left = [w for (w, s, e), u in zip(placed, used, strict=True) if not u and start <= s and e <= end]
+        for saved, name in m.ranked(left, least) if left else ():
+            same, diff = m.differences(left, name)
+            if same >= share:
+                add(name, saved, start, end, same, diff)
+                left = _without(left, m.words[name])
+    return sorted(out, key=lambda f: (f["start"], f["end"], f["license"]))
+
+
 def _without(block: list[str], t: list[str]) -> list[str]:
     """The block's words that a template has not explained."""
     out, at = [], 0
@@ -147,9 +232,12 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, least: flo
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id and ``found``, the licenses confirmed in it with place, saving and differences.
 
-    A template is compared when it saves ``least`` of a block's compressed size,
-    and confirmed when the block has ``share`` of its words in order. Words that
-    a confirmed template explains are not used again, so a block may hold several.
+    A template is confirmed where a window of its length and 24 words more has
+    ``share`` of its words in order; each occurrence counts, and its place goes
+    from its first word to its last. Of whole blocks of lines, templates that
+    save ``least`` of the compressed size are compared, with any number of words
+    between; their place is the block. Words that a confirmed template explains
+    are not used again. A place is looked at only near a license word.
 
     Null and empty texts have none. Ids may be null or repeat; each row is
     scanned by itself. No rows give no rows. Other columns are not read.

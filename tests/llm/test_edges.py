@@ -387,6 +387,34 @@ def test_licenses_against_all_templates(spark, sf_dir):
     assert n > 20
 
 
+@pytest.mark.parametrize("width", [40, 60, 72, 80])
+def test_licenses_wrapped_and_inside_lines(width):
+    """Line breaks, comment marks and words around a notice do not hide it."""
+    import textwrap
+    m = licenses.Matcher(licenses.TEMPLATES)
+    around = "The parser in this folder is the work of several authors and reads what they wrote over many years "
+    for k, t in licenses.TEMPLATES.items():
+        t = t.replace("<year holder>", "2020 Jane Doe")
+        wrapped = "\n".join("# " + x for x in textwrap.wrap(t, width, break_on_hyphens=False, break_long_words=False))
+        for text in (wrapped, "some prose\n\n" + wrapped + "\n\nmore prose", around * 6 + t + " " + around * 6, t + "\n\n\n\n\n" + t):
+            got = licenses.scan_text(text, m, 0.2, 0.9)
+            # the plain way: every window of the whole text
+            w = licenses.words(text)
+            n = len(m.words[k]) + 4
+            assert max(m.differences(w[i:i + n], k)[0] for i in range(len(w))) == 1.0
+            assert [x["license"] for x in got] == [k] * (1 + (text.count(t) == 2)), (k, text)
+            assert all(x["found"] == 1.0 and licenses.words(text[x["start"]:x["end"]])[0] == m.words[k][0] for x in got)
+
+
+def test_short_licenses_in_longer_texts():
+    m = licenses.Matcher(licenses.TEMPLATES)
+    for text in ("The parser in this folder is the work of several authors. Released under the MIT License.",
+                 "Copyright 2020 Jane Doe. Released under the MIT License. See LICENSE for details."):
+        assert [x["license"] for x in licenses.scan_text(text, m, 0.2, 0.9)] == ["MIT-notice"]
+    long = "Copyright " + " ".join(f"holder{i}" for i in range(28)) + ". All rights reserved."
+    assert len(licenses.scan_text(long, m, 0.0, 0.9)) == 1
+
+
 # ------------------------------------------------------------------------ pii
 def test_pii_base():
     t = "Mail a.b@x.org@y.com or @z.de 1.2.3.4.5 999.1.1.1 4111 1111 1111 1111 4111111111111112 +49 (30) 123-456, 10.0.0.256 and +1 23"
