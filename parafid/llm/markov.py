@@ -2,10 +2,10 @@
 
 Two character models (first order, with a start state) are trained from labelled
 samples taken from the whole corpus: what the patterns find is labelled random,
-other words without digits are labelled ordinary. Transitions are counted per
-batch, summed by Spark, and only the sums (a table of fixed size) reach the
-driver. A long token with letters and digits is a secret when its
-log-likelihood ratio is high enough, in all and per character.
+all other tokens are labelled ordinary. Transitions are counted per batch,
+summed by Spark, and only the sums (a table of fixed size) reach the driver. A
+long token, whatever its characters, is a secret when its log-likelihood ratio
+is high enough, in all and per character.
 """
 
 from __future__ import annotations
@@ -27,13 +27,12 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]{16,}")
 HEX = re.compile(r"[0-9a-f]{24,}")
 KINDS = ("assign", "access", "hex", "random")
 
-#: Characters of a token; 0 is what stands before its first one.
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
+#: Characters that the models know; 0 is what stands before the first one of a word. Signs that join words (+/_=-) are 0 too:
+#: they count for neither model, so what is ordinary word by word is ordinary when joined.
+ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
 STATES = len(ALPHABET) + 1
 _CODE = np.zeros(256, np.int64)
 _CODE[np.frombuffer(ALPHABET.encode(), np.uint8)] = np.arange(1, STATES)
-_DIGIT = np.zeros(256, bool)
-_DIGIT[ord("0"):ord("9") + 1] = True
 _TOKEN = re.compile(r"[A-Za-z0-9+/_=-]+")
 
 
@@ -49,13 +48,10 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def _ordinary(text: str, counts: np.ndarray) -> None:
-    """Adds the transitions of all tokens without digits."""
-    raw = np.frombuffer(text.encode(), np.uint8)
-    code = np.concatenate([_CODE[raw], [0]])
-    before = np.concatenate([[0], code[:-1]])
-    number = np.cumsum((code > 0) & (before == 0))
-    plain = np.bincount(number[:-1], weights=_DIGIT[raw], minlength=number[-1] + 1) == 0
-    use = (code > 0) & plain[number]
+    """Adds the transitions of all tokens."""
+    code = _CODE[np.frombuffer(text.encode(), np.uint8)]
+    before = np.concatenate([[0], code])[:-1]
+    use = code > 0
     counts += np.bincount(before[use] * STATES + code[use], minlength=STATES * STATES)
 
 
@@ -98,26 +94,39 @@ def train(docs: DataFrame, *, uniform: tuple[float, float] = (0.001, 0.5), text_
     for r in sums.collect():  # STATES squared rows at most
         plain.flat[r.cell], odd.flat[r.cell] = r.plain, r.odd
 
+    return ratios(plain, odd, uniform)
+
+
+def ratios(plain: np.ndarray, odd: np.ndarray, uniform: tuple[float, float] = (0.001, 0.5)) -> np.ndarray:
+    """The log-likelihood ratios that transition counts give.
+
+    Ordinary words may stand in capitals: half of what follows a capital goes by
+    the small letters. One in twenty small letters may end a word that the next
+    joins with its capital (camel case). The first character of a word counts within its kind
+    (capital, small letter, digit), so numbers beside words are no evidence.
+    """
+    big, small = slice(1, 27), slice(27, 53)
+    plain, like = plain.copy(), plain[small, small]
+    plain[big, big] += like * plain[big].sum(1, keepdims=True) / np.maximum(like.sum(1, keepdims=True), 1)
+    plain[small, big] += plain[small].sum(1, keepdims=True) / 20 * plain[:1, big] / max(plain[0, big].sum(), 1)
+
     def logs(n: np.ndarray, share: float) -> np.ndarray:
-        n = n[:, 1:]
-        total, flat = n.sum(1, keepdims=True), 1 / (STATES - 1)
+        total, flat = n.sum(1, keepdims=True), 1 / n.shape[1]
         return np.log(np.where(total > 0, (1 - share) * n / np.maximum(total, 1) + share * flat, flat))
 
     out = np.zeros((STATES, STATES))
-    out[:, 1:] = logs(odd, uniform[1]) - logs(plain, uniform[0])
+    out[1:, 1:] = logs(odd[1:, 1:], uniform[1]) - logs(plain[1:, 1:], uniform[0])
+    for kind in (big, small, slice(53, STATES)):
+        out[:1, kind] = logs(odd[:1, kind], uniform[1]) - logs(plain[:1, kind], uniform[0])
     return out
 
 
 def random_spans(text: str, ratios: np.ndarray, least: int, total: float, mean: float) -> list[tuple[int, int]]:
     out = []
     for m in re.finditer(r"[A-Za-z0-9+/_=-]{%d,}" % least, text):
-        raw = np.frombuffer(m[0].encode(), np.uint8)
-        digits = _DIGIT[raw].sum()
-        if not 0 < digits < len(raw):
-            continue
-        code = _CODE[raw]
+        code = _CODE[np.frombuffer(m[0].encode(), np.uint8)]
         score = ratios[np.concatenate([[0], code[:-1]]), code].sum()
-        if score >= max(total, mean * len(raw)):
+        if score >= max(total, mean * len(code)):
             out.append(m.span())
     return out
 

@@ -299,6 +299,23 @@ def test_secrets_models(spark, sf_dir):
     assert markov.redact("a secret=abcdef b", markov.base_spans("a secret=abcdef b")) == "a [SECRET] b"
 
 
+def test_secrets_without_digits_and_words_with_them(spark):
+    """The ratio alone decides: letters may be a secret, and numbers beside words need not be."""
+    import random
+    import string
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    names = [(-1, "user_account_2024_backup chapter12section34part5 image00123456thumb MAX_BUFFER_SIZE_LIMIT " * 40)]
+    learned = markov.train(d.union(spark.createDataFrame(names, d.schema)))
+    rng = random.Random(5)
+    for letters in (string.ascii_lowercase, string.ascii_letters, string.ascii_uppercase):
+        keys = ["".join(rng.choices(letters, k=16)) for _ in range(200)]
+        assert sum(bool(markov.find_secrets(f"see {k} there", learned)[1]) for k in keys) >= 190
+    for x in ("2024-01-15-2023-12-31", "2024-01-15_2024-02-01", "1234-5678-9012-3456", "10-11-2012-13-14-2015", "4785380592391139",
+              "user_account_2024_backup", "chapter12section34part5", "image00123456thumb", "report_2023-11-30_final_v2",
+              "MAX_BUFFER_SIZE_LIMIT", "getElementsByTagName", "internationalization", "well-established-practice", "-" * 30, "=" * 30):
+        assert not markov.find_secrets(f"see {x} there", learned)[1], x
+
+
 def test_secrets_edges(edges, none):
     got = markov.scan(edges, with_text=True).collect()
     assert len(got) == len(EDGES) and all(r.spans == "" for r in got)
