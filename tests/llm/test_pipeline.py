@@ -89,6 +89,16 @@ def test_near_copies_by_jaccard(stages, spark):
     assert any(want[i] != i and (prints[i] ^ prints[want[i]]).bit_count() > 2 for i in texts)
 
 
+def test_parities_bound_the_difference():
+    import numpy as np
+    from parafid.llm import overlap
+    rng = np.random.default_rng(2)
+    for n, m in ((0, 5), (3, 900), (300, 310), (5000, 4500), (40, 40)):
+        x, y = (np.unique(rng.integers(0, 1 << 13, k).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) for k in (n, m))
+        low = overlap.least_difference(overlap.parity(x), overlap.parity(y))
+        assert low <= len(np.setxor1d(x, y)) and overlap.least_difference(overlap.parity(x), overlap.parity(x)) == 0
+
+
 def test_no_window_is_left(stages, spark):
     b = spark.read.parquet("/root/testdata/sf0.01/benchmark.parquet")
     assert decontam.decontaminate(stages[3], b).filter("contaminated").count() == 0
