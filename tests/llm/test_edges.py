@@ -428,6 +428,9 @@ def test_short_licenses_in_longer_texts():
     for text in ("The parser in this folder is the work of several authors. Released under the MIT License.",
                  "Copyright 2020 Jane Doe. Released under the MIT License. See LICENSE for details."):
         assert [x["license"] for x in licenses.scan_text(text, m, 0.2, 0.9)] == ["MIT-notice"]
+    for n in (12, 50, 10_000):
+        text = " ".join(f"w{i}" for i in range(n)) + " " + licenses.TEMPLATES["Apache-2.0-notice"] + " " + " ".join(f"v{i}" for i in range(n))
+        assert [x["license"] for x in licenses.scan_text(text, m, 0.2, 0.9)] == ["Apache-2.0-notice"]
     long = "Copyright " + " ".join(f"holder{i}" for i in range(28)) + ". All rights reserved."
     assert len(licenses.scan_text(long, m, 0.0, 0.9)) == 1
 
