@@ -1,6 +1,7 @@
 """All queries of this subpackage."""
 
-from . import decontam, hyperplanes, langid, licenses, markov, mixing, pii, simhash, toolcalls, warc  # noqa: F401
+from . import (alignment, decontam, hyperplanes, langid, licenses, markov, mixing, packing, pii, resampling, simhash,  # noqa: F401
+               toolcalls, warc)
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
