@@ -11,7 +11,6 @@ has several tokens on a side, and the shift behind it is the new one.
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -22,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, by_size
 from .registry import query, table
-from .tokens import PART, SPACE, Memo, as_bytes, at_spaces, in_parts, nested, no_cycles, once_a_worker, row_keys
+from .tokens import PART, SPACE, Memo, as_bytes, at_spaces, ids_of, no_cycles, once_a_worker, row_keys
 
 #: Id pairs whose counts every task holds; the counts of all others are joined. Any number gives the same result.
 HELD_PAIRS = 1 << 16
@@ -52,22 +51,14 @@ class Both:
         self.bytes_b = [bytes([int(p[3:-1], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode()
                         for i, p in enumerate(pieces)]
         self.size_a, self.size_b = (np.array([len(t) for t in x], np.int64) for x in (self.bytes_a, self.bytes_b))
-        # parts may end at a mark if no piece goes on over it
-        whole = any(re.search(r"[A-Za-zÀ-ÖØ-öø-ɏ][.,;:!?]", p) for p in pieces)
-        self.memo = Memo(self._after_space) if whole else nested(
-            self._ids, lambda got: [b"".join(x) for x in zip(*got, strict=True)], " ")
+        self.memo = Memo(self._find)
 
-    def _after_space(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        return self._ids([" " + u for u in units])
-
-    def _ids(self, units: list[str]) -> list[tuple[bytes, bytes]]:
-        """Ids by both of units that begin with a space, and of others, which begin with a mark, as they are in a word."""
+    def _find(self, units: list[str]) -> list[tuple[bytes, bytes]]:
+        """Ids of ' ' + unit by both; the model adds the space itself."""
         out = []
         for run in by_size(units, len, PART):
-            a = [e.ids for e in self.a.encode_batch_fast(run, add_special_tokens=False)]
-            b = self.b.encode([u[1:] if u[0] == " " else "a" + u for u in run], num_threads=1)  # the model adds a space
-            b = [x if u[0] == " " else x[1:] for u, x in zip(run, b, strict=True)]
-            out += zip(as_bytes(a), as_bytes(b), strict=True)
+            a = self.a.encode_batch_fast([" " + u for u in run], add_special_tokens=False)
+            out += zip(as_bytes([e.ids for e in a]), as_bytes(self.b.encode(run, num_threads=1)), strict=True)
         return out
 
     def _same(self, text: str, a: np.ndarray, b: np.ndarray) -> bool:
@@ -76,15 +67,8 @@ class Both:
 
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """(ids of A, ids of B) of each text; none if the text is empty or one of them does not spell it."""
-        held: list[list] = [[] for _ in texts]
-        for places, units in in_parts(texts, SPACE, at_spaces):
-            for i, got in zip(places, self.memo.of(units), strict=True):
-                held[i].append([b"".join(x) for x in zip(*got, strict=True)])
-        out = []
-        for t, parts_ in zip(texts, held, strict=True):
-            a, b = (np.frombuffer(b"".join(x), np.int32) for x in zip(*parts_, strict=True))
-            out.append((a, b) if t and self._same(t, a, b) else (a[:0], b[:0]))
-        return out
+        ids = ids_of(texts, SPACE, at_spaces, self.memo, 2)
+        return [(a, b) if t and self._same(t, a, b) else (a[:0], b[:0]) for t, a, b in zip(texts, *ids, strict=True)]
 
 
 # ------------------------------------------------------------------- the walk

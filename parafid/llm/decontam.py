@@ -102,7 +102,7 @@ def find_hits(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_col:
     """
     spark = docs.sparkSession
     store = Store(spark, "decontam")
-    i = items.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("_w")).filter("item is not null and size(_w) > 0")
+    i = items.select(F.col(item_col).alias("item"), words(F.col(text_col)).alias("_w")).filter("size(_w) > 0")
     long = store.keep(_prepared(i.filter(F.size("_w") >= SPAN)).select("item", "_w", "_sel"))
     long = long.select("item", "_w", F.explode("_sel").alias("s"))
     place = F.col("s").bitwiseAND(F.lit((1 << _POS) - 1)).cast("int")
@@ -158,8 +158,8 @@ def decontaminate(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_
     ``items_sha256`` is the digest of the ids of the items found, sorted as
     strings and comma-joined.
 
-    Null or wordless texts have no words and no hits; items without words or
-    without an id match nothing. Rows that repeat an id, on either side, count
+    Null or wordless texts have no words and no hits; items without words match
+    nothing, and an item without an id hits like any other but is not counted or named. Rows that repeat an id, on either side, count
     by themselves (an item id is named once). Empty tables give no rows, or no
     hits. Columns other than the named ones are not read, and a text of a
     billion words or more is beyond what a position holds.

@@ -197,9 +197,9 @@ def spans_of(w: Words, label: np.ndarray, k: int, names: list[str]) -> list[dict
     return out
 
 
-def _predict(model: Model, penalty: float, with_spans: bool):
+def _predict(model: Model, penalty: float, with_spans: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit, k = max(1 << 16, (1 << 22) // max(len(model.names), 1)), len(model.names)  # characters at once
+        limit, k = max(1 << 16, (1 << 20) // max(len(model.names), 1)), len(model.names)  # characters at once
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]
@@ -219,14 +219,14 @@ def _predict(model: Model, penalty: float, with_spans: bool):
             new = [pa.array(pred, pa.string()), pa.array(score, pa.float64())]
             if with_spans:
                 new.append(pa.array(spans, pa.list_(pa.struct([("lang", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))))
-            yield pa.RecordBatch.from_arrays([*b.columns[:-1], *new],
-                                             [*b.schema.names[:-1], "lang_pred", "score", "spans"][:b.num_columns - 1 + len(new)])
+            n = b.num_columns if with_text else b.num_columns - 1
+            yield pa.RecordBatch.from_arrays([*b.columns[:n], *new], [*b.schema.names[:n], "lang_pred", "score", "spans"][:n + len(new)])
     return run
 
 
-def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, with_spans: bool = False, id_cols=("doc_id",),
-             text_col: str = "text") -> DataFrame:
-    """Per row: the ``id_cols``, ``lang_pred``, ``score`` and, if asked for, ``spans``.
+def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, with_spans: bool = False, with_text: bool = False,
+             id_cols=("doc_id",), text_col: str = "text") -> DataFrame:
+    """Per row: the ``id_cols``, ``lang_pred``, ``score`` and, if asked for, ``spans`` and the text (as ``text``).
 
     ``score`` is the share of the text's letters in words labelled ``lang_pred``;
     ties go to the first name. A null text, one without letters, and any text
@@ -236,7 +236,10 @@ def identify(docs: DataFrame, model: Model, *, penalty: float = 12.0, with_spans
     d = docs.select(*id_cols, F.col(text_col).cast("string").alias("_text"))
     head = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in d.schema[:-1])
     sql = head + "lang_pred string, score double" + ", spans array<struct<lang:string,start:bigint,end:bigint>>" * with_spans
-    return d.mapInArrow(_predict(model, penalty, with_spans), sql)
+    if not with_text:
+        return d.mapInArrow(_predict(model, penalty, with_spans, False), sql)
+    return d.mapInArrow(_predict(model, penalty, with_spans, True), sql.replace("lang_pred string,", "_text string, lang_pred string,")
+                        ).withColumnRenamed("_text", "text")
 
 
 def held_out(id_col: str = "doc_id"):

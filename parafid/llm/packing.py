@@ -11,7 +11,6 @@ the emptiest ones.
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,9 +18,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store
+from .common import Store, by_size
 from .registry import query, table
-from .tokens import no_cycles, once_a_worker, row_keys, word_ids
+from .tokens import PART, no_cycles, once_a_worker, row_keys, word_ids
 
 #: Tokens and rests of a group, about.
 GROUP_TOKENS, GROUP_ROWS = 1 << 22, 1 << 16
@@ -84,15 +83,6 @@ def top_up(sizes: np.ndarray, bins: np.ndarray, length: int, least: float) -> li
     return out + [(i, lo, hi, b) for b in low for i, lo, hi in move[b]]
 
 
-def _slices(ids: pa.Array, row: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.Array:
-    """The parts lo..hi of the lists in ``row``."""
-    start = ids.offsets.to_numpy()[row] + lo
-    size = hi - lo
-    ends = np.cumsum(size)
-    at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
-    return pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), ids.values.take(pa.array(at)))
-
-
 def _pack(length: int, least: float):
     def run(group: pa.Table) -> pa.Table:
         group = group.combine_chunks().sort_by("key")  # rows arrive in any order
@@ -105,8 +95,9 @@ def _pack(length: int, least: float):
         offset = ends - (hi - lo)
         # a piece that begins inside a rest has no key of its own: no rest begins at its places
         key = group["key"].to_numpy()[row] + lo
-        ids = _slices(group["ids"].combine_chunks() if isinstance(group["ids"], pa.ChunkedArray) else group["ids"], row, lo, hi)
-        out = {c: group[c].take(pa.array(row)) for c in group.column_names}
+        held = group["ids"].to_pylist()
+        ids = pa.array([held[i][4 * s:4 * e] for i, s, e in zip(row.tolist(), lo.tolist(), hi.tolist(), strict=True)], pa.binary())
+        out = {c: group[c].take(pa.array(row)) for c in group.column_names if c != "ids"}
         out |= {"start": pa.array(group["start"].to_numpy()[row] + lo), "length": pa.array(hi - lo), "ids": ids,
                 "sequence_id": pa.array(key[first][of]), "offset": pa.array(offset - offset[first][of])}
         return pa.table({c: out[c] for c in _COLUMNS})
@@ -119,26 +110,26 @@ _COLUMNS = ("id", "start", "length", "doc_tokens", "ids", "sequence_id", "offset
 # -------------------------------------------------------------------- pieces
 def _cut(path: str, end_id: int, length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end, step = once_a_worker(word_ids, path), np.array([end_id], "<u4").tobytes(), 4 * length
-        keys = row_keys()
+        encode, keys, end = once_a_worker(word_ids, path), row_keys(), np.array([end_id], np.int32)
         for b in batches:
-            rows, start, size, total, held, key = [], [], [], [], [], []
-            with no_cycles():
-                encoded = encode([t.as_py() or "" for t in b.column(1)])
-            for i, got in enumerate(encoded):
-                ids = got + end
-                for at in range(0, len(ids), step):
-                    piece = ids[at:at + step]
-                    rows.append(i)
-                    start.append(at // 4)
-                    size.append(len(piece) // 4)
-                    total.append(len(ids) // 4)
-                    held.append(piece)
-                    key.append(next(keys) * length)
-            ids = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]), pa.int32()),
-                                           pa.array(np.frombuffer(b"".join(held), "<u4").astype(np.int32)))
-            cols = [b.column(0).take(pa.array(rows, pa.int64())), *(pa.array(x, pa.int64()) for x in (key, start, size, total)), ids]
-            yield pa.RecordBatch.from_arrays(cols, ["id", "key", "start", "length", "doc_tokens", "ids"])
+            at = 0
+            for texts in by_size([t.as_py() or "" for t in b.column(1)], len, PART):
+                with no_cycles():
+                    found = encode(texts)
+                yield pieces(b.column(0).slice(at, len(texts)), [x for ids in found for x in (ids, end)], keys)
+                at += len(texts)
+
+    def pieces(ids: pa.Array, found: list[np.ndarray], keys: Iterator[int]) -> pa.RecordBatch:
+        total = np.array([len(x) for x in found]).reshape(-1, 2).sum(1)
+        count = -(-total // length)
+        row = np.repeat(np.arange(len(total)), count)
+        start = length * (np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count))
+        size = np.minimum(length, total[row] - start)
+        flat, ends = np.concatenate(found).astype("<u4", copy=False).tobytes(), (4 * np.cumsum(size)).tolist()
+        held = pa.array([flat[s:e] for s, e in zip([0, *ends], ends, strict=False)], pa.binary())
+        key = [next(keys) * length for _ in row]
+        cols = [ids.take(pa.array(row)), *(pa.array(x, pa.int64()) for x in (key, start, size, total[row])), held]
+        return pa.RecordBatch.from_arrays(cols, ["id", "key", "start", "length", "doc_tokens", "ids"])
     return run
 
 
@@ -148,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = 2048
 
     ``tokenizer`` is the path, the same on all machines, of a ``tokenizers`` file
     whose tokens never go over white space. Per piece: the id, ``start`` (tokens of
-    the document before it), ``length``, ``doc_tokens``, ``ids`` (array of int),
+    the document before it), ``length``, ``doc_tokens``, ``ids`` (little-endian 32-bit numbers),
     ``sequence_id`` and ``offset`` in the sequence, without gaps from 0. Each
     document ends with ``end_id`` and each of its ids lies in one piece. Rests are
     cut only to fill sequences that first-fit leaves below ``least_fill``.
@@ -163,37 +154,27 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = 2048
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))
     pieces = store.keep(d.mapInArrow(_cut(tokenizer, end_id, length),
-                                     f"id {kind}, key long, start long, length long, doc_tokens long, ids array<int>"))
+                                     f"id {kind}, key long, start long, length long, doc_tokens long, ids binary"))
     full = pieces.filter(F.col("length") == length).withColumn("sequence_id", F.col("key")).withColumn("offset", F.lit(0).cast("long"))
     rest = pieces.filter(F.col("length") < length)
     n, tokens = rest.agg(F.count("*"), F.coalesce(F.sum("length"), F.lit(0))).first()
     groups = max(1, -(-tokens // GROUP_TOKENS), -(-n // GROUP_ROWS))
     dealt = rest.withColumn("group", F.pmod(F.xxhash64("key"), F.lit(groups))).groupBy("group").applyInArrow(
-        _pack(length, least_fill), f"id {kind}, start long, length long, doc_tokens long, ids array<int>, sequence_id long, offset long")
+        _pack(length, least_fill), f"id {kind}, start long, length long, doc_tokens long, ids binary, sequence_id long, offset long")
     both = full.select(*_COLUMNS).union(dealt)
     return both.withColumnRenamed("id", id_col)
 
 
 def sequences(packed: DataFrame, length: int = 2048, pad_id: int = 0) -> DataFrame:
-    """(sequence_id, ids, n_tokens): whole sequences of ``pack``, padded to ``length`` unless their size is a power of two."""
-    one = packed.groupBy("sequence_id").agg(F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
-    ids = F.flatten(F.transform("p", lambda p: p["ids"]))
-    one = one.select("sequence_id", ids.alias("ids")).withColumn("n_tokens", F.size("ids"))
-    pad = F.when(F.bit_count("n_tokens") == 1, 0).otherwise(length - F.col("n_tokens"))
-    return one.withColumn("ids", F.concat("ids", F.array_repeat(F.lit(pad_id), pad.cast("int"))))
-
-
-def _crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids = b.column(b.num_columns - 1)
-        ends, flat = ids.offsets.to_numpy(), ids.values.to_numpy().astype("<u4")
-        crc = [zlib.crc32(flat[s:e].tobytes()) for s, e in zip(ends[:-1].tolist(), ends[1:].tolist(), strict=True)]
-        yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(crc, pa.int64())], [*b.schema.names[:-1], "ids_crc32"])
+    """(sequence_id, n_tokens, ids): whole sequences of ``pack``, padded to ``length`` unless their size is a power of two."""
+    one = packed.groupBy("sequence_id").agg(F.sum("length").alias("n_tokens"), F.array_sort(F.collect_list(F.struct("offset", "ids"))).alias("p"))
+    pad = F.when(F.bit_count("n_tokens") == 1, 0).otherwise(length - F.col("n_tokens")).cast("int")
+    ids = F.aggregate("p", F.lit(b""), lambda a, p: F.concat(a, p["ids"]))
+    return one.select("sequence_id", "n_tokens", F.concat(ids, F.unhex(F.repeat(F.lit(np.array([pad_id], "<u4").tobytes().hex()), pad))).alias("ids"))
 
 
 @query("op11_packing")
 def op11_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
     got = pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
-    return got.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids").mapInArrow(
-        _crc, "doc_id long, start long, length long, doc_tokens long, sequence_id long, offset long, ids_crc32 long")
+    return got.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")

@@ -1,9 +1,9 @@
 """Token ids of whole texts, found unit by unit.
 
 A unit is a stretch of text that no token goes over the end of. Units repeat, so
-each worker keeps the ids of short ones (a bounded table, emptied when full) and
-hands only new ones to the tokenizer. Long texts are cut between units and
-worked on in parts.
+those of a run of texts are made distinct first, each worker keeps the ids of
+short ones (two tables of bounded size), and only new ones go to the tokenizer.
+Long texts are cut between units and worked on in parts.
 """
 
 from __future__ import annotations
@@ -16,6 +16,8 @@ from contextlib import contextmanager
 from itertools import accumulate, chain, pairwise
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 
 from .common import by_size
@@ -23,14 +25,13 @@ from .common import by_size
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work over cores
 
 #: Units kept by a worker (twice as many at most), the longest one that is kept, and characters worked on at a time.
-KEPT, LONGEST, PART = 1 << 18, 64, 1 << 20
+KEPT, LONGEST, PART = 1 << 17, 64, 1 << 21
 #: White space, of which word tokenizers keep nothing.
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 #: A single space between characters that are not white: byte-level tokenizers start a token there.
 SPACE, DOUBLE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
-#: The place between a Latin letter and a mark.
-MARK = re.compile(r"(?<=[A-Za-zÀ-ÖØ-öø-ɏ])(?=[.,;:!?])")
-_LETTERS = re.compile(r"[A-Za-z]+")
+#: A unit of an ASCII word and marks.
+PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
 
 
 def parts(text: str, cut: re.Pattern, limit: int = PART) -> Iterator[str]:
@@ -42,52 +43,41 @@ def parts(text: str, cut: re.Pattern, limit: int = PART) -> Iterator[str]:
     yield text[at:]
 
 
+def at_white(texts: list[str]) -> pa.ListArray:
+    """Each text cut at WHITE."""
+    return pc.ascii_split_whitespace(pa.array(texts, pa.string()))
+
+
+def at_spaces(texts: list[str]) -> pa.ListArray:
+    """Each text cut at SPACE."""
+    got = [t.split(" ") if not (t[:1].isspace() or t[-1:].isspace() or DOUBLE.search(t)) else SPACE.split(t) for t in texts]
+    ends = list(accumulate(map(len, got), initial=0))
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(list(chain.from_iterable(got)), pa.string()))
+
+
 class Memo:
     """Values of units; ``find`` gives those of new ones. Units that stay unused go when two tables are full."""
 
     def __init__(self, find: Callable[[list[str]], list], most: int = KEPT, longest: int = LONGEST):
         self.find, self.most, self.longest, self.now, self.before = find, most, longest, {}, {}
 
-    def of(self, units: list[list[str]]) -> list[list]:
-        """Values of each list of units."""
+    def of(self, units: list[str]) -> list:
+        """Values of distinct units."""
         if len(self.now) > self.most:
             self.now, self.before = {}, self.now
         now, before = self.now, self.before
-        names = set().union(*units) - now.keys()
-        seen = names & before.keys()
-        now.update((u, before[u]) for u in seen)
-        new = list(names - seen)
-        now.update(zip(new, self.find(new), strict=True))
-        out = [list(map(now.__getitem__, us)) for us in units]
-        for u in new:
-            if len(u) > self.longest:
-                del now[u]
+        out = list(map(now.get, units))
+        for i, v in enumerate(out):
+            if v is None and (v := before.get(units[i])) is not None:
+                out[i] = now[units[i]] = v
+        new = [i for i, v in enumerate(out) if v is None]
+        for i, v in zip(new, self.find([units[i] for i in new]), strict=True):
+            out[i] = v
+            if len(units[i]) <= self.longest:
+                now[units[i]] = v
         return out
 
 
-def nested(find: Callable[[list[str]], list], join: Callable[[list], object], lead: str = "") -> Memo:
-    """A memo of units whose new ones, behind ``lead``, are put together from their parts between marks."""
-    inner = Memo(find)
-    return Memo(lambda units: [join(x) for x in inner.of([MARK.split(lead + u) for u in units])])
-
-
-def in_parts(texts: list[str], cut: re.Pattern, units: Callable[[str], list[str]], limit: int = PART
-             ) -> Iterator[tuple[list[int], list[list[str]]]]:
-    """Units of all texts in runs of about ``limit`` characters: places of texts, and the next units of each."""
-    def each():
-        for i, t in enumerate(texts):
-            for p in parts(t, cut, limit):
-                yield i, p
-    for run in by_size(each(), lambda x: len(x[1]), limit):
-        yield [i for i, _ in run], [units(p) for _, p in run]
-
-
-def at_spaces(text: str) -> list[str]:
-    """``text`` cut at SPACE, without these spaces."""
-    plain = not (text[:1].isspace() or text[-1:].isspace() or DOUBLE.search(text))
-    return text.split(" ") if plain else SPACE.split(text)
-
-
 def as_bytes(lists: list[list[int]]) -> list[bytes]:
     """Each list as little-endian 32-bit numbers."""
     flat = np.fromiter(chain.from_iterable(lists), "<u4").tobytes()
@@ -95,41 +85,66 @@ def as_bytes(lists: list[list[int]]) -> list[bytes]:
     return [flat[s:e] for s, e in pairwise(ends)]
 
 
-def word_ids(path: str) -> Callable[[list[str]], list[bytes]]:
-    """Ids (little-endian, 32 bits) of texts by a tokenizer that drops white space; no special tokens are added.
+def _spread(units: pa.ListArray, index: pa.Array, values: list[bytes]) -> list[np.ndarray]:
+    """Ids of each list of units, from those of the distinct ones."""
+    ends = np.fromiter(accumulate(map(len, values), initial=0), np.int64) // 4
+    ids = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(values), "<i4"))).take(index)
+    at, flat = ids.offsets.to_numpy()[units.offsets.to_numpy()].tolist(), ids.values.to_numpy()
+    return [flat[s:e] for s, e in pairwise(at)]
 
-    Its words are runs of letters, and no special token may hold a mark or white space.
-    """
+
+def ids_of(texts: list[str], cut: re.Pattern, split: Callable[[list[str]], pa.ListArray], memo: Memo, width: int) -> list[list[np.ndarray]]:
+    """For each of the ``width`` values that ``memo`` has for a unit, the ids of each text."""
+    out: list[list[list[np.ndarray]]] = [[[] for _ in texts] for _ in range(width)]
+    cut_up = ((i, p) for i, t in enumerate(texts) for p in parts(t, cut))
+    for run in by_size(cut_up, lambda x: len(x[1]), PART):
+        units = split([p for _, p in run])
+        d = units.values.dictionary_encode()
+        found = memo.of(d.dictionary.to_pylist())
+        for k in range(width):
+            for (i, _), ids in zip(run, _spread(units, d.indices, [v[k] for v in found]), strict=True):
+                out[k][i].append(ids)
+    return [[x[0] if len(x) == 1 else np.concatenate(x) for x in of] for of in out]
+
+
+def _plain_words(tokenizer) -> bool:
+    """Whether the tokenizer lowers ASCII words and hands each to its model as one word, and marks behind it as another."""
+    def one(u: str, *want: str) -> bool:
+        made = tokenizer.normalizer.normalize_str(u) if tokenizer.normalizer else u
+        return [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(made)] == list(want)
+    letters = "".join(map(chr, range(65, 91)))
+    return all(one(a + b + m, (a + b).lower(), m) for a in letters for b in letters for m in ("!", ".,", ":;?!")) and one(letters, letters.lower())
+
+
+def word_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
+    """Ids of texts by a tokenizer that drops white space; no special tokens are added, and none may hold white space."""
     from tokenizers import Tokenizer
     tokenizer = Tokenizer.from_file(path)
 
-    def encode_all(texts: list[str]) -> list:
-        return [e for run in by_size(texts, len, PART) for e in tokenizer.encode_batch_fast(run, add_special_tokens=False)]
-
-    def find(units: list[str]) -> list[bytes]:
-        words = [u for u in units if len(u) <= LONGEST and _LETTERS.fullmatch(u)]
-        others = [u for u in units if len(u) > LONGEST or not _LETTERS.fullmatch(u)]
-        got = dict(zip(others, as_bytes([e.ids for e in encode_all(others)]), strict=True))
-        for at in range(0, len(words), 1024):  # many words in one text, told apart by their numbers
-            run = words[at:at + 1024]
-            e = tokenizer.encode(" ".join(run), add_special_tokens=False)
-            size = np.bincount(np.array(e.word_ids, np.int64), minlength=len(run))
-            if len(size) == len(run) and size.all():
-                ids, ends = np.array(e.ids, "<u4").tobytes(), (4 * np.cumsum(size)).tolist()
-                got.update((u, ids[s:t]) for u, s, t in zip(run, [0, *ends], ends, strict=False))
-            else:
-                got.update(zip(run, as_bytes([e.ids for e in encode_all(run)]), strict=True))
-        return [got[u] for u in units]
+    def encode(texts: list[str]) -> list[bytes]:
+        return as_bytes([e.ids for run in by_size(texts, len, PART) for e in tokenizer.encode_batch_fast(run, add_special_tokens=False)])
 
-    memo = nested(find, b"".join)
+    def spell(words: list[str]) -> list[bytes]:
+        return as_bytes([[t.id for t in tokenizer.model.tokenize(w)] for w in words])
 
-    def encode(texts: list[str]) -> list[bytes]:
-        out: list[list[bytes]] = [[] for _ in texts]
-        for places, units in in_parts(texts, WHITE, lambda p: [u.decode() for u in p.encode().split()]):
-            for i, ids in zip(places, memo.of(units), strict=True):
-                out[i].append(b"".join(ids))
-        return [b"".join(x) for x in out]
-    return encode
+    inner, model = Memo(spell), _plain_words(tokenizer)
+
+    def find(units: list[str]) -> list[tuple[bytes]]:
+        words, others = {}, []
+        for u in units:
+            m = PLAIN.fullmatch(u) if model and len(u) <= LONGEST else None
+            if m:
+                words[u] = (m[1].lower(), m[2])
+            else:
+                others.append(u)
+        got = dict(zip(others, encode(others), strict=True))
+        names, marks = (list({w[k] for w in words.values()}) for k in (0, 1))
+        ids, mark = dict(zip(names, inner.of(names), strict=True)), dict(zip(marks, encode(marks), strict=True))
+        got.update((u, ids[w] + mark[m]) for u, (w, m) in words.items())
+        return [(got[u],) for u in units]
+
+    memo = Memo(find)
+    return lambda texts: ids_of(texts, WHITE, at_white, memo, 1)[0]
 
 
 @contextmanager
