@@ -270,46 +270,43 @@ def record_runs(df: DataFrame, latency_ms="latency_ms", *, group=(), **cols) ->
 PERCENTILES = {"p50": 0.5, "p95": 0.95}
 
 
-def _exact_ranks(base: DataFrame, totals: DataFrame, keys: list[str], bins: int, rows: int) -> DataFrame:
+def _exact_ranks(base: DataFrame, totals: DataFrame, keys: list[str], rows: int) -> DataFrame:
     """(keys, p50, p95): the values at 0-based rank floor(n p), exactly.
 
-    Each round counts the values between a group's bounds in ``bins`` equal
-    parts (one map-side-combined aggregate of a bounded number of rows per
-    group) and narrows the bounds to the part that holds the rank, until no
-    part has more than ``rows`` different values. Only those are put in order.
+    ``totals`` has bounds of each percentile from a mergeable sketch. One pass counts
+    what lies below them and, value by value, what lies between; only the latter,
+    a share of the rows that the sketch's accuracy sets, is put in order. Groups of
+    ``rows`` runs or fewer need no bounds.
     """
-    at = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p")) for n, p in PERCENTILES.items()]))
-    state = totals.filter("runs > 0").select(*keys, "runs", "_lo", "_hi", at.alias("t")).select(
-        *keys, "t.name", F.least(F.floor(F.col("runs") * F.col("t.p")), F.col("runs") - 1).alias("rank"), "_lo", "_hi")
+    few = F.col("runs") <= rows
+    at = F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.lit(p).alias("p"),
+                                      F.when(few, F.col("_lo")).otherwise(F.col("_q")[2 * i]).alias("lo"),
+                                      F.when(few, F.col("_hi")).otherwise(F.col("_q")[2 * i + 1]).alias("hi"))
+                             for i, (n, p) in enumerate(PERCENTILES.items())]))
+    state = cut(totals.filter("runs > 0").select(*keys, "runs", at.alias("t")).select(
+        *keys, "t.name", F.least(F.floor(F.col("runs") * F.col("t.p")), F.col("runs") - 1).alias("rank"), "t.lo", "t.hi"))
     v = F.col("latency_ms")
-    part = F.least(F.floor(F.try_divide((v - F.col("_lo")) * bins, F.col("_hi") - F.col("_lo"))), F.lit(bins - 1)).cast("int")
-    while True:
-        state = cut(state)
-        inside = base.join(state, keys).filter(v.between(F.col("_lo"), F.col("_hi")))
-        widest = inside.groupBy(*keys, "name").agg(F.approx_count_distinct(v).alias("d")).agg(F.max("d")).first()[0]
-        if widest is None or widest <= rows:
-            break
-        counts = inside.groupBy(*keys, "name", "rank", F.coalesce(part, F.lit(0)).alias("part")).agg(
-            F.count(F.lit(1)).alias("n"), F.min(v).alias("_lo"), F.max(v).alias("_hi"))
-        ahead = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("part"))
-        state = counts.withColumn("_end", ahead).filter(
-            (F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("n"))).select(
-            *keys, "name", (F.col("rank") - F.col("_end") + F.col("n")).alias("rank"), "_lo", "_hi")
-    hist = inside.groupBy(*keys, "name", "rank", v.alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    below = F.when(v < F.col("lo"), F.lit(float("-inf"))).otherwise(v)
+    hist = base.join(state, keys).filter(v <= F.col("hi")).groupBy(*keys, "name", "rank", below.alias("v")).agg(F.count(F.lit(1)).alias("n"))
     ahead = F.sum("n").over(Window.partitionBy(*keys, "name").orderBy("v"))
     found = hist.withColumn("_end", ahead).filter((F.col("rank") < F.col("_end")) & (F.col("rank") >= F.col("_end") - F.col("n")))
     return found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == n, F.col("v"))).alias(n) for n in PERCENTILES])
 
 
-def ops_metrics(runs: DataFrame, group=(), bins: int = 1000, rows: int = 10_000) -> DataFrame:
-    """Exact 0-based rank percentiles (p50, p95), means and rates per group.
+def ops_metrics(runs: DataFrame, group=(), accuracy: int = 10_000, rows: int = 10_000) -> DataFrame:
+    """Exact 0-based rank percentiles (p50, p95), means and rates per group, in two scans.
 
-    No group is put in order by one task (``_exact_ranks``). Without a group
-    there is one row in any case, of zeros if there are no runs; runs without a
-    latency count in rates only.
+    A quantile sketch, whose ranks are off by one in ``accuracy`` at most, bounds
+    each percentile (``_exact_ranks``), so no group is put in order by one task.
+    Without a group there is one row in any case, of zeros if there are no runs;
+    runs without a latency, or with one that is not a finite number, count in rates only.
     """
-    keys = list(group)
-    aggs = [F.count("latency_ms").alias("runs"), F.count(F.lit(1)).alias("_rows"), F.avg("latency_ms").alias("_mean"),
+    keys, margin = list(group), 5 / accuracy  # the sketch's own error, twice, and ranks rounded on either side
+    rows = max(rows, accuracy)
+    v = F.col("latency_ms").cast("double")
+    runs = runs.withColumn("latency_ms", F.when((v > float("-inf")) & (v < float("inf")), v))
+    bounds = [min(max(p + m, 0.0), 1.0) for p in PERCENTILES.values() for m in (-margin, margin)]
+    aggs = [F.percentile_approx("latency_ms", bounds, accuracy).alias("_q"), F.count("latency_ms").alias("runs"), F.count(F.lit(1)).alias("_rows"), F.avg("latency_ms").alias("_mean"),
             F.min("latency_ms").alias("_lo"), F.max("latency_ms").alias("_hi"),
             F.avg(F.col("input_tokens") + F.col("output_tokens")).alias("_cost"),
             F.avg((F.col("retry_count") > 0).cast("int")).alias("_retry"),
@@ -320,7 +317,7 @@ def ops_metrics(runs: DataFrame, group=(), bins: int = 1000, rows: int = 10_000)
         totals = runs.agg(*aggs).withColumn("_all", F.lit(1))
     else:
         totals = runs.groupBy(*keys).agg(*aggs)
-    out = totals.join(_exact_ranks(runs, totals, keys, bins, rows), keys, "left")
+    out = totals.join(_exact_ranks(runs, totals, keys, rows), keys, "left")
 
     def number(c: str, digits: int) -> Column:
         return exact_round(F.coalesce(F.col(c), F.lit(0.0)), digits)

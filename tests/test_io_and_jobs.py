@@ -193,7 +193,7 @@ def test_ops_of_no_runs_and_of_many(spark):
     runs = spark.range(5000).select(((F.col("id") * 7919) % 5000 / 3.0).alias("latency_ms"), F.lit(1).alias("input_tokens"), F.lit(1).alias("output_tokens"),
                                     F.lit(0).alias("retry_count"), F.lit(0).alias("refinement_count"), F.lit(True).alias("first_pass_success"))
     want = sorted(r.latency_ms for r in runs.collect())
-    got = evaluate.ops_metrics(runs, bins=7, rows=10).first()
+    got = evaluate.ops_metrics(runs, accuracy=50, rows=10).first()
     assert got.latency_p50_ms == round(want[2500], 2) and got.latency_p95_ms == round(want[4750], 2)
 
 
@@ -287,3 +287,22 @@ def test_table_sizes(spark, tmp_path):
     spark.range(100).write.parquet(str(tmp_path / "a"))
     row = terms.table_counts(sizes=True, a=spark.read.parquet(str(tmp_path / "a"))).first()
     assert (row.table, row.rows) == ("a", 100) and row.bytes > 100
+
+
+def test_ops_metrics_ranks_and_odd_latencies(spark):
+    """Ranks are exact for any accuracy, with ties; NaN and infinite latencies count as none."""
+    import math
+    import random
+
+    rng = random.Random(11)
+    for n, accuracy, ties in ((30_001, 10_000, False), (30_001, 100, False), (5000, 20, True), (12_000, 1000, True)):
+        vals = [float(rng.randrange(40)) if ties else rng.random() * 1e6 for _ in range(n)]
+        odd = [float("nan"), float("inf"), float("-inf"), None]
+        df = spark.createDataFrame([(v, 1) for v in vals + odd], "v double, g int")
+        got = evaluate.ops_metrics(evaluate.record_runs(df, "v", group=("g",)), ("g",), accuracy=accuracy, rows=1).first()
+        vals.sort()
+        assert got.runs == n + 4
+        assert math.isclose(got.latency_p50_ms, vals[min(int(n * .5), n - 1)], abs_tol=.005 + 1e-9)
+        assert math.isclose(got.latency_p95_ms, vals[min(int(n * .95), n - 1)], abs_tol=.005 + 1e-9)
+    none = spark.createDataFrame([(float("nan"),)], "v double")
+    assert tuple(evaluate.ops_metrics(evaluate.record_runs(none, "v")).first())[:4] == (1, 0.0, 0.0, 0.0)
