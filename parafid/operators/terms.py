@@ -298,19 +298,53 @@ def ngrams(words: Column, max_n) -> Column:
         lambda n: F.array_join(F.slice(words, i + 1, n), " ")))))
 
 
+#: Most bits of a table of phrases; more phrases than half of them are joined without it.
+MOST_BITS = 1 << 22
+
+
+def phrase_bits(dictionary: DataFrame, most: int = MOST_BITS):
+    """Column -> Column: whether a phrase can be one of ``dictionary`` (stored); None if there are too many.
+
+    A bit table of 16 bits a phrase, built by aggregation: the driver gets its words only, ``most`` / 64 numbers at
+    most. It says yes to each phrase of the dictionary, and to about one in 16 of all others.
+    """
+    n = dictionary.count()
+    if n > most // 2:
+        return None
+    bits = min(most, max(1 << 12, 1 << (16 * n).bit_length()))
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits))
+    marked = dictionary.select(place(F.col("phrase")).alias("at")).groupBy(F.shiftrightunsigned("at", 6).alias("word")).agg(
+        F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("marks"))
+    words = [0] * (bits // 64)
+    for r in marked.collect():
+        words[r.word] = r.marks
+    table = F.split(F.lit(",".join(map(str, words))), ",").cast("array<bigint>")  # folded to one literal
+    return lambda c: F.getbit(F.get(table, F.shiftrightunsigned(place(c), 6).cast("int")), place(c).bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
 def phrase_hits(df: DataFrame, words: Column, dictionary: DataFrame, max_n: int, keys=("doc_id",)) -> DataFrame:
     """(keys, ``_hits``): phrases of ``dictionary(phrase, value)`` in each row's words, left to right, longest first.
 
     Hits are (pos, neg, n, phrase, value) in text order and do not overlap; rows
-    without any are absent. Only keys, places and phrases travel, never the
-    text. The dictionary is stored, so both sides of the join are plain
+    without any are absent. A phrase leaves its row only if a bit table of the
+    dictionary has it (``phrase_bits``), and only keys, places and phrases travel,
+    never the text; longer ones are made only behind a word that begins some phrase. The dictionary is stored, so both sides of the join are plain
     exchanges and a phrase that a large part of the corpus holds is split over
     tasks. What is gathered per row is bounded by the row's own text.
     """
-    places = F.flatten(F.transform(words, lambda w, i: F.transform(
-        F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(words) - i)), lambda n: F.struct(
-            (i + 1).alias("pos"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase")))))
-    found = df.select(*keys, F.inline(once(places))).join(cut(dictionary), "phrase")
+    dictionary = cut(dictionary)
+    known = phrase_bits(dictionary)
+    begins = phrase_bits(dictionary.select(F.element_at(F.split("phrase", " "), 1).alias("phrase")).distinct())
+    any_ = lambda c: F.lit(True)
+    none = F.expr("cast(array() as array<struct<pos:int,n:int,phrase:string>>)")
+
+    def at(w: Column, i: Column) -> Column:
+        here = F.transform(F.sequence(F.lit(1), F.least(F.lit(max_n), F.size(words) - i)), lambda n: F.struct(
+            (i + 1).alias("pos"), n.alias("n"), F.array_join(F.slice(words, i + 1, n), " ").alias("phrase")))
+        return F.when((begins or any_)(w), F.filter(here, lambda p: known(p["phrase"])) if known else here).otherwise(none)
+
+    places = F.flatten(F.transform(words, at))
+    found = df.select(*keys, F.inline(once(places))).join(dictionary, "phrase")
     hits = found.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(
         "pos", (-F.col("n")).alias("neg"), "n", "phrase", "value"))).alias("_hits"))
     none = F.slice("_hits", 1, 0)
