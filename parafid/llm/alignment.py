@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, by_size
+from .common import Store, by_size, small_batches
 from .registry import query, table
 from .tokens import PART, SPACE, Memo, as_bytes, at_spaces, ids_of, no_cycles, once_a_worker, row_keys
 
@@ -196,6 +196,7 @@ def align(docs: DataFrame, byte_path: str, piece_path: str, *, tokens: bool = Tr
     zero, arrays empty and the digest is ''. Ids may be null or repeat, and rows may repeat. No rows give no rows.
     Only the two named columns are read. A text is worked on in parts; a run without a space goes to the tokenizers whole.
     """
+    small_batches(docs.sparkSession)
     d = docs.select(F.col(id_col), F.col(text_col).cast("string"))
     kind = (f"id {d.schema[0].dataType.simpleString()}, key long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, "
             "links array<struct<a:int,b:int,n:int>>") + ", a_ids array<int>, b_ids array<int>, a_sizes array<int>, b_sizes array<int>" * tokens

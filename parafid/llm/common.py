@@ -56,6 +56,13 @@ class Store:
             path.getFileSystem(conf).delete(path, True)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Rows of whole texts go to Python workers in batches of ``rows`` at most, which bounds what a worker holds."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= rows:
+        spark.conf.set(name, rows)
+
+
 def hash_key(*cols: str) -> Column:
     return F.xxhash64(*cols)
 

@@ -199,7 +199,7 @@ def spans_of(w: Words, label: np.ndarray, k: int, names: list[str]) -> list[dict
 
 def _predict(model: Model, penalty: float, with_spans: bool, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        limit, k = max(1 << 16, (1 << 20) // max(len(model.names), 1)), len(model.names)  # characters at once
+        limit, k = max(1 << 16, (1 << 21) // max(len(model.names), 1)), len(model.names)  # characters at once
         for b in batches:
             texts = [t or "" for t in b.column(b.num_columns - 1).to_pylist()]
             pred, score, spans = ["und"] * len(texts), [0.0] * len(texts), [[] for _ in texts]

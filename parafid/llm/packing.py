@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Store, by_size
+from .common import Store, by_size, small_batches
 from .registry import query, table
 from .tokens import PART, no_cycles, once_a_worker, row_keys, word_ids
 
@@ -150,6 +150,7 @@ def pack(docs: DataFrame, tokenizer: str, *, end_id: int = 1, length: int = 2048
     """
     if length < 1 or length > 1 << 20:
         raise ValueError("a sequence has 1 to 2**20 tokens")
+    small_batches(docs.sparkSession)
     store = Store(docs.sparkSession, "packing")
     kind = docs.select(id_col).schema[0].dataType.simpleString()
     d = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string"))

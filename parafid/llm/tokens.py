@@ -25,7 +25,7 @@ from .common import by_size
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark spreads the work over cores
 
 #: Units kept by a worker (twice as many at most), the longest one that is kept, and characters worked on at a time.
-KEPT, LONGEST, PART = 1 << 17, 64, 1 << 21
+KEPT, LONGEST, PART = 1 << 18, 64, 1 << 21
 #: White space, of which word tokenizers keep nothing.
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 #: A single space between characters that are not white: byte-level tokenizers start a token there.
