@@ -306,3 +306,21 @@ def test_ops_metrics_ranks_and_odd_latencies(spark):
         assert math.isclose(got.latency_p95_ms, vals[min(int(n * .95), n - 1)], abs_tol=.005 + 1e-9)
     none = spark.createDataFrame([(float("nan"),)], "v double")
     assert tuple(evaluate.ops_metrics(evaluate.record_runs(none, "v")).first())[:4] == (1, 0.0, 0.0, 0.0)
+
+
+def test_phrases_stay_in_their_row(spark, monkeypatch):
+    """A bit table lets all phrases of the dictionary through and few others, and changes no result."""
+    from parafid.operators import terms
+
+    words = [f"w{i}" for i in range(3000)]
+    d = spark.createDataFrame([(" ".join(words[i:i + 1 + i % 3]), f"v{i}") for i in range(0, 900, 9)], "phrase string, value string")
+    known = terms.phrase_bits(d)
+    assert d.filter(known(F.col("phrase"))).count() == d.count()
+    others = spark.createDataFrame([(f"x{i}",) for i in range(2000)], "phrase string")
+    assert others.filter(known(F.col("phrase"))).count() < 200
+    texts = spark.createDataFrame([(k, words[k * 50:k * 50 + 120]) for k in range(20)], "doc_id long, w array<string>")
+    got = sorted(map(str, terms.phrase_hits(texts, F.col("w"), d, 3).collect()))
+    monkeypatch.setattr(terms, "MOST_BITS", 0)
+    monkeypatch.setattr(terms.phrase_bits, "__defaults__", (0,))
+    assert terms.phrase_bits(d) is None
+    assert got == sorted(map(str, terms.phrase_hits(texts, F.col("w"), d, 3).collect())) and got
