@@ -238,13 +238,13 @@ def plain_decontam(docs, items):
         for k, x in items:
             v = ws(x)
             n = min(10, len(v))
-            if not n or k is None:
+            if not n:
                 continue
             grams = {tuple(v[j:j + n]) for j in range(len(v) - n + 1)}
             for s in range(len(w) - n + 1):
                 if tuple(w[s:s + n]) in grams:
                     hit |= set(range(s, s + n))
-                    found.add(str(k))
+                    found |= {str(k)} - {"None"}  # an item without an id hits, but is not named
         out.append((i, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return sorted(out, key=str)
 
@@ -273,7 +273,7 @@ def test_decontam_against_plain(spark):
     assert got == plain_decontam(rows, items)
     long = [x for x in items if len((x[1] or "").split()) >= 10]
     got = sorted(map(tuple, decontam.decontaminate(d, b.filter("size(split(text, ' ')) >= 10")).collect()), key=str)
-    assert got == plain_decontam(rows, [x for x in long if x[0] is not None])
+    assert got == plain_decontam(rows, long)
     assert not decontam.decontaminate(d, b.limit(0)).filter("contaminated").count()
     assert decontam.decontaminate(d.limit(0), b).count() == 0
 
