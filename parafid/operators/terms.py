@@ -18,6 +18,7 @@ from ..functions import extract, rules
 from ..functions.rx import find_all, has, let, literal_words, once
 from ..functions.text import norm_term, words_ws
 from ..plans.checkpoints import cut
+from .postings import TermIndex
 
 # ---------------------------------------------------------------------- build
 
@@ -119,10 +120,13 @@ def _fold_table() -> tuple[str, str]:
 _FOLD_FROM, _FOLD_TO = _fold_table()
 
 
-def lookup_terms(terms: DataFrame, synonyms: DataFrame, limit: int = 10,
+def lookup_terms(terms: DataFrame, synonyms: DataFrame | TermIndex, limit: int = 10,
                  min_score: float = 0.0) -> DataFrame:
     """Ranked synonym rows for every distinct non-blank ``term``.
 
+    With a stored index (``postings.write_index``) in place of the synonyms, nothing is tokenised or counted again and
+    only the index's blocks that can hold a result are read.
+
     score = 10 if the lower-cased strings are equal + 5 if the term's tokens
     occur as a phrase + BM25 of the term's tokens.  Rows above ``min_score``
     are ranked (score desc, preferred first, ord) and cut at ``limit``.
@@ -135,6 +139,8 @@ def lookup_terms(terms: DataFrame, synonyms: DataFrame, limit: int = 10,
     would not be among the first ``limit``. This is exact, not a cap, and keeps
     a token that very many synonyms hold out of the join.
     """
+    if isinstance(synonyms, TermIndex):
+        return synonyms.lookup(terms, limit, min_score)
     q, s, qw, avgdl = _prepared(terms, synonyms)
     first = cut(_scored(_first_tier(q, s, qw), s, qw, avgdl).filter(F.col("score") > min_score))
     more = _second_tier(qw, s, _bars(first, limit), min_score).join(first.select("term", "cui", "term_lower"), ["term", "cui", "term_lower"], "left_anti")
@@ -142,10 +148,15 @@ def lookup_terms(terms: DataFrame, synonyms: DataFrame, limit: int = 10,
     return _ranked(scored, limit).select("term", "rank", "score", "cui", "syn_term", "is_preferred", "semantic_types")
 
 
+def asked(terms: DataFrame) -> DataFrame:
+    """Distinct non-blank terms, lower-cased and tokenised."""
+    q = terms.select("term").distinct().filter(F.trim(F.regexp_replace("term", r"(?U)\s+", " ")) != "")
+    return q.withColumn("q_lower", F.trim(F.lower("term"))).withColumn("q_tokens", fold_analyzer(F.col("term")))
+
+
 def _prepared(terms: DataFrame, synonyms: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame, Column]:
     """Tokenised terms and synonyms (stored), the terms with their tokens' weights, mean synonym length."""
-    q = terms.select("term").distinct().filter(F.trim(F.regexp_replace("term", r"(?U)\s+", " ")) != "")
-    q = cut(q.withColumn("q_lower", F.trim(F.lower("term"))).withColumn("q_tokens", fold_analyzer(F.col("term"))))
+    q = cut(asked(terms))
     s = cut(synonyms.withColumn("s_tokens", fold_analyzer(F.col("term"))).withColumnRenamed("term", "syn_term"))
     n, avgdl = s.agg(F.count(F.lit(1)), F.avg(F.size("s_tokens"))).first()
     n, avgdl = F.lit(n), F.lit(float(avgdl or 1.0))
@@ -206,15 +217,24 @@ def _second_tier(qw: DataFrame, s: DataFrame, bar: DataFrame, min_score: float)
 
 def _scored(cand: DataFrame, s: DataFrame, qw: DataFrame, avgdl: Column) -> DataFrame:
     full = cand.join(s, ["cui", "term_lower"]).join(qw, "term")
+    return full.withColumn("score", _score(avgdl)).select("term", "cui", "term_lower", "score", "syn_term", "is_preferred", "ord", "semantic_types")
+
+
+def _score(avgdl: Column) -> Column:
+    """Score of a row that holds a term (``q_lower, q_tokens, weights``) and a synonym (``term_lower, s_tokens``)."""
     dl = F.size("s_tokens")
-    bm25 = F.aggregate(F.coalesce("weights", F.expr("cast(array() as array<struct<best:double,idf:double,token:string>>)")),
+    weights = F.transform("weights", lambda w: F.struct(w["idf"].alias("idf"), w["token"].alias("token")))
+    bm25 = F.aggregate(F.coalesce(weights, F.expr("cast(array() as array<struct<idf:double,token:string>>)")),
                        F.lit(0.0), lambda a, w: a + let(
         F.size(F.filter("s_tokens", lambda t: t == w["token"])), lambda tf: w["idf"] * _saturation(tf, dl, avgdl)))
+    return (F.when(F.col("q_lower") == F.col("term_lower"), BOOST_EXACT).otherwise(0.0)
+            + F.when(_phrase(), BOOST_PHRASE).otherwise(0.0) + bm25)
+
+
+def _phrase() -> Column:
+    """Whether the term's tokens stand in the synonym one after the other."""
     pad = lambda c: F.concat(F.lit(" "), F.array_join(c, " "), F.lit(" "))
-    phrase = (F.size("q_tokens") > 0) & pad(F.col("s_tokens")).contains(pad(F.col("q_tokens")))
-    score = (F.when(F.col("q_lower") == F.col("term_lower"), BOOST_EXACT).otherwise(0.0)
-             + F.when(phrase, BOOST_PHRASE).otherwise(0.0) + bm25)
-    return full.withColumn("score", score).select("term", "cui", "term_lower", "score", "syn_term", "is_preferred", "ord", "semantic_types")
+    return (F.size("q_tokens") > 0) & pad(F.col("s_tokens")).contains(pad(F.col("q_tokens")))
 
 
 def _ranked(scored: DataFrame, limit: int) -> DataFrame:

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import rules
-from ..operators import terms, validate
+from ..operators import postings, terms, validate
 from . import sqlkit as K
-from .checkpoints import cut
+from .checkpoints import checkpoint_dir, cut
 from .fixtures import (CONSO_SQL, DEF_SQL, REPORTS_SQL, STY_SQL, SYN_SQL, mrconso, mrdef, mrsty, reports, spread, table)
 from .q_evaluate import PART_PAIRS_SQL, gazetteer_sql, part_pairs, part_synonyms
 from .q_extract import GROUNDING_SQL, RISK
@@ -108,6 +110,15 @@ def q_lookup5(spark, d):
     return r.select("term", "rank", "cui", "syn_term", exact_round(F.col("score"), 5).alias("score"))
 
 
+# the same lookup from an index that the query stores first
+@query("lookup_terms_index", f"with {lookup_sql(0, 5)} select term, rank, cui, syn_term, round(score, 5) score from lk")
+def q_lookup_index(spark, d):
+    from ..functions.sets import exact_round
+    index = postings.write_index(part_synonyms(spark, d), f"{checkpoint_dir(spark)}/index-{uuid.uuid4().hex}", 8)
+    r = terms.lookup_terms(query_terms(spark, d), index, 5)
+    return r.select("term", "rank", "cui", "syn_term", exact_round(F.col("score"), 5).alias("score"))
+
+
 _CONC = CONCEPTS.replace(CONSO_SQL + ", ", "")
 
 

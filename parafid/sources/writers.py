@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,8 +41,12 @@ def truncate_texts(df: DataFrame, cols=("original_text", "simplified_text", "ref
 
 
 def write_terminology(concepts: DataFrame, synonyms: DataFrame, path: str, buckets: int = 64,
-                      table_prefix: str | None = None, force: bool = True) -> DataFrame:
-    """Write both tables and return their written row counts.
+                      table_prefix: str | None = None, force: bool = True, index: bool = False) -> DataFrame:
+    """Write both tables and return for each its name, written ``rows`` and ``failed`` rows.
+
+    A concept without a ``cui``, and a synonym without one or without a term, fails and is not written. With ``index``
+    the synonyms' inverted index is written below ``path/index`` for ``lookup_terms``: read it as
+    ``TermIndex(spark, path + "/index")``.
 
     With ``table_prefix`` the synonyms become a table bucketed by ``term_lower``
     and the concepts one bucketed by ``cui``, so lookups join without shuffling
@@ -48,6 +54,12 @@ def write_terminology(concepts: DataFrame, synonyms: DataFrame, path: str, bucke
     """
     spark = concepts.sparkSession
     mode = "overwrite" if force else "ignore"
+    from ..operators.postings import write_index
+    from ..operators.terms import table_counts
+    lacks = lambda df: reduce(lambda a, c: a | F.col(c).isNull(), [c for c in ("cui", "term", "term_lower") if c in df.columns], F.lit(False))
+    failed = concepts.filter(lacks(concepts)).agg(F.lit("concepts").alias("table"), F.count(F.lit(1)).alias("failed")).unionByName(
+        synonyms.filter(lacks(synonyms)).agg(F.lit("synonyms").alias("table"), F.count(F.lit(1)).alias("failed")))
+    concepts, synonyms = concepts.filter(~lacks(concepts)), synonyms.filter(~lacks(synonyms))
     if table_prefix:
         for df, name, key in ((concepts, "concepts", "cui"), (synonyms, "synonyms", "term_lower")):
             # a bucket is written by one task, so there is one file for each
@@ -58,8 +70,9 @@ def write_terminology(concepts: DataFrame, synonyms: DataFrame, path: str, bucke
         concepts.write.mode(mode).parquet(f"{path}/concepts")
         synonyms.write.mode(mode).parquet(f"{path}/synonyms")
         read = lambda n: spark.read.parquet(f"{path}/{n}")
-    from ..operators.terms import table_counts
-    return table_counts(concepts=read("concepts"), synonyms=read("synonyms"))
+    if index:
+        write_index(read("synonyms"), f"{path}/index", buckets, force)
+    return table_counts(concepts=read("concepts"), synonyms=read("synonyms")).join(failed, "table")
 
 
 # ----------------------------------------------------------------- history
