@@ -30,8 +30,15 @@ KEPT, LONGEST, PART = 1 << 18, 64, 1 << 21
 WHITE = re.compile(r"[\x20\x09-\x0D]+")
 #: A single space between characters that are not white: byte-level tokenizers start a token there.
 SPACE, DOUBLE = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s")
-#: A unit of an ASCII word and marks.
-PLAIN = re.compile(r"([A-Za-z]+)([.,;:!?]*)")
+#: Letters of Latin words: ASCII and the precomposed ones up to U+024F, but for one that lowers to two characters.
+LETTERS = "".join(c for c in map(chr, range(65, 0x250)) if c.isalpha() and c not in "\xaa\xba\u0130")
+#: ASCII marks but the apostrophe, which contractions begin with.
+MARKS = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum() and c != "'")
+#: A unit of a Latin word and marks.
+PLAIN = re.compile(f"([{LETTERS}]+)([{re.escape(MARKS)}]*)")
+#: What byte-level tokenizers write for each byte: itself if it is printable Latin-1, else the next character from U+0100 on.
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_LEVEL = {b: b for b in _SHOWN} | {b: 256 + i for i, b in enumerate(sorted(set(range(256)) - set(_SHOWN)))}
 
 
 def parts(text: str, cut: re.Pattern, limit: int = PART) -> Iterator[str]:
@@ -107,13 +114,20 @@ def ids_of(texts: list[str], cut: re.Pattern, split: Callable[[list[str]], pa.Li
     return [[x[0] if len(x) == 1 else np.concatenate(x) for x in of] for of in out]
 
 
+def byte_level(word: str) -> str:
+    """The word as a byte-level tokenizer hands it to its model."""
+    return word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_LEVEL)
+
+
 def _plain_words(tokenizer) -> bool:
-    """Whether the tokenizer lowers ASCII words and hands each to its model as one word, and marks behind it as another."""
+    """Whether the tokenizer lowers Latin words and hands each to its model as one word of bytes, and marks behind it as another."""
     def one(u: str, *want: str) -> bool:
         made = tokenizer.normalizer.normalize_str(u) if tokenizer.normalizer else u
         return [w for w, _ in tokenizer.pre_tokenizer.pre_tokenize_str(made)] == list(want)
-    letters = "".join(map(chr, range(65, 91)))
-    return all(one(a + b + m, (a + b).lower(), m) for a in letters for b in letters for m in ("!", ".,", ":;?!")) and one(letters, letters.lower())
+    ends = LETTERS[:26]
+    return (all(one(a + b + m, (a + b).lower(), m) for a in ends for b in ends for m in ("!", ".,", ":;?!"))
+            and all(one(x + y + m, byte_level((x + y).lower()), m) for x in LETTERS for y, m in (("a", "!"), ("\xe9", "#.")))
+            and all(one("a" + m + n, "a", m + n) for m in MARKS for n in MARKS) and one(LETTERS + MARKS, byte_level(LETTERS.lower()), MARKS))
 
 
 def word_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
@@ -125,7 +139,7 @@ def word_ids(path: str) -> Callable[[list[str]], list[np.ndarray]]:
         return as_bytes([e.ids for run in by_size(texts, len, PART) for e in tokenizer.encode_batch_fast(run, add_special_tokens=False)])
 
     def spell(words: list[str]) -> list[bytes]:
-        return as_bytes([[t.id for t in tokenizer.model.tokenize(w)] for w in words])
+        return as_bytes([[t.id for t in tokenizer.model.tokenize(byte_level(w))] for w in words])
 
     inner, model = Memo(spell), _plain_words(tokenizer)
 
