@@ -1,19 +1,21 @@
 """License scans by conditional compression.
 
-Around license words, windows of about each template's length slide over the
-words, whatever the line breaks, and are compared with the template word by
-word: what the window lacks, adds or has otherwise. What is confirmed is
-compressed with zstd alone and with the template as a raw dictionary, and those
-that save most bytes get their words first. Last, whole blocks of lines with
-license words are compared with the templates that save enough of them, which
-finds notices with very many words between their own.
+Candidate blocks are windows of words about as long as a template, around the
+template's longest words; so many of these are looked for that no text with the
+asked share of the template lacks all of them. Each window is compressed with
+zstd alone and with the template as a raw dictionary, and ranked by the bytes
+saved against those that the template saves of itself. The winners are compared
+word by word, which confirms them: what they lack, add or have otherwise. Last,
+whole blocks of lines with such words go the same way, which finds notices with
+very many words between their own.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from bisect import bisect_right
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
@@ -58,7 +60,6 @@ TEMPLATES = {
                       "or (at your option) any later version.",
 }
 
-_CUE = re.compile(r"licen[sc]|copyright|all rights|permission|redistribut|warrant|spdx|free software|mozilla", re.I)
 _WORD = re.compile(r"[a-z0-9]+(?:[.'-][a-z0-9]+)*")
 _PLACED = re.compile(r"[A-Za-z0-9]+(?:[.'-][A-Za-z0-9]+)*")
 
@@ -75,6 +76,25 @@ class Matcher:
         self.words = {k: words(re.sub(r"<[^>]*>", " ", t)) for k, t in templates.items()}
         self.given = {k: zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(
             " ".join(w).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)) for k, w in self.words.items() if w}
+        self.own = {k: self.gain(self.words[k], k)[0] for k in self.given}
+        self._cues: dict[float, dict[str, list[tuple[str, int]]]] = {}
+
+    def cues(self, share: float) -> dict[str, list[tuple[str, int]]]:
+        """Word -> (template, place in it). What has ``share`` of a template's words in order lacks at most the
+        others, so one more of its words than those, the longest, are enough to find it."""
+        if share not in self._cues:
+            out = defaultdict(list)
+            for k in self.given:
+                t = self.words[k]
+                n = len(t) - max(math.ceil(share * len(t) - 1e-9), 1) + 1
+                for i in sorted(range(len(t)), key=lambda i: (-len(t[i]), t[i], i))[:n]:
+                    out[t[i]].append((k, i))
+            self._cues[share] = dict(out)
+        return self._cues[share]
+
+    def share_saved(self, block: list[str], name: str) -> float:
+        """Bytes that a template saves of a block, as a share of those that it saves of itself; 1 if that is nothing."""
+        return self.gain(block, name)[0] / self.own[name] if self.own[name] > 0 else 1.0
 
     def gain(self, block: list[str], name: str) -> tuple[int, float]:
         """Bytes and share of the block's compressed size that a template saves."""
@@ -84,11 +104,11 @@ class Matcher:
         return alone - given, 1 - given / alone
 
     def ranked(self, block: list[str], least: float) -> list[tuple[float, str]]:
-        """(share saved, template) of those that save ``least`` or more, best first."""
+        """(share saved, template) of those that save ``least`` or more of what they save of themselves, best first."""
         raw = " ".join(block).encode()
         alone = len(self.plain.compress(raw))
-        gains = ((1 - len(c.compress(raw)) / alone, k) for k, c in self.given.items())
-        return sorted((g for g in gains if g[0] >= least), key=lambda g: (-g[0], g[1]))
+        gains = ((alone - len(c.compress(raw)), k) for k, c in self.given.items())
+        return sorted(((g / alone, k) for g, k in gains if g >= least * self.own[k]), key=lambda g: (-g[0], g[1]))
 
     def differences(self, block: list[str], name: str) -> tuple[float, list[str]]:
         """Share of the template's words that the block has in order, and what differs between first and last of them."""
@@ -103,33 +123,37 @@ class Matcher:
         return same / len(t), diff
 
 
-def blocks(text: str, gap: int = 3) -> list[tuple[int, int]]:
-    """(start, end) of runs of lines with license words that are ``gap`` lines apart at most."""
-    if not _CUE.search(text):
-        return []
-    out, at, last = [], 0, None
-    for n, line in enumerate(text.split("\n")):
-        if _CUE.search(line):
-            if last is not None and n - last <= gap:
-                out[-1] = (out[-1][0], at + len(line))
-            else:
-                out.append((at, at + len(line)))
-            last = n
-        at += len(line) + 1
+def blocks(text: str, at: list[int], gap: int = 3) -> list[tuple[int, int]]:
+    """(start, end) of runs of lines that hold one of the places ``at`` and are ``gap`` lines apart at most."""
+    ends = [m.start() for m in re.finditer("\n", text)] + [len(text)]
+    out, last = [], None
+    for n in sorted({bisect_left(ends, a) for a in at}):
+        if last is not None and n - last <= gap:
+            out[-1] = (out[-1][0], ends[n])
+        else:
+            out.append((ends[n - 1] + 1 if n else 0, ends[n]))
+        last = n
     return out
 
 
-def regions(text: str, starts: list[int], reach: int) -> list[tuple[int, int]]:
-    """(first, end) of runs of words that are ``reach`` words away from a license word at most."""
-    out: list[tuple[int, int]] = []
-    for m in _CUE.finditer(text):
-        at = max(bisect_right(starts, m.start()) - 1, 0)
-        low, high = max(at - reach, 0), min(at + reach + 1, len(starts))
-        if out and low <= out[-1][1]:
-            out[-1] = (out[-1][0], max(high, out[-1][1]))
-        else:
-            out.append((low, high))
-    return out
+def windows(held: list[str], m: Matcher, share: float, extra: int) -> list[tuple[str, int, int]]:
+    """(template, first, end) of the candidates: each reaches ``extra`` words beyond the template on both sides of a cue."""
+    cues, cells = m.cues(share), set()
+    step = max(extra, 1)
+    for i, w in enumerate(held):
+        for name, place in cues.get(w, ()):
+            cells.add((name, max(i - place - extra, 0) // step))
+    return [(k, c * step, min((c + 1) * step + len(m.words[k]) + 2 * extra, len(held))) for k, c in sorted(cells)]
+
+
+def found_in(held: list[str], m: Matcher, least: float, share: float, extra: int) -> list[tuple[float, str, int, int]]:
+    """(share saved, template, first, last word) of occurrences in the windows that compression ranks at ``least`` or more."""
+    tried = ((m.share_saved(held[low:high], name), name, low, high) for name, low, high in windows(held, m, share, extra))
+    out: dict[tuple[str, int, int], float] = {}
+    for saved, name, low, high in sorted((t for t in tried if t[0] >= least), key=lambda t: (-t[0], *t[1:])):
+        for places in occurrences(held[low:high], m, name, share, extra):
+            out.setdefault((name, low + places[0], low + places[-1]), saved)
+    return [(saved, *place) for place, saved in out.items()]
 
 
 def occurrences(block: list[str], m: Matcher, name: str, share: float, extra: int) -> list[list[int]]:
@@ -168,18 +192,14 @@ def _places(t: list[str], block: list[str], at: int = 0) -> list[int]:
 def scan_text(text: str | None, m: Matcher, least: float, share: float, extra: int = 24) -> list[dict]:
     """Confirmed licenses of a text: at each place the best template, and all others with words of their own."""
     text = text or ""
-    if not _CUE.search(text):
+    cues, lowered = m.cues(share), text.lower()
+    if not any(c in lowered for c in cues):
         return []
     placed = [(x[0].lower(), x.start(), x.end()) for x in _PLACED.finditer(text)]
     all_words, starts = [x[0] for x in placed], [x[1] for x in placed]
-    out, used, found = [], [False] * len(placed), []
-    reach = max(map(len, m.words.values()), default=0) + extra
-    for low, high in regions(text, starts, reach):
-        block = all_words[low:high]
-        for name in m.given:
-            for places in occurrences(block, m, name, share, extra):
-                first, last = low + places[0], low + places[-1]
-                found.append((m.gain(all_words[first:last + 1], name), name, first, last))
+    out, used = [], [False] * len(placed)
+    found = [(m.gain(all_words[first:last + 1], name), name, first, last)
+             for _, name, first, last in found_in(all_words, m, least, share, extra)]
 
     def add(name: str, share_saved: float, start: int, end: int, same: float, diff: list[str]) -> None:
         out.append({"license": name, "start": start, "end": end, "gain": round(share_saved, 6), "found": round(same, 6),
@@ -194,7 +214,7 @@ def scan_text(text: str | None, m: Matcher, least: float, share: float, extra: i
             for i in places:
                 used[i] = True
             add(name, saved, starts[places[0]], placed[places[-1]][2], same, diff)
-    for start, end in blocks(text):
+    for start, end in blocks(text, [s for w, s in zip(all_words, starts, strict=True) if w in cues]):
         left = [w for (w, s, e), u in zip(placed, used, strict=True) if not u and start <= s and e <= end]
         for saved, name in m.ranked(left, least) if left else ():
             same, diff = m.differences(left, name)
@@ -232,12 +252,14 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, least: flo
          id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: its id and ``found``, the licenses confirmed in it with place, saving and differences.
 
-    A template is confirmed where a window of its length and 24 words more has
-    ``share`` of its words in order; each occurrence counts, and its place goes
-    from its first word to its last. Of whole blocks of lines, templates that
-    save ``least`` of the compressed size are compared, with any number of words
-    between; their place is the block. Words that a confirmed template explains
-    are not used again. A place is looked at only near a license word.
+    A window is a candidate if the template, as dictionary, saves ``least`` or
+    more of the bytes that it saves of itself. It is confirmed where its length
+    and 24 words more have ``share`` of its words in order; each occurrence
+    counts, and its place goes from its first word to its last. Whole blocks of
+    lines are candidates by the same bar, with any number of words between;
+    their place is the block. Words that a confirmed template explains are not
+    used again. Templates may have any words (``read_templates`` takes them from
+    a table); one without words matches nothing.
 
     Null and empty texts have none. Ids may be null or repeat; each row is
     scanned by itself. No rows give no rows. Other columns are not read.
@@ -247,6 +269,18 @@ def scan(docs: DataFrame, templates: dict[str, str] | None = None, *, least: flo
     return d.mapInArrow(_scan(templates or TEMPLATES, least, share), f"`{id_col}` {kind}, found {_FOUND}")
 
 
+def read_templates(templates: DataFrame, most: int = 5000, *, name_col: str = "license", text_col: str = "text") -> dict[str, str]:
+    """Templates by name from a table of ``most`` rows at most; more are an error, as every task holds them all.
+
+    Of rows that share a name the smallest text counts. Rows without name or text give none.
+    """
+    rows = templates.filter(F.col(name_col).isNotNull() & F.col(text_col).isNotNull()).groupBy(F.col(name_col).alias("k")).agg(
+        F.min(text_col).alias("t")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} templates")
+    return {r.k: r.t for r in rows}
+
+
 @query("op9_license_scan")
 def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan(table(spark, sf_dir, "documents"))

@@ -316,6 +316,27 @@ def test_secrets_without_digits_and_words_with_them(spark):
         assert not markov.find_secrets(f"see {x} there", learned)[1], x
 
 
+def test_secrets_base_of_all_documents(spark):
+    """Base spans equal the patterns of the contract, run over whole texts by plain ``re``."""
+    import re
+    patterns = (("assign", re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)),
+                ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+")))
+    made = ["token = 'abcde' token:abcdef", "API-KEY=abcdefg apikey=abcdefg api_key\"='abcdefg'", "AKIA" + "A" * 15 + " AKIA" + "B" * 16, "f" * 23 + "g" + "0" * 24,
+            "\u017fecret=abcdefgh to\u212aen=abcdefgh", "password password:password=secret123 passwd  :=  \"x"]
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()] + made
+    n = 0
+    for t in texts:
+        want = []
+        for at, (kind, p) in enumerate(patterns):
+            for x in p.finditer(t):
+                if (len(x[2]) >= 6) if kind == "assign" else len(x[0]) >= (20 if kind == "access" else 24):
+                    want.append((x.start(), at, kind, x.end()))
+        want = [(kind, s, e) for s, _, kind, e in sorted(want)]
+        assert markov.base_spans(t) == want
+        n += len(want)
+    assert n > 200
+
+
 def test_secrets_edges(edges, none):
     got = markov.scan(edges, with_text=True).collect()
     assert len(got) == len(EDGES) and all(r.spans == "" for r in got)
@@ -391,17 +412,57 @@ def test_licenses(edges, none, spark):
     assert all(r.found == [] for r in licenses.scan(edges).collect()) and licenses.scan(none).count() == 0
 
 
-def test_licenses_against_all_templates(spark, sf_dir):
-    """Ranking by compression loses nothing that comparing each block with each template finds."""
+def recall_of_windows(texts, m):
+    """(found, all) occurrences: by cues and compression, and the plain way, by every window of every text."""
+    found = n = 0
+    for text in texts:
+        w = licenses.words(text)
+        got = licenses.found_in(w, m, 0.2, 0.9, 24)
+        for k in m.words:
+            for places in licenses.occurrences(w, m, k, 0.9, 24):
+                n += 1
+                found += any(x[1] == k and x[2] <= places[-1] and places[0] <= x[3] for x in got)
+    return found, n
+
+
+def test_licenses_against_all_windows(spark, sf_dir):
+    """Cues and ranking by compression lose little of what comparing every window with each template finds."""
     m = licenses.Matcher(licenses.TEMPLATES)
-    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
-    got = {r.doc_id: {x.license for x in r.found} for r in licenses.scan(d).collect()}
-    n = 0
-    for r in d.collect():
-        want = {k for s, e in licenses.blocks(r.text) for k in m.words if m.differences(licenses.words(r.text[s:e]), k)[0] == 1.0}
-        assert want <= got[r.doc_id]
-        n += bool(want)
-    assert n > 20
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").collect()]
+    found, n = recall_of_windows([t for t in texts if len(t) < 20_000], m)
+    assert n > 20 and found >= 0.99 * n
+
+
+def test_licenses_with_changed_words():
+    """Notices with a tenth of the words gone and others put between are found, by templates of any words."""
+    import random
+    rng = random.Random(3)
+    vocabulary = [f"{a}{b}{c}" for a in "bdfgklmnprst" for b in "aeiou" for c in ("n", "lo", "ret", "king")]
+    prose = lambda n: " ".join(rng.choices(vocabulary, k=n))
+    templates = {**licenses.TEMPLATES, **{f"own-{i}": prose(rng.randint(6, 200)) for i in range(40)}}
+    m = licenses.Matcher(templates)
+    texts = []
+    for k, t in m.words.items():
+        for _ in range(4):
+            gone = set(rng.sample(range(len(t)), int(len(t) * 0.08)))
+            more = set(rng.sample(range(len(t)), min(len(t) // 6, 20)))
+            texts.append(prose(150) + " " + " ".join((rng.choice(vocabulary) + " " if i in more else "") + w for i, w in enumerate(t) if i not in gone)
+                         + " " + prose(150))
+    found, n = recall_of_windows(texts, m)
+    assert n >= len(texts) and found >= 0.97 * n, (found, n)
+    whole = [sum(x["license"] == k for x in licenses.scan_text(prose(80) + ". " + t + ". " + prose(80), m, 0.2, 0.9)) for k, t in templates.items()]
+    assert sum(whole) >= len(templates) - 1
+
+
+def test_license_templates_from_a_table(spark):
+    rows = [("a", "Zu jedem Zweck frei nutzbar."), ("a", "Zzz"), ("b", None), (None, "x"), ("c", "")]
+    t = spark.createDataFrame(rows, "license string, text string")
+    assert licenses.read_templates(t) == {"a": "Zu jedem Zweck frei nutzbar.", "c": ""}
+    with pytest.raises(ValueError):
+        licenses.read_templates(t, most=1)
+    d = spark.createDataFrame([(1, "vorn\nzu jedem Zweck FREI nutzbar hinten"), (2, "zu jedem Zweck")], "doc_id long, text string")
+    got = {r.doc_id: [x.license for x in r.found] for r in licenses.scan(d, licenses.read_templates(t)).collect()}
+    assert got == {1: ["a"], 2: []}
 
 
 @pytest.mark.parametrize("width", [40, 60, 72, 80])
@@ -449,6 +510,31 @@ def test_pii_base():
     assert pii.luhn("4111111111111111") and not pii.luhn("4111111111111112")
 
 
+def test_pii_base_of_all_documents(spark):
+    """Base spans equal the patterns of the contract, run over whole texts by plain ``re``."""
+    import random
+    import re
+    p = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+         "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+
+    def good(kind, x):
+        digits = re.sub("[^0-9]", "", x)
+        if kind == "card":
+            doubled = [int(c) * (1 + i % 2) for i, c in enumerate(reversed(digits))]
+            return 16 <= len(digits) <= 19 and sum(d - 9 if d > 9 else d for d in doubled) % 10 == 0
+        return (kind == "email" or kind == "ip" and all(int(o) <= 255 for o in x.split(".")) or kind == "phone" and 8 <= len(digits) <= 15)
+
+    rng = random.Random(4)
+    made = ["".join(rng.choices("ab@.-+ ()0145.@", k=60)) for _ in range(5000)]
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.1/documents.parquet").collect()] + made
+    n = 0
+    for t in texts:
+        want = [(k, *x.span()) for k, v in p.items() for x in re.finditer(v, t) if good(k, x[0])]
+        assert pii.base_spans(t) == want, t
+        n += len(want)
+    assert n > 1000
+
+
 def test_pii_model(spark):
     d = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     model = pii.train(d)
