@@ -357,6 +357,26 @@ def q_metrics_long(spark, d):
     return evaluate.log_metrics_long(a, {"readability": ["fkgl", "smog"], "coverage": ["total_measurements"]})
 
 
+@query("runs_from_events", """with e as (select user_id, ts, event_type, value,
+ case when ts - lag(ts) over (partition by user_id order by ts) < interval 6 hours then 0 else 1 end as fresh from events),
+s as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as run from e),
+r as (select user_id, run, min(ts) filter (event_type='signup') as started, max(ts) filter (event_type='purchase') as finished,
+ coalesce(sum(floor(value)) filter (event_type='view'), 0)::bigint as input_tokens, coalesce(sum(floor(value)) filter (event_type='click'), 0)::bigint as output_tokens,
+ count(*) filter (event_type='error') as retry_count from s group by 1, 2)
+select user_id, started, finished, case when started is null then 'no_start' when finished>=started then 'finished' else 'open' end as status,
+ case when finished>=started then (epoch_us(finished)-epoch_us(started))/1000.0 end::double as latency_ms, input_tokens, output_tokens, retry_count,
+ 0::bigint as refinement_count, retry_count=0 as first_pass_success from r""")
+def q_runs_from_events(spark, d):
+    """A user's signup starts a run, a purchase ends it, views and clicks are tokens, errors retries."""
+    from ..streaming.runs import runs_from_events
+    kind = F.col("event_type")
+    name = F.when(kind == "view", "input_tokens").when(kind == "click", "output_tokens").when(kind == "error", "retry_count")
+    e = table(spark, d, "events").select(
+        "user_id", "ts", F.when(kind == "signup", "start").when(kind == "purchase", "finish").otherwise("counter").alias("kind"),
+        name.alias("name"), F.when(kind == "error", 1.0).otherwise(F.floor("value")).alias("value"))
+    return runs_from_events(e, key="user_id", timeout="6 hours")
+
+
 @query("ops_windowed", "select date_trunc('hour', ts) window_start, event_type, count(*) runs, round(avg(value), 2) latency_mean_ms, round(avg(case when event_type<>'error' then 1 else 0 end), 4) first_pass_success_rate from events group by 1,2")
 def q_ops_windowed(spark, d):
     from ..streaming.ops import ops_windowed

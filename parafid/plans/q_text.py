@@ -122,10 +122,14 @@ def count_syllables(spark, d):
 
 
 # ------------------------------------------------------------------- sections
-_HEAD = "(" + " or ".join(f"regexp_matches(upper(t), {K.q(p)})" for p in rules.SECTION_HEADERS) + ")"
-_LINES = f"""{REPORTS_SQL}, ln as (select pair_id, i-1 i, {K.strip('a[i]')} t, a[i] raw, len(a) n from
+def _lines(head: str) -> str:
+    return f"""{REPORTS_SQL}, ln as (select pair_id, i-1 i, {K.strip('a[i]')} t, a[i] raw, len(a) n from
  (select pair_id, a, unnest(range(1, len(a)+1)) i from (select pair_id, string_split(original, chr(10)) a from reports))),
-hd as (select pair_id, i, t, n, lead(i, 1, n) over (partition by pair_id order by i) nx from ln where {_HEAD})"""
+hd as (select pair_id, i, t, n, lead(i, 1, n) over (partition by pair_id order by i) nx from ln where {head})"""
+
+
+_HEAD = "(" + " or ".join(f"regexp_matches(upper(t), {K.q(p)})" for p in rules.SECTION_HEADERS) + ")"
+_LINES = _lines(_HEAD)
 
 
 @query("detect_sections", f"with {_LINES} select pair_id, t as name, i as start_line, nx as end_line from hd")
@@ -134,12 +138,25 @@ def detect_sections(spark, d):
     return s.select("pair_id", "name", F.col("start").alias("start_line"), F.col("end").alias("end_line"))
 
 
-@query("chunk_by_section", f"""with {_LINES},
+def _chunks(lines: str) -> str:
+    return f"""with {lines},
 secs as (select pair_id, i, nx, t from hd union all select pair_id, -1, min(i), null from hd group by 1
  union all select pair_id, -1, n, null from ln where i=0 and pair_id not in (select pair_id from hd)),
 bodies as (select s.pair_id, s.i, s.t, {K.strip("coalesce(regexp_replace(s.t, '^[^:]+:', ''), '')||chr(10)||coalesce(string_agg(l.raw, chr(10) order by l.i), '')")} as content
  from secs s left join ln l on l.pair_id=s.pair_id and l.i>s.i and l.i<s.nx group by s.pair_id, s.i, s.t)
 select pair_id, row_number() over (partition by pair_id order by i)-1 as chunk_index,
- upper(regexp_extract(t, '^([^:]+):', 1)) as title, content from bodies where i>=0 or content<>''""")
+ upper(regexp_extract(t, '^([^:]+):', 1)) as title, content from bodies where i>=0 or content<>''"""
+
+
+@query("chunk_by_section", _chunks(_LINES))
 def chunk_by_section(spark, d):
     return sections.chunk_by_section(reports(spark, d), "original", ("pair_id",))
+
+
+@query("chunk_by_section_packs", _chunks(_lines(f"case when pair_id%3=0 then {_HEAD} when pair_id%3=1 then regexp_matches(upper(t), '^(PLAN|MEDICATIONS):') else false end")))
+def chunk_by_section_packs(spark, d):
+    """Three sources with header rules of their own, from a table of rules; the third has none."""
+    r = reports(spark, d).withColumn("source", F.concat(F.lit("source-"), F.pmod("pair_id", F.lit(3)).cast("string")))
+    few = spark.createDataFrame([("source-1", 0, "^(plan|medications):", "i")], "pack string, ord int, pattern string, flags string")
+    packs = {"source-0": rules.SECTION_HEADERS, **sections.read_packs(few)}
+    return sections.chunk_by_section(r, "original", ("pair_id",), headers=(), packs=packs, pack="source")
