@@ -31,15 +31,17 @@ def sentence_features(sentences: Column, entities=None) -> Column:
 
 def _overlap(a: Column, b: Column) -> Column:
     """Jaccard from one intersection: i / (|a| + |b| - i), 0 when nothing is shared."""
-    return let(F.size(F.array_intersect(a, b)),
-               lambda i: ratio(i, F.nullif(F.size(a) + F.size(b) - i, F.lit(0)), 0.0))
+    shared = let(F.size(F.array_intersect(a, b)),
+                 lambda i: ratio(i, F.nullif(F.size(a) + F.size(b) - i, F.lit(0)), 0.0))
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), shared).otherwise(F.lit(0.0))
 
 
-def _match_score(o: Column, s: Column) -> Column:
-    return (F.lit(0.35) * _overlap(s["drugs"], o["drugs"])
-            + F.lit(0.25) * _overlap(s["numbers"], o["numbers"])
-            + F.lit(0.25) * _overlap(s["entities"], o["entities"])
-            + F.lit(0.15) * _overlap(s["words"], o["words"]))
+def _match_score(o: Column, s: Column, least: float) -> Column:
+    """Weighted overlaps; 0 where the words, the longest sets, could not lift the others' part to ``least``."""
+    found = (F.lit(0.35) * _overlap(s["drugs"], o["drugs"])
+             + F.lit(0.25) * _overlap(s["numbers"], o["numbers"])
+             + F.lit(0.25) * _overlap(s["entities"], o["entities"]))
+    return let(found, lambda x: F.when(x + F.lit(0.15) >= least, x + F.lit(0.15) * _overlap(s["words"], o["words"])).otherwise(F.lit(0.0)))
 
 
 def best_matches(orig: Column, simp: Column, min_similarity: float) -> Column:
@@ -50,7 +52,7 @@ def best_matches(orig: Column, simp: Column, min_similarity: float) -> Column:
 
     def winner(s: Column) -> Column:
         return F.array_max(F.transform(orig, lambda o, j: F.struct(
-            _match_score(o, s).alias("score"), (-j).alias("neg"))))
+            _match_score(o, s, min_similarity).alias("score"), (-j).alias("neg"))))
 
     def shares(o: Column, s: Column) -> Column:
         return (F.arrays_overlap(o["drugs"], s["drugs"]) | F.arrays_overlap(o["numbers"], s["numbers"])

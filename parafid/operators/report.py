@@ -179,7 +179,8 @@ def citation_mentions(text: Column, citations: Column) -> Column:
 def highlight_spans(text: Column, terms: Column) -> Column:
     """Non-overlapping whole-word term spans: longest term first, then ordered by start.
 
-    ``array<struct<start,end,term>>`` with 0-based offsets.
+    ``array<struct<start,end,term>>`` with 0-based offsets. Patterns run only for terms whose letters occur in the
+    text, so a long list costs a search for each term, not a pattern.
     """
     kind = "array<struct<start:int,end:int,term:string>>"
     ordered = F.transform(F.array_sort(F.transform(F.array_remove(F.array_distinct(terms), ""), lambda t, i: F.struct(
@@ -196,7 +197,7 @@ def highlight_spans(text: Column, terms: Column) -> Column:
             p.alias("start"), (p + n).alias("end"), t.alias("term")))
 
     def fold(low: Column) -> Column:
-        return F.aggregate(F.flatten(F.transform(ordered, lambda t: hits(low, t))), F.expr(f"cast(array() as {kind})"),
+        return F.aggregate(F.flatten(F.transform(F.filter(ordered, lambda t: F.contains(low, F.lower(t))), lambda t: hits(low, t))), F.expr(f"cast(array() as {kind})"),
                            lambda acc, m: F.when(F.exists(acc, lambda o: (m["start"] < o["end"]) & (m["end"] > o["start"])),
                                                  acc).otherwise(F.concat(acc, F.array(m))))
     return F.array_sort(let(F.lower(text), fold))

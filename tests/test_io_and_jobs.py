@@ -324,3 +324,49 @@ def test_phrases_stay_in_their_row(spark, monkeypatch):
     monkeypatch.setattr(terms.phrase_bits, "__defaults__", (0,))
     assert terms.phrase_bits(d) is None
     assert got == sorted(map(str, terms.phrase_hits(texts, F.col("w"), d, 3).collect())) and got
+
+
+def test_highlight_thousands_of_terms(spark):
+    """Spans equal those of the terms that occur, whatever else the list holds."""
+    from parafid.operators import report
+    text = "Aspirin and heart failure; HEART again, aspirins not. Term77x is none, term77 is."
+    own = ["heart", "heart failure", "aspirin", "again"]
+    terms = own + [f"term{i}" for i in range(5000)]
+    df = spark.createDataFrame([(text, own + ["term77"], terms)], "text string, few array<string>, many array<string>")
+    few, many = df.select(report.highlight_spans(F.col("text"), F.col("few")), report.highlight_spans(F.col("text"), F.col("many"))).first()
+    assert few == many
+    assert [(text[s.start:s.end], s.term) for s in many] == [("Aspirin", "aspirin"), ("heart failure", "heart failure"), ("HEART", "heart"),
+                                                            ("again", "again"), ("term77", "term77")]
+
+
+@pytest.mark.parametrize("least", [0.0, 0.1, 0.3, 0.6])
+def test_best_match_equals_all_scores(spark, least):
+    """Leaving out word sets that can't decide changes no match."""
+    import random
+    from parafid.operators import match
+    rng = random.Random(8)
+    drugs, words = ["aspirin", "ibuprofen", "metformin"], ["take", "the", "pill", "each", "day", "pain", "knee", "left", "old"]
+
+    def sentence():
+        return " ".join(rng.choices(words, k=rng.randint(3, 8)) + rng.choices(drugs, k=rng.randint(0, 2)) + [str(rng.randint(1, 4))] * rng.randint(0, 1))
+
+    rows = [(i, [sentence() for _ in range(9)], [sentence() for _ in range(9)]) for i in range(40)]
+    df = spark.createDataFrame(rows, "i int, o array<string>, s array<string>").select(
+        "i", match.sentence_features(F.col("o")).alias("o"), match.sentence_features(F.col("s")).alias("s"))
+    got = {(r.i, m.pos): (m.match_pos, round(m.score, 9)) for r in df.select("i", match.best_matches(F.col("o"), F.col("s"), least).alias("m")).collect()
+           for m in r.m}
+
+    def jaccard(a, b):
+        return len(set(a) & set(b)) / len(set(a) | set(b)) if set(a) & set(b) else 0.0
+
+    n = 0
+    for r in df.collect():
+        for k, s in enumerate(r.s):
+            scores = [0.35 * jaccard(s.drugs, o.drugs) + 0.25 * jaccard(s.numbers, o.numbers) + 0.25 * jaccard(s.entities, o.entities)
+                      + 0.15 * jaccard(s.words, o.words) for o in r.o]
+            best = max(scores)
+            ok = best >= least and best > 0
+            n += ok
+            assert got[r.i, k][1] == pytest.approx(best if ok else 0.0, abs=1e-9)
+            assert not ok and got[r.i, k][0] is None or scores[got[r.i, k][0]] == pytest.approx(best)
+    assert n > 10
