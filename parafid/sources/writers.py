@@ -77,8 +77,33 @@ def write_terminology(concepts: DataFrame, synonyms: DataFrame, path: str, bucke
 
 # ----------------------------------------------------------------- history
 def history_save(spark: SparkSession, docs: DataFrame, path: str) -> None:
-    """Append documents (id, date, file_name, summary, original, simplified)."""
-    docs.write.mode("append").parquet(path)
+    """Append documents (id, date, file_name, summary, original, simplified) with ``_saved``, the time of the call."""
+    docs.withColumn("_saved", F.current_timestamp()).write.mode("append").parquet(path)
+
+
+def _deleted(path: str) -> str:
+    return path.rstrip("/") + "_deleted"
+
+
+def history_remove(spark: SparkSession, ids: DataFrame, path: str) -> None:
+    """Delete the documents ``ids`` (id) from the history below ``path``, lastingly.
+
+    Ids and the time of the call are appended beside the rows, so nothing is rewritten and rows that others
+    append meanwhile stay. A document saved again later is there again. Null ids delete nothing.
+    """
+    ids.select("id").filter("id is not null").distinct().withColumn("_until", F.current_timestamp()).write.mode("append").parquet(_deleted(path))
+
+
+def history_read(spark: SparkSession, path: str) -> DataFrame:
+    """The documents below ``path`` that no ``history_remove`` behind their saving has named."""
+    rows = spark.read.option("mergeSchema", True).parquet(path)
+    saved = F.col("_saved") if "_saved" in rows.columns else F.lit(None).cast("timestamp")
+    marks = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(_deleted(path))
+    if not marks.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(marks):
+        return rows.drop("_saved")
+    gone = spark.read.parquet(_deleted(path)).groupBy("id").agg(F.max("_until").alias("_until"))
+    kept = rows.withColumn("_saved", saved).join(gone, "id", "left").filter("_until is null or _saved > _until")
+    return kept.select(*[c for c in rows.columns if c != "_saved"])
 
 
 def history_list(history: DataFrame) -> DataFrame:

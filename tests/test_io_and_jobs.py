@@ -283,6 +283,24 @@ def test_history_and_training_files(spark, tmp_path):
     assert {p.name for p in (tmp_path / "t").iterdir() if p.is_dir()} == {"split=train", "split=test"}
 
 
+def test_history_deletes_last(spark, tmp_path):
+    """Deleted documents are gone from what is stored; saved again they are back; rows without a time count as old."""
+    path = str(tmp_path / "h")
+    ids = lambda *n: spark.createDataFrame([(i,) for i in n], "id long")
+    docs = lambda *n: ids(*n).withColumn("summary", F.concat(F.lit("s"), "id"))
+    listed = lambda: sorted((r.id, r.summary) for r in writers.history_read(spark, path).collect())
+    docs(1, 2).write.parquet(path)  # rows without the time of saving
+    writers.history_save(spark, docs(3, 3, 4), path)
+    assert [r[0] for r in listed()] == [1, 2, 3, 3, 4]
+    writers.history_remove(spark, ids(1, 3, 3, 99, None), path)
+    assert listed() == [(2, "s2"), (4, "s4")] and writers.history_read(spark, path).columns == ["id", "summary"]
+    writers.history_save(spark, docs(3, 5), path)
+    assert [r[0] for r in listed()] == [2, 3, 4, 5]
+    writers.history_remove(spark, ids(), path)
+    writers.history_remove(spark, ids(3), path)
+    assert [r[0] for r in listed()] == [2, 4, 5]
+
+
 def test_table_sizes(spark, tmp_path):
     spark.range(100).write.parquet(str(tmp_path / "a"))
     row = terms.table_counts(sizes=True, a=spark.read.parquet(str(tmp_path / "a"))).first()
