@@ -5,8 +5,8 @@ shared with a benchmark item keep the same 5-gram on both sides. Kept hashes
 are joined and each hit is extended word by word to its exact span.
 
 Everything is a DataFrame expression. Fingerprints of the documents are first
-held against a bit table of the benchmark's (a fixed number of bits), inside
-the row; only those that may occur leave it, each with the few words around it.
+held against a bit table of the benchmark's, 16 bits or more for each of them
+and 2^24 at most, inside the row; only those that may occur leave it, each with the few words around it.
 So the texts are read once and never shuffled.
 """
 
@@ -69,6 +69,11 @@ def _bit(fp: Column, bits: int) -> Column:
     return F.pmod(F.xxhash64(fp), F.lit(bits))
 
 
+def _table_bits(prints: int) -> int:
+    """A power of two with 16 bits for each print, 2^18 to 2^24; a fuller table lets more through, and loses nothing."""
+    return 1 << min(max((16 * prints - 1).bit_length(), 18), 24)
+
+
 def _bit_table(prints: DataFrame, bits: int) -> Column:
     """A constant array of ``bits`` / 64 longs that marks the fingerprints ``fp``; its size is all the driver holds."""
     marks = prints.select(_bit(F.col("fp"), bits).alias("_at")).select(
@@ -93,12 +98,13 @@ def _equal_run(a: str, b: str, places) -> Column:
     return out
 
 
-def find_hits(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_col: str = "doc_id", item_col: str = "item_id",
+def find_hits(docs: DataFrame, items: DataFrame, *, bits: int | None = None, id_col: str = "doc_id", item_col: str = "item_id",
               text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """(documents, hits): documents as (_row, id, n_words), hits as (_row, item, start, stop) in words.
 
     A hit is a run of document words that equals a run of item words and holds a
-    whole window: SPAN words, or all words of an item that has fewer.
+    whole window: SPAN words, or all words of an item that has fewer. ``bits`` of
+    the bit table, a power of two, follow the number of fingerprints if not given.
     """
     spark = docs.sparkSession
     store = Store(spark, "decontam")
@@ -111,7 +117,9 @@ def find_hits(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_col:
     short = store.keep(i.filter(F.size("_w") < SPAN).select("item", "_w", F.size("_w").alias("n")))
     lengths = sorted(r.n for r in short.select("n").distinct().collect())  # fewer than SPAN values
     short = short.withColumn("fp", F.xxhash64(F.lit(0), F.transform("_w", lambda w: F.xxhash64(w))))
-    marks = _bit_table(long.select("fp").union(short.select("fp")), bits)
+    prints = store.keep(long.select("fp").union(short.select("fp")).distinct())
+    bits = bits or _table_bits(prints.count())
+    marks = _bit_table(prints, bits)
 
     d = _prepared(docs.select(F.col(id_col).alias("id"), words(F.col(text_col)).alias("_w")))
     pick = F.filter("_sel", lambda s: _marked(marks, F.shiftrightunsigned(s, _POS), bits))
@@ -150,7 +158,7 @@ def _candidate(fp: Column, pos: Column, n: Column) -> Column:
     return F.struct(fp.alias("fp"), pos.alias("pos"), n.alias("n"))
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, *, bits: int = 1 << 18, id_col: str = "doc_id",
+def decontaminate(docs: DataFrame, items: DataFrame, *, bits: int | None = None, id_col: str = "doc_id",
                   item_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Per document: id, ``n_words``, ``n_hit``, ``n_items``, ``items_sha256``, ``contaminated``.
 
