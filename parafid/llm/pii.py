@@ -2,8 +2,8 @@
 
 Loose generators propose spans of four kinds, which may overlap. Strict patterns
 with their checks (octets, Luhn, digit counts) give the base spans, which always
-stay, and the labels of a sample of candidates. Boosted trees learn format and
-context from that sample, without seeing the checks; a threshold per kind is set
+stay, and the labels of all candidates. Boosted trees learn format and
+context from them, without seeing the checks; a threshold per kind is set
 on held-out candidates; candidates above it that touch no base span are added,
 the most probable first.
 """
@@ -18,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.classification import GBTClassifier
 from pyspark.ml.functions import array_to_vector
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .common import Store
 from .registry import query, table
 
 KINDS = ("email", "ip", "card", "phone")
@@ -168,40 +169,45 @@ def _arrays(node) -> dict:
     return {**{k: np.array(v) for k, v in out.items()}, "depth": depth}
 
 
-def train(docs: DataFrame, *, sample_docs: int = 20_000, trees: int = 12, depth: int = 4, precision: float = 0.98,
-          seed: int = 5, id_col: str = "doc_id", text_col: str = "text") -> Trees | None:
-    """Trees fitted to the candidates of about ``sample_docs`` documents that have a digit or an @.
+_CANDIDATE = "kind string, label double, features array<double>, fold long"
 
-    Documents are taken by a hash of id and text. A quarter of the candidates is held
-    out, and a kind's threshold is the least probability from which held-out candidates
-    are right with ``precision``; a kind without such a point adds nothing.
-    Without both labels in the sample there are no trees, and base spans alone.
+
+def _probabilities(model: Trees):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x = np.stack(b.column(2).to_numpy(zero_copy_only=False))
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(model.probability(x)), b.column(3)],
+                                                 ["kind", "label", "p", "n"])
+    return run
+
+
+def train(docs: DataFrame, *, trees: int = 12, depth: int = 4, precision: float = 0.98, seed: int = 5,
+          text_col: str = "text") -> Trees | None:
+    """Trees fitted to the candidates of all documents; candidates with equal features and label are one row with a weight.
+
+    A quarter of the candidates is held out, by a hash of their text. A kind's threshold is the least probability from
+    which held-out candidates are right with ``precision``; a kind without such a point adds nothing.
+    Without both labels among the candidates there are no trees, and base spans alone.
     """
-    d = docs.select(F.col(text_col).cast("string").alias("text"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("h"))
-    d = d.filter(F.col("text").rlike("[0-9]{2}|@"))
-    n = d.count()
-    d = d.filter(F.pmod("h", F.lit(1 << 30)) < F.lit(min(1.0, sample_docs / max(n, 1)) * (1 << 30))).select("text")
-    got = d.mapInArrow(_samples, "kind string, label double, features array<double>, fold long").toPandas()
-    got = got.sort_values(["fold", "kind"], kind="stable").reset_index(drop=True)
-    fit = got[got["fold"] % 4 != 0]
-    if fit["label"].nunique() < 2:
-        return None
     spark = docs.sparkSession
-    frame = spark.createDataFrame(fit[["label", "features"]]).withColumn("features", array_to_vector("features")).coalesce(2)
-    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.3, checkpointInterval=-1).fit(frame)
+    d = docs.select(F.col(text_col).cast("string").alias("text")).filter(F.col("text").rlike("[0-9]{2}|@"))
+    got = d.mapInArrow(_samples, _CANDIDATE).groupBy("kind", "label", "features", (F.col("fold") % 4 == 0).alias("held"))
+    got = Store(spark, "pii").keep(got.agg(F.count("*").cast("double").alias("n")))
+    fit = got.filter("not held")
+    if fit.select("label").distinct().count() < 2:
+        return None
+    # few partitions for few rows; they grow with the rows
+    frame = fit.select("label", "n", array_to_vector("features").alias("features"))
+    frame = frame.repartition(max(2, min(int(spark.conf.get("spark.sql.shuffle.partitions")), fit.count() // 20_000)), F.xxhash64("features"))
+    model = GBTClassifier(maxIter=trees, maxDepth=depth, seed=seed, maxBins=32, stepSize=0.3, checkpointInterval=-1, weightCol="n").fit(frame)
     out = Trees([(w, _arrays(t._java_obj.rootNode())) for w, t in zip(model.treeWeights, model.trees, strict=True)], {})
-    test = got[got["fold"] % 4 == 0]
-    for kind in KINDS:
-        t = test[test["kind"] == kind]
-        if not len(t):
-            continue
-        p, y = out.probability(np.stack(t["features"])), t["label"].to_numpy()
-        order = np.argsort(-p, kind="stable")
-        right = np.cumsum(y[order]) / np.arange(1, len(y) + 1)
-        last = np.append(p[order][1:] < p[order][:-1], True)  # equal probabilities stay together
-        good = np.flatnonzero((right >= precision) & last)
-        if len(good):
-            out.thresholds[kind] = float(p[order][good[-1]])
+    test = got.filter("held").select("kind", "label", "features", "n").mapInArrow(
+        _probabilities(out), "kind string, label double, p double, n double")
+    sums = test.groupBy("kind", "p").agg(F.sum(F.col("label") * F.col("n")).alias("y"), F.sum("n").alias("n"))
+    down = Window.partitionBy("kind").orderBy(F.desc("p"))
+    good = sums.select("kind", "p", (F.sum("y").over(down) / F.sum("n").over(down)).alias("right")).filter(F.col("right") >= precision)
+    out.thresholds.update({r.kind: r.p for r in good.groupBy("kind").agg(F.min("p").alias("p")).collect()})
     return out
 
 
