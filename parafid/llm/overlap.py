@@ -1,11 +1,15 @@
-"""Near copies by exact Jaccard similarity of word shingles.
+"""Near copies: SimHash links, checked by exact Jaccard similarity of word shingles, and the pairs that fingerprints miss.
+
+Fingerprints at two bits or fewer are found by the Gray-order index of
+``simhash``; their texts are compared exactly, and what links is one component.
 
 Each text is its set of hashed shingles. Sets of n that overlap enough share one
 of the first n - ceil(least * n) + 1 shingles in any order that all sets follow
 (prefix filter), so no pair is lost. The order puts shingles of many texts last,
-for which the most frequent ones are counted; the others come by hash. Sets that
-share a prefix shingle are compared exactly: first with two sets of each bucket,
-then, in buckets that still hold several components, between the components.
+for which the most frequent ones are counted; the others come by hash. Sets of
+different components that share a prefix shingle are compared exactly: first each
+with two others, then with two of each bucket, then, in buckets that still hold
+several components, between the components.
 Parity bits of the sets go first: no two sets differ in more bits than shingles,
 so pairs with too many are left out before any whole set travels.
 """
@@ -23,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import Store, small_batches
 from .graph import components
+from .simhash import fingerprint, near_links
 from .tokens import row_keys
 
 #: Shingles counted at a time, the least count in such a part, and the most shingles that the order knows by count.
@@ -104,16 +109,17 @@ def _sets(width: int, least: float, hot):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = row_keys()
         for b in batches:
-            node, size, first, bits = [], [], [], []
+            node, size, first, bits, prints = [], [], [], [], []
             for t in b.column(b.num_columns - 1):
                 s = shingles(t.as_py(), width)
+                prints.append(fingerprint(t.as_py()))
                 node.append(_signed(s))
                 size.append(len(s))
                 first.append(prefix(s, hot, least).view(np.int64))
                 bits.append(parity(s))
             cols = [*b.columns, pa.array([next(keys) for _ in node], pa.int64()), pa.array(node, pa.int64()), pa.array(size, pa.int64()), pa.array(first, pa.list_(pa.int64())),
-                    pa.array(bits, pa.binary())]
-            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_key", "_node", "_size", "_prefix", "_bits"])
+                    pa.array(bits, pa.binary()), pa.array(np.array(prints, np.uint64).view(np.int64))]
+            yield pa.RecordBatch.from_arrays(cols, [*b.schema.names, "_key", "_node", "_size", "_prefix", "_bits", "_print"])
     return run
 
 
@@ -196,24 +202,10 @@ def _grouped(docs: DataFrame, width: int, least: float, text_col: str) -> tuple[
     others = [F.col(c) for c in docs.columns if c != text_col] or [F.lit(None).cast("int").alias("_none")]
     whole = docs.select(F.struct(*others).alias("_row"), F.col(text_col).cast("string").alias("_text"))
     kind = (f"_row {whole.schema['_row'].dataType.simpleString()}, _text string, _key long, _node long, _size long, "
-            "_prefix array<long>, _bits binary")
+            "_prefix array<long>, _bits binary, _print long")
     keyed = store.keep(whole.mapInArrow(_sets(width, least, hot), kind))
     marks = store.keep(keyed.groupBy(F.col("_node").alias("node")).agg(
-        F.first("_size").alias("size"), F.first("_prefix").alias("prefix"), F.first("_bits").alias("bits")))
-
-    # buckets of several sets; two of each meet all others. What tells them is combined before it travels, and both
-    # sides of each join are stored, so a shingle that very many sets hold is split over tasks
-    rows = marks.select(F.posexplode("prefix").alias("pos", "hash"), "node", "size")
-    shared = store.keep(rows.groupBy("hash").agg(F.count("*").alias("n")).filter("n > 1").select("hash"))
-    rows = store.keep(rows.join(shared.hint("merge"), "hash", "left_semi"))
-    ends = store.keep(rows.groupBy("hash").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.min_by("size", "node").alias("low_size"),
-                                               F.max_by("size", "node").alias("high_size")))
-    met = rows.join(ends, "hash")
-    alike = f"least(%s, %s) >= {least!r} * greatest(%s, %s) - 1e-6"
-    tried = met.select("node", "size", F.explode(F.array(*[
-        F.struct(F.col(c).alias("node"), F.col(f"{c}_size").alias("size"))
-        for c in ("low", "high")])).alias("to")).filter(alike % (("size", "to.size") * 2)).filter("node <> to.node")
-    tried = store.keep(tried.select(F.least("node", "to.node").alias("a"), F.greatest("node", "to.node").alias("b")).distinct())
+        F.first("_size").alias("size"), F.first("_prefix").alias("prefix"), F.first("_bits").alias("bits"), F.min("_print").alias("print")))
     bits = marks.select("node", "size", "bits")
 
     def linked(pairs: DataFrame) -> DataFrame:
@@ -225,17 +217,48 @@ def _grouped(docs: DataFrame, width: int, least: float, text_col: str) -> tuple[
         both = likely.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b").select("a", "b", "x", "y")
         return store.keep(both.mapInArrow(_verified(least), "a long, b long"))
 
+    def ordered(a: str, b: str) -> list:
+        return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
+
+    # fingerprints choose the first pairs; sets of one fingerprint meet one of them
+    prints = store.keep(marks.groupBy("print").agg(F.min("node").alias("node")))
+    same = marks.select("node", "print").join(prints.withColumnRenamed("node", "to"), "print").filter("node <> to")
+    tried = store.keep(near_links(prints).select(*ordered("a", "b")).union(same.select(*ordered("node", "to"))).distinct())
     links = linked(tried)
     named = store.keep(components(links))
-    part = rows.select("hash", "pos", "node", "size").join(named, "node", "left").select(
-        "hash", "pos", "node", "size", F.coalesce("component", "node").alias("part"))
-    part = store.keep(part)
-    open_ = store.keep(part.groupBy("hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high").select("hash"))
-    part = store.keep(part.join(open_, "hash", "left_semi"))
+
+    # buckets of several components. What tells them is combined before it travels, and both
+    # sides of each join are stored, so a shingle that very many sets hold is split over tasks
+    def opened(rows: DataFrame) -> DataFrame:
+        """Stored rows (hash, pos, node, size, part) of the buckets that hold several components."""
+        several = rows.groupBy("hash").agg(F.min("part").alias("low"), F.max("part").alias("high")).filter("low <> high")
+        return store.keep(rows.join(store.keep(several.select("hash")).hint("merge"), "hash", "left_semi"))
+
+    def parts(rows: DataFrame) -> DataFrame:
+        return rows.join(named, "node", "left").withColumn("part", F.coalesce("component", "node")).drop("component")
+
+    alike = f"least(%s, %s) >= {least!r} * greatest(%s, %s) - 1e-6"
+    rows = opened(parts(marks.select("node", "size", "prefix")).select(F.posexplode("prefix").alias("pos", "hash"), "node", "size", "part"))
+    for few in (True, False):
+        one = F.struct("part", "node", "size")
+        ends = store.keep(rows.groupBy("hash").agg(F.min(one).alias("low"), F.max(one).alias("high")))
+        near = rows.join(ends, "hash").select("node", "size", "part", F.explode(F.array("low", "high")).alias("to")).filter(
+            alike % (("size", "to.size") * 2)).filter("part <> to.part")
+        if few:  # each set meets two others at most, which joins most of a large group
+            near = near.groupBy("node").agg(F.min("to").alias("low"), F.max("to").alias("high")).select(
+                "node", F.explode(F.array("low", "high")).alias("to"))
+        near = near.select(*ordered("node", "to.node")).distinct()
+        more = store.keep(near.join(tried, ["a", "b"], "left_anti"))
+        links, tried = links.union(linked(more)), tried.union(more)
+        named = store.keep(components(links))
+        rows = opened(parts(rows.drop("part")))
     # shingles before the shared one are of one set only, and so many must be shared in all
     reach = f"least(x.size - x.pos, y.size - y.pos) >= {least / (1 + least)!r} * (x.size + y.size) - 1e-6"
-    more = part.alias("x").join(part.alias("y"), F.expr(
+    more = rows.alias("x").join(rows.alias("y"), F.expr(
         "x.hash = y.hash and x.node < y.node and x.part <> y.part and " + alike % (("x.size", "y.size") * 2))).filter(F.expr(reach))
     more = more.select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    named = store.keep(components(links.union(linked(store.keep(more)))))
+    links = links.union(linked(store.keep(more)))
+    done = store.n
+    named = store.keep(components(links))
+    store.drop(*range(2, done + 1))  # all but the rows
     return keyed, named.withColumnRenamed("node", "_node")
