@@ -241,7 +241,7 @@ def q_grounding_concepts(spark, d):
     from ..functions import extract as E
     r = reports(spark, d)
     seen = r.select(F.explode(F.array(F.col("original"), F.col("simplified"))).alias("t")).select(
-        F.explode(E.risk_terms(E.extract_grounding_terms(F.col("t")))).alias("term")).distinct()
+        F.explode(E.text_risk_terms(F.col("t"))).alias("term")).distinct()
     kind = F.when(F.length("term") % 3 == 0, "T079").otherwise("T191")
     table_ = seen.select("term", F.md5(F.left("term", F.lit(1))).alias("cui"), F.array(kind).alias("semantic_types"), F.lit(5.0).alias("score"))
     return validate.grounding_concepts(r, table_).select(
